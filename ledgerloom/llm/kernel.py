@@ -141,3 +141,51 @@ def ragged(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(owner, position within the owner) for owners with so many entries each."""
     owner = np.repeat(np.arange(len(counts)), counts)
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def distinct_words(text: Text, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[Text, np.ndarray]:
+    """(the distinct words, each as <word> in folded bytes; for each occurrence, which of them it is)."""
+    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    s, length = start[first], (end - start)[first] + 2
+    owner, k = ragged(length)
+    inner = (k > 0) & (k < length[owner] - 1)
+    data = np.full(len(owner), 0x3C, np.uint8)  # <
+    data[inner] = FOLD[text.data[s[owner[inner]] + k[inner] - 1]]
+    data[(k > 0) & ~inner] = 0x3E  # >
+    offsets = np.zeros(len(s) + 1, np.int64)
+    np.cumsum(length, out=offsets[1:])
+    return Text(data, offsets, np.zeros(len(s), bool)), which
+
+
+def byte_ngrams(words: Text, orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket) of every byte n-gram of the words, ordered by word; buckets are 2**bits hash values."""
+    prefix = words.prefix(fold=False)
+    doc = np.repeat(np.arange(len(words)), np.diff(words.offsets))
+    at = np.arange(len(doc))
+    owners, buckets = [], []
+    for n in orders:
+        s = at[at + n <= words.offsets[doc + 1]]
+        h = words.hashes(s, s + n, prefix)
+        owners.append(doc[s])
+        buckets.append((mix(h + U64(n)) >> U64(64 - bits)).astype(np.int64))
+    owner, bucket = np.concatenate(owners), np.concatenate(buckets)
+    order = np.argsort(owner, kind="stable")
+    return owner[order], bucket[order]
+
+
+def segment_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of values (rows) between consecutive bounds; empty segments give 0."""
+    total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64)
+    np.cumsum(values, axis=0, out=total[1:])
+    return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def has_letter(text: Text) -> np.ndarray:
+    """Whether each text has a code point that is a letter."""
+    ascii_letter = LETTERISH & (np.arange(256) < 128)
+    counts = np.concatenate([[0], np.cumsum(ascii_letter[text.data])])
+    out = counts[text.offsets[1:]] > counts[text.offsets[:-1]]
+    for d in np.flatnonzero(~out & (np.diff(text.offsets) > 0)):
+        own = text.data[text.offsets[d] : text.offsets[d + 1]]
+        out[d] = (own > 127).any() and any(c.isalpha() for c in own.tobytes().decode("utf-8", "replace"))
+    return out
