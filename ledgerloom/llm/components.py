@@ -17,7 +17,7 @@ from .cluster import forget, written
 def _step(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star-min")
-    near = both.join(least, "u")
+    near = both.join(least.hint("merge"), "u")
     if large:
         out = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -10,15 +10,20 @@ byte-wise signature of the minima and a 128-bit digest of the set.  Then:
    id.  Pairs whose signatures agree well enough are confirmed on full sets;
    confirmed pairs give components by large-star and small-star.
 3. Buckets that still hold several components are searched once more, over
-   pairs from different components only.  So all links between different
-   components are found, while a large group that the first round has joined
-   costs a row for each member and not one for each pair.
+   pairs from different components only.  The task that holds a tile of a
+   bucket compares its pairs by signature and then by bitmaps of the sets
+   (shingle hashes cut to 16 bits), and emits only the pairs that pass; these
+   are confirmed on full sets.  So all links between different components are
+   found, while pairs that aren't links never become rows.
 
 Two documents at the threshold of 0.8 share no bucket with probability
 (1 - 0.8**4)**32 < 1e-7; the signature test (agreement of at least 0.62, over
 five standard deviations below) drops no more than that.  Confirmation counts
 the shingles' 64-bit hashes of both texts.
 
+Every join of two sides that grow with the input is a merge join: nothing of
+unknown size is broadcast, and the plan has one shape at every size.
+
 Memory in a task: a bucket is compared in tiles of at most TILE signatures,
 and a pair's texts stream past the set of the pair's first member, with a salt
 for first members of many pairs.
@@ -44,7 +49,7 @@ from .kernel import NOT_SPACE, U64, Text, mix, pieces, seeded
 
 HASHES, ROWS = 128, 4
 LEAST_AGREEMENT = 0.62
-TILE = 2048
+TILE = 512
 PER_SALT = 64
 _MUL = U64(0xC2B2AE3D27D4EB4F)
 
@@ -94,7 +99,7 @@ def sketch(x: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return keys, (mix(minima) & U64(255)).astype(np.uint8), digest
 
 
-SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, sig binary"
+SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, sig binary, low binary"
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
@@ -110,16 +115,18 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                     offsets = np.zeros(m + 1, np.int32)
                     np.cumsum(full * per, out=offsets[1:])
                     sig: list[bytes | None] = [None] * m
+                    low: list[bytes | None] = [None] * m
                     keys = np.zeros(0, np.int64)
                     if len(at):
                         k, s, digest = sketch(x, bounds)
                         keys, d[at] = k.view(np.int64).ravel(), digest.view(np.int64)
                         for i, row in zip(at.tolist(), s):
                             sig[i] = row.tobytes()
+                            low[i] = np.unique((x[bounds[i] : bounds[i + 1]] & U64(0xFFFF)).astype(np.uint16)).tobytes()
                     none = pa.array(~full)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id"), pa.array(n.astype(np.int64)), *(pa.array(d[:, j], mask=~full) for j in (0, 1)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys)), pa.array(sig, pa.binary())],
-                        names=["doc_id", "n_shingles", "d1", "d2", "keys", "sig"],
+                        [part.column("doc_id"), pa.array(n.astype(np.int64)), *(pa.array(d[:, j], mask=~full) for j in (0, 1)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys)), pa.array(sig, pa.binary()), pa.array(low, pa.binary())],
+                        names=["doc_id", "n_shingles", "d1", "d2", "keys", "sig", "low"],
                     )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SKETCH)
@@ -138,23 +145,40 @@ def _agree(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _tiles(rows: DataFrame) -> DataFrame:
-    """Pairs from different components within a bucket, for (key, tile, side, doc_id, label, sig) rows sorted by tile.
+def _tiles(rows: DataFrame, least: float) -> DataFrame:
+    """Pairs from different components within a bucket, for (key, tile, side, doc_id, label, sig, low) rows sorted by tile.
 
-    side 0 rows of a tile meet each other and its side 1 rows; side 1 rows don't meet each other.
+    side 0 rows of a tile meet each other (or, in a tile of two blocks, its
+    side 1 rows).  A pair passes if its bitmaps are about as alike as a linked
+    pair's: cutting hashes to 16 bits merges about union**2 / 2**17 shingles,
+    which lowers a likeness of 0.8 to (0.8 - d) / (1 - d) at most; chance
+    agreement only raises it.
     """
 
-    def emit(ids, labels, sigs, side):
+    def emit(ids, labels, sigs, side, low, least):
         out = []
+        maps = np.zeros((len(ids), 1 << 10), U64)
+        for i, own in enumerate(low):
+            bits = np.zeros(1 << 16, np.uint8)
+            bits[np.frombuffer(own, np.uint16)] = 1
+            maps[i] = np.packbits(bits).view(U64)
+        size = np.array([len(own) // 2 for own in low])
         for i in range(0, len(ids), 64):
             own = slice(i, min(i + 64, len(ids)))
             if (side[own] == 1).all():
                 continue
             near = (sigs[own, None, :] == sigs[None, :, :]).sum(axis=2) >= LEAST_AGREEMENT * HASHES
             near &= (labels[own, None] != labels[None, :]) & (side[own, None] == 0)
-            near &= (side[None, :] == 1) | (ids[own, None] < ids[None, :])
+            near &= (side[None, :] == 1) if side.any() else (ids[own, None] < ids[None, :])
             p, q = np.nonzero(near)
-            out.append(np.stack([ids[own][p], ids[q]], axis=1))
+            good = np.zeros(len(p), bool)
+            for j in range(0, len(p), 512):
+                a, b = p[j : j + 512] + i, q[j : j + 512]
+                both = np.bitwise_count(maps[a] & maps[b]).sum(axis=1, dtype=np.int64)
+                union = size[a] + size[b] - both
+                d = np.minimum(union / (1 << 17) * 1.2 + 0.01, 0.5)
+                good[j : j + 512] = both / union >= (least - d) / (1 - d)
+            out.append(np.stack([ids[own][p[good]], ids[q[good]]], axis=1))
         return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
     def run(batches):
@@ -168,9 +192,10 @@ def _tiles(rows: DataFrame) -> DataFrame:
             cut = np.flatnonzero((key[1:] != key[:-1]) | (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])) + 1
             ids, labels, side = (table.column(c).to_numpy() for c in ("doc_id", "label", "side"))
             sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
+            low = table.column("low").to_pylist()
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(key)]):
                 if (labels[a:b] != labels[a]).any():
-                    pairs = emit(ids[a:b], labels[a:b], sigs[a:b], side[a:b])
+                    pairs = emit(ids[a:b], labels[a:b], sigs[a:b], side[a:b], low[a:b], least)
                     if len(pairs):
                         pairs.sort(axis=1)
                         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -181,15 +206,16 @@ def _tiles(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            k = last(table)
-            same = np.ones(table.num_rows, bool)
-            for c, v in zip(("key", "t1", "t2"), k):
-                same &= table.column(c).to_numpy() == v
-            at = int(np.argmax(same))
-            yield from flush(table.slice(0, at))
-            held = table.slice(at).to_batches()
+            for start in range(0, batch.num_rows, 2 * TILE):
+                held.append(batch.slice(start, 2 * TILE))
+                table = pa.Table.from_batches(held)
+                k = last(table)
+                same = np.ones(table.num_rows, bool)
+                for c, v in zip(("key", "t1", "t2"), k):
+                    same &= table.column(c).to_numpy() == v
+                at = int(np.argmax(same))
+                yield from flush(table.slice(0, at))
+                held = table.slice(at).to_batches()
         if held:
             yield from flush(pa.Table.from_batches(held))
 
@@ -203,10 +229,10 @@ def confirm(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) ->
     """
     degree = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / PER_SALT).cast("int").alias("salts"))
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "pair-texts")
+    texts = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "pair-texts")
     degree = written(degree, "pair-degree")
-    first = texts.join(degree, texts.doc_id == degree.a).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
-    second = pairs.join(degree, "a").join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", F.pmod(F.hash("b"), "salts").alias("salt"), "b", "text")
+    first = texts.join(degree.hint("merge"), texts.doc_id == degree.a).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
+    second = pairs.join(degree.hint("merge"), "a").join(texts.withColumnRenamed("doc_id", "b").hint("merge"), "b").select("a", F.pmod(F.hash("b"), "salts").alias("salt"), "b", "text")
     rows = first.unionByName(second).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches):
@@ -236,19 +262,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text)."""
     sk = written(sketches(docs, size), "sketch")
     copies = written(sk.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n"), "copies")
-    member = sk.select("doc_id", "n_shingles", "d1", "d2").join(copies, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
+    member = sk.select("doc_id", "n_shingles", "d1", "d2").join(copies.hint("merge"), ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
     # Representatives only: every document that isn't a later copy.
     later = member.where("doc_id <> rep").select("doc_id").distinct()
-    reps = sk.where("n_shingles > 0 AND doc_id IS NOT NULL").join(later, "doc_id", "left_anti")
+    reps = sk.where("n_shingles > 0 AND doc_id IS NOT NULL").join(later.hint("merge"), "doc_id", "left_anti")
     band = reps.select(F.explode("keys").alias("key"), "doc_id")
     full = written(band.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("most > least").drop("most"), "buckets")
-    rows = written(band.join(full, "key"), "bucket-rows")
+    rows = written(band.join(full.hint("merge"), "key"), "bucket-rows")
     sigs = reps.select("doc_id", "sig")
 
     def signed(pairs: DataFrame) -> DataFrame:
         out = pairs
         for c in ("a", "b"):
-            out = out.join(sigs.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}")), c)
+            out = out.join(sigs.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}")).hint("merge"), c)
         return out.select("a", "b", "sig_a", "sig_b")
 
     star = rows.where("doc_id > least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -256,26 +282,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     label = written(components(first), "labels")
 
     # Buckets that still hold several components.
-    marked = rows.select("key", "doc_id", "n").join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("label"))
+    marked = rows.select("key", "doc_id", "n").join(label.select(F.col("node").alias("doc_id"), "component").hint("merge"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("label"))
     marked = written(marked, "bucket-labels")
     mixed = written(marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "mixed")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     own = F.pmod(F.hash("doc_id"), tiles)
-    spread = marked.join(mixed, "key").join(sigs, "doc_id").withColumn("own", own)
-    spread = spread.select("key", "doc_id", "label", "sig", "own", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
-    spread = spread.select("key", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "doc_id", "label", "sig")
+    spread = marked.join(mixed.hint("merge"), "key").join(reps.select("doc_id", "sig", "low").hint("merge"), "doc_id").withColumn("own", own)
+    spread = spread.select("key", "doc_id", "label", "sig", "low", "own", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
+    spread = spread.select("key", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "doc_id", "label", "sig", "low")
     spread = spread.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "side", "doc_id")
-    more = written(_tiles(spread).distinct(), "pairs")
+    more = written(_tiles(spread, num / den).distinct(), "pairs")
     links = confirm(docs, more, size, num, den)
     joined = links
     for c in ("a", "b"):
-        joined = joined.join(label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
+        joined = joined.join(label.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")).hint("merge"), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
     joined = joined.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     upper = written(components(joined), "labels").select(F.col("node").alias("component"), F.col("component").alias("top"))
     every = label.join(upper, "component", "left").select("node", F.coalesce("top", "component").alias("top"))
     lone = upper.join(label.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), "top")
     final = written(every.unionByName(lone), "labels")
-    out = member.join(final.select(F.col("node").alias("rep"), "top"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("top", "rep").alias("component_id"))
+    out = member.join(final.select(F.col("node").alias("rep"), "top").hint("merge"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("top", "rep").alias("component_id"))
     for t in (full, rows, first, label, marked, mixed, more, links):
         forget(t)
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
@@ -284,4 +310,4 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
 def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
     """Pipeline form: one document of each group of near duplicates, with the columns of docs."""
     gone = near_duplicates(docs, size).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)

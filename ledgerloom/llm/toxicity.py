@@ -1,6 +1,6 @@
 """Toxicity scores from subword-bag embeddings and a linear softmax.
 
-A word is the bag of its byte n-grams (3 to 5, with word ends) and itself, all
+A word is the bag of its byte n-grams (4 to 8, with word ends) and itself, all
 hashed into 2**BITS embedding rows; a passage is the average of its words'
 bags, and a linear softmax over two classes reads the average.  Embeddings and
 softmax are trained jointly in numpy with Adam.  As misspellings share most of
@@ -35,14 +35,14 @@ from pyspark.sql import functions as F
 
 from .kernel import ALNUM, Text, byte_ngrams, distinct_words, pieces, segment_sum
 
-ORDERS = (3, 4, 5)
-BITS = 17
+ORDERS = (4, 5, 6, 7, 8)
+BITS = 20
 DIM = 8
-PASSAGE = 24
+PASSAGE = 2
 PER_CLASS = 3000
 SAMPLE_BYTES = 24 << 20
-STEPS, RATE, DECAY = 120, 0.08, 1e-4
-LEAST_DOCS = 8
+STEPS, RATE, DECAY = 40, 0.03, 1.0
+LEAST_DOCS = 20
 
 
 def passages(text: Text) -> tuple[Text, np.ndarray, np.ndarray, np.ndarray]:
@@ -81,25 +81,41 @@ class Model:
 
 
 def train(texts: list[str], labels: np.ndarray, share: float, seed: int = 7) -> Model:
-    """Joint training of embeddings and softmax; share: of label 1 among all labelled rows."""
+    """Joint training of embeddings and softmax; share: of label 1 among all labelled rows.
+
+    Only rows that occur in at least LEAST_DOCS documents are trained, the
+    others stay at 0: a row of few documents would be learned by heart.  The
+    first embedding axis starts from each row's shrunk log odds between the
+    classes, so that the first choice of most toxic passages is a sensible one.
+    """
     words, which, bounds, doc = passages(Text.of_strings(texts))
     bucket, own = bags(words)
-    # Only rows of at least LEAST_DOCS documents are trained, others stay at 0: a row of few documents would be learned by heart.
+    per_word, per_passage = np.maximum(np.diff(own), 1), np.diff(bounds)
     owner = np.repeat(np.arange(len(words)), np.diff(own))
-    token_doc = np.repeat(doc, np.diff(bounds))
-    seen = np.unique(token_doc * len(words) + which)
-    spread = np.bincount(bucket, weights=np.bincount(seen % len(words), minlength=len(words))[owner], minlength=1 << BITS)
-    used, slot = np.unique(bucket, return_inverse=True)
-    frozen = spread[used] < LEAST_DOCS
+    pair = np.unique(np.repeat(doc, per_passage) * len(words) + which)
+    in_docs = [np.bincount(pair[labels[pair // len(words)] == y] % len(words), minlength=len(words)) for y in (0, 1)]
+    seen = [np.bincount(bucket, weights=c[owner], minlength=1 << BITS) for c in in_docs]  # n-grams of two words of a document count twice
+    used = np.flatnonzero(seen[0] + seen[1] >= LEAST_DOCS)
+    place = np.full(1 << BITS, -1)
+    place[used] = np.arange(len(used))
+    keep = place[bucket] >= 0
+    slot, owner = place[bucket[keep]], owner[keep]
+    own = np.searchsorted(owner, np.arange(len(words) + 1))
+
+    n1, n0 = max(1, (labels == 1).sum()), max(1, (labels == 0).sum())
+    p, q = seen[1][used], seen[0][used]
+    # How far the odds are from chance in standard deviations decides how much of them is believed.
+    odds = np.log((p + 0.5) / n1) - np.log((q + 0.5) / n0)
+    sure = np.maximum(np.abs(p - (p + q) * n1 / (n1 + n0)) / np.sqrt((p + q) * n1 * n0 / (n1 + n0) ** 2 + 1) - 2.0, 0.0)
     rng = np.random.default_rng(seed)
-    embedding = rng.uniform(-0.5, 0.5, (len(used), DIM)) / DIM
-    embedding[frozen] = 0.0
-    softmax = rng.normal(0, 0.5, (DIM, 2))
-    bias = np.zeros(2)
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (embedding, softmax, bias)]
-    per_word, per_passage = np.diff(own), np.diff(bounds)
+    embedding = rng.uniform(-0.5, 0.5, (len(used), DIM)) / DIM * 0.1
+    embedding[:, 0] += 8.0 * odds * sure / (sure + 4.0)
+    softmax = rng.normal(0, 0.1, (DIM, 2))
+    softmax[0] = -0.5, 0.5
+    bias = np.array([2.0, -2.0])
+    state = [[np.zeros_like(x), np.zeros_like(x)] for x in (embedding, softmax, bias)]
     some = np.bincount(doc, minlength=len(texts)) > 0
-    weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) * some
+    weight = np.where(labels == 1, 0.5 / n1, 0.5 / n0) * some
     for step in range(1, STEPS + 1):
         axis = softmax[:, 1] - softmax[:, 0]
         value = segment_sum((embedding @ axis)[slot], own) / per_word
@@ -110,14 +126,13 @@ def train(texts: list[str], labels: np.ndarray, share: float, seed: int = 7) ->
         hit = np.flatnonzero(z == top[doc])
         pick[doc[hit[::-1]]] = hit[::-1]  # the first of equals
         live = pick >= 0
-        p = 1 / (1 + np.exp(-np.clip(top + bias[1] - bias[0], -40, 40)))
-        error = np.where(live, (np.where(live, p, 0) - labels) * weight, 0.0)
+        prob = 1 / (1 + np.exp(-np.clip(np.where(live, top, 0) + bias[1] - bias[0], -40, 40)))
+        error = np.where(live, (prob - labels) * weight, 0.0)
         # Passage -> word -> row.
         at = np.zeros(len(z))
         at[pick[live]] = error[live] / per_passage[pick[live]]
         to_word = np.bincount(which, weights=np.repeat(at, per_passage), minlength=len(words)) / per_word
         to_row = np.bincount(slot, weights=to_word[owner], minlength=len(used))
-        to_row[frozen] = 0.0
         pull = embedding.T @ to_row
         grads = [np.outer(to_row, axis) + DECAY / len(used) * embedding, np.stack([-pull, pull], axis=1), np.array([-error.sum(), error.sum()])]
         for param, grad, (m, v) in zip((embedding, softmax, bias), grads, state):
