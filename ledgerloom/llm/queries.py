@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, near_dedup, packing, sharding, toxicity
+from . import decontaminate, langid, near_dedup, packing, pii, sharding, toxicity
 from .cluster import table
 
 
@@ -31,6 +31,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_langid": op3_langid,
     "op6_pack": op6_pack,
     "op7_near_dedup": op7_near_dedup,
+    "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
 }
 
