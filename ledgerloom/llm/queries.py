@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, near_dedup, packing, pii, sharding, toxicity
+from . import decontaminate, langid, near_dedup, packing, pii, sharding, spotsigs, toxicity
 from .cluster import table
 
 
@@ -23,6 +23,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_shard": op2_shard,
     "op3_langid": op3_langid,
+    "op4_spotsigs": op4_spotsigs,
     "op6_pack": op6_pack,
     "op7_near_dedup": op7_near_dedup,
     "op9_pii": op9_pii,
