@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, near_dedup, packing, pii, sharding, spotsigs, suffix_dedup, toxicity
+from . import decontaminate, langid, near_dedup, packing, pii, pitman_yor, sharding, spotsigs, suffix_dedup, toxicity
 from .cluster import table
 
 
@@ -27,6 +27,10 @@ def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_shard": op2_shard,
     "op3_langid": op3_langid,
     "op4_spotsigs": op4_spotsigs,
+    "op5_pitman_yor": op5_pitman_yor,
     "op6_pack": op6_pack,
     "op7_near_dedup": op7_near_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,

@@ -5,7 +5,7 @@ import numpy as np
 
 from ledgerloom.llm import packing as P
 
-ODD = [(1, None), (2, ""), (3, "  "), (4, "Ünïcode STRASSE ǅ İstanbul x y don't it's 12345 <|endoftext|> é"), (5, "a b " * 9000), (6, "same"), (6, "same"), (7, "ΣΑΣ ὈΔΥΣΣΕΎΣ İ")]
+ODD = [(1, None), (2, ""), (3, "  "), (4, "Ünïcode STRASSE ǅ İstanbul x y don't it's 12345 <|endoftext|> é"), (5, "a b " * 9000), (6, "same"), (6, "same"), (7, "ΣΑΣ ὈΔΥΣΣΕΎΣ İ"), (8, "x's. don'T.'s 's'rest a—b.c…d 3x4y e\u0301.\u0301f ...'re it'd've ''ll a1'2s \u00a0b\u2003c")]
 
 
 def check(rows, docs, tiers):
