@@ -16,9 +16,10 @@ only what remains at a partition's end is cut into powers of two.  Nothing is
 shuffled, a task holds one group, and a sequence's id is its partition's
 number and its place there, so a task that runs again gives the same ids.
 
-Ids come from the tokenizer itself.  As none of its matches spans white space,
-a text's ids are those of its white-space separated chunks one after another,
-and each distinct chunk is encoded once for a worker (up to CACHE chunks).
+Ids come from the tokenizer itself.  As none of its matches spans white space
+or a border of letters and signs, a text's ids are those of its chunks one
+after another, and a worker encodes each distinct chunk once (its cache is
+cleared beyond CACHE chunks).
 
 Defined results: a null or empty text is the end id alone; repeated rows are
 packed one by one; an empty table gives no rows; columns besides doc_id and
@@ -28,6 +29,8 @@ text are ignored.  The tokenizer file must be readable on the executors.
 from __future__ import annotations
 
 import bisect
+import functools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -43,7 +46,7 @@ TIERS = (512, 1024, 2048, 4096)
 END_ID = 2
 GROUP_TOKENS = 1 << 20
 STEP_TOKENS = 16 * 4096
-CACHE = 1_500_000
+CACHE = 2_000_000
 
 
 def default_tokenizer() -> str:
@@ -52,40 +55,79 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _kinds() -> np.ndarray:
+    """0: ASCII white space, 1: ASCII letter, 2: other ASCII but the apostrophe, 3: the rest."""
+    kind = np.full(256, 2, np.uint8)
+    kind[128:] = kind[0x27] = 3
+    kind[65:91] = kind[97:123] = 1
+    kind[~NOT_SPACE] = 0
+    return kind
+
+
 class Encoder:
-    """Token ids of whole texts through a cache of their white-space separated chunks."""
+    """Token ids of whole texts through a cache of their chunks.
+
+    Chunks end at ASCII white space, and where an ASCII letter meets an ASCII
+    digit or sign other than an apostrophe: no match of the tokenizer's spans
+    either.  Pieces with the beginning of a special token's string are cut at
+    white space alone.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.kinds = _kinds()
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.offsets, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _learn(self, text: Text, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         raw = text.data.tobytes()
         found = self.tokenizer.encode_batch([raw[a:b].decode("utf-8", "replace") for a, b in zip(start.tolist(), end.tolist())], add_special_tokens=False)
         ids = [e.ids for e in found]
-        first = len(self.offsets) - 1
+        place = len(self.offsets) - 1 + np.arange(len(ids))
         self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
         self.flat = np.concatenate([self.flat, np.array([x for y in ids for x in y], np.uint32)])
-        self.place.update(zip(hashes.tolist(), range(first, first + len(ids))))
+        keys, place = np.concatenate([self.keys, hashes]), np.concatenate([self.place, place])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.place = keys[order], place[order]
+
+    def _known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.keys):
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return self.keys[at] == hashes, at
+
+    def chunks(self, text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, text) of each chunk."""
+        s, e, doc = text.word_bounds(NOT_SPACE)
+        if not len(s) or b"<|" in text.data.tobytes():
+            return s, e, doc
+        kind = self.kinds[text.data]
+        cut = np.flatnonzero((kind[1:] * kind[:-1] == 2)) + 1  # 1 meets 2
+        first = np.zeros(len(kind) + 1, bool)
+        first[text.offsets] = True
+        cut = cut[~first[cut]]
+        s, e = np.sort(np.concatenate([s, cut])), np.sort(np.concatenate([e, cut]))
+        return s, e, np.searchsorted(text.offsets, s, side="right") - 1
 
     def encode(self, text: Text) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; offsets by text)."""
-        s, e, doc = text.word_bounds(NOT_SPACE)
+        s, e, doc = self.chunks(text)
         h = text.hashes(s, e, text.prefix(fold=False))
         distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.place) > CACHE:
+        if len(self.keys) > CACHE:
             self._clear()
-        new = np.array([x not in self.place for x in distinct.tolist()], bool)
-        if new.any():
-            self._learn(text, distinct[new], s[first[new]], e[first[new]])
-        at = np.fromiter((self.place[x] for x in distinct.tolist()), np.int64, len(distinct))
-        begin, count = self.offsets[at][which], np.diff(self.offsets)[at][which]
+        old, at = self._known(distinct)
+        if not old.all():
+            self._learn(text, distinct[~old], s[first[~old]], e[first[~old]])
+            _, at = self._known(distinct)
+        at = self.place[at] if len(self.place) else at
+        begin, count = self.offsets[at][which], np.diff(self.offsets)[at][which] if len(at) else np.zeros(0, np.int64)
         # One more entry for each text's end id, after its words.
         n = len(text)
         order = np.argsort(np.concatenate([doc, np.arange(n)]), kind="stable")
@@ -97,6 +139,12 @@ class Encoder:
         return ids, np.concatenate([[0], np.cumsum(count)])[entries]
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, so that its tasks share the cache."""
+    return Encoder(path)
+
+
 class Packer:
     """Packs pieces (length, number, start) into full windows; pieces refer to documents by number."""
 
@@ -184,7 +232,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] =
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(path), Packer(tiers)
+        tokens_of, packer = encoder(path), Packer(tiers)
         base = TaskContext.get().partitionId() << 36
         held: dict[int, tuple] = {}  # document number -> [key, ids, tokens not yet placed]
         counter = {"doc": 0, "sequence": 0, "step": 0}
@@ -217,7 +265,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] =
         for batch in batches:
             for part in pieces(batch):
                 key_type = part.column("doc_id").type
-                flat, offsets = encoder.encode(Text.of(part.column("text")))
+                flat, offsets = tokens_of.encode(Text.of(part.column("text")))
                 for i, key in enumerate(part.column("doc_id").to_pylist()):
                     own = flat[offsets[i] : offsets[i + 1]].copy()
                     held[counter["doc"]] = [key, own, len(own)]
