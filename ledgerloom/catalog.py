@@ -180,7 +180,7 @@ VIEWS: dict[str, str] = {
     "audit": """SELECT event_id, ts, CAST(ts AS DATE) AS day, user_id, event_type AS action,
         CASE WHEN event_type IN ('purchase', 'error') THEN 'case' WHEN event_type <> 'signup' THEN 'user' END AS entity_type,
         event_id * 4 AS entity_id, value, props FROM events""",
-    "lines": """SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents""",
+    "lines": """SELECT doc_id, CAST(unnest(range(len(string_split(text, chr(10))))) AS INTEGER) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents""",
     "outbox": """SELECT event_id, event_type, ts, CAST(event_id % 6 AS INTEGER) AS attempts,
         CASE WHEN event_id % 3 <> 0 THEN CAST(CAST(ts AS DATE) + CAST(event_id % 20 AS INTEGER) AS DATE) END AS next_attempt,
         CASE WHEN event_id % 5 = 0 THEN 'Done' ELSE 'Pending' END AS status FROM events""",
