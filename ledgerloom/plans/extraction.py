@@ -1,12 +1,214 @@
-"""Placeholder."""
-from pyspark.sql import Column
+"""Queries of extraction, validation and classification (X, V, C)."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..catalog import Tables
+from ..operators import extraction as X
+from ..operators import windows as W
+from ..operators.extraction import parsed_date  # noqa: F401
+from ..registry import query
+
+_MAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]+[A-Za-z]"
+_IP = "[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}"
+_NUM = "[0-9]{13,16}"
+PATTERNS = [X.Pattern("email", f"({_MAIL})", 0.9), X.Pattern("ip", f"({_IP})", 0.8), X.Pattern("number", f"({_NUM})", 0.7), X.Pattern("email", "(mailto)", 0.5)]
+
+
+def found(t: Tables) -> DataFrame:
+    return X.extract(t.documents, PATTERNS, ["doc_id"])
+
+
+def _sql(field: str, regex: str) -> str:
+    return f"SELECT doc_id, '{field}' AS field, unnest(regexp_extract_all(text, '{regex}')) AS value FROM documents"
+
+
+@query("X01_extract_numbers", f"SELECT DISTINCT doc_id, value FROM ({_sql('number', _NUM)})")
+def extract_numbers(t: Tables) -> DataFrame:
+    return X.distinct_values(found(t).where("field = 'number'"), ["doc_id"]).select("doc_id", "value")
+
+
+@query("X02_extract_names", "WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{2,}, [a-z]+')) AS value FROM documents) SELECT doc_id, min(lower(substr(value, 1, 100))) AS value FROM m WHERE length(value) > 2 GROUP BY doc_id, lower(value)")
+def extract_names(t: Tables) -> DataFrame:
+    m = X.extract(t.documents, [X.Pattern("name", "([A-Z][a-z]{2,}, [a-z]+)", 0.5)], ["doc_id"])
+    return X.distinct_values(m.where("length(value) > 2"), ["doc_id"]).select("doc_id", F.lower(F.substring("value", 1, 100)).alias("value"))
+
+
+@query("X03_first_match", f"SELECT doc_id, nullif(regexp_extract(text, '({_IP})', 1), '') AS ip, nullif(regexp_extract(text, '({_MAIL})', 1), '') AS email FROM documents")
+def first_match(t: Tables) -> DataFrame:
+    one = lambda p: F.nullif(F.regexp_extract("text", f"({p})", 1), F.lit(""))
+    return t.documents.select("doc_id", one(_IP).alias("ip"), one(_MAIL).alias("email"))
+
+
+@query("X04_risk_keywords", "SELECT doc_id, concat_ws(', ', CASE WHEN contains(lower(text), 'token') THEN 'token' END, CASE WHEN contains(lower(text), 'license') THEN 'license' END) AS v FROM documents WHERE contains(lower(text), 'token') OR contains(lower(text), 'license')")
+def risk_keywords(t: Tables) -> DataFrame:
+    low = F.lower("text")
+    hits = F.filter(F.array(F.lit("token"), F.lit("license")), lambda k: low.contains(k))
+    return t.documents.select("doc_id", hits.alias("h")).where(F.size("h") > 0).select("doc_id", F.array_join("h", ", ").alias("v"))
+
+
+@query("X05_all_fields", f"SELECT field, count(*) AS n FROM (SELECT DISTINCT * FROM (SELECT doc_id, field, lower(value) AS value FROM ({_sql('number', _NUM)} UNION ALL {_sql('ip', _IP)} UNION ALL {_sql('email', _MAIL)}))) GROUP BY field")
+def all_fields(t: Tables) -> DataFrame:
+    return X.distinct_values(found(t), ["doc_id"]).groupBy("field").agg(F.count("*").alias("n"))
+
+
+@query("X06_best_of_field", f"SELECT doc_id, field, value FROM (SELECT doc_id, 'ip' AS field, regexp_extract(text, '({_IP})', 1) AS value FROM documents UNION ALL SELECT doc_id, 'number', regexp_extract(text, '({_NUM})', 1) FROM documents UNION ALL SELECT doc_id, 'email', regexp_extract(text, '({_MAIL})', 1) FROM documents) WHERE value <> ''")
+def best_of_field(t: Tables) -> DataFrame:
+    return X.best_values(found(t), ["doc_id"]).select("doc_id", "field", "value")
+
+
+_TOKENS = "SELECT doc_id, unnest(range(len(string_split(line, ' ')))) AS i, unnest(string_split(line, ' ')) AS word, line_no FROM lines"
+
+
+@query("X07_token_anchors", f"WITH w AS ({_TOKENS}), n AS (SELECT *, lead(word, 1) OVER (PARTITION BY doc_id, line_no ORDER BY i) AS w1, lead(word, 2) OVER (PARTITION BY doc_id, line_no ORDER BY i) AS w2 FROM w) SELECT doc_id, line_no, CAST(i AS INTEGER) AS i, CASE WHEN regexp_matches(w1, '^[a-z]{{4,}}$') THEN w1 WHEN regexp_matches(w2, '^[a-z]{{4,}}$') THEN w2 END AS value FROM n WHERE word = 'the' AND (regexp_matches(w1, '^[a-z]{{4,}}$') OR regexp_matches(w2, '^[a-z]{{4,}}$'))")
+def token_anchors(t: Tables) -> DataFrame:
+    """The first acceptable token within two after an anchor token, from array slices of each line."""
+    w = F.split("line", " ")
+    at = t.lines.select("doc_id", "line_no", w.alias("w"), F.posexplode(w).alias("i", "word")).where("word = 'the'")
+    near = F.filter(F.slice("w", F.col("i") + 2, F.lit(2)), lambda x: x.rlike("^[a-z]{4,}$"))
+    return at.select("doc_id", "line_no", "i", F.try_element_at(near, F.lit(1)).alias("value")).where("value IS NOT NULL")
+
+
+@query("X08_entities")
+def entities(t: Tables) -> DataFrame:
+    """All labelled patterns of a text through a Python UDTF, for callers that think in table functions."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="label string, value string, start int")
+    class Entities:
+        def eval(self, text: str):
+            import re
+
+            for label, pattern in (("ip", _IP), ("number", _NUM)):
+                for m in re.finditer(pattern, text or ""):
+                    yield label, m.group(), m.start()
+
+    t.spark.udtf.register("entities", Entities)
+    t.documents.createOrReplaceTempView("_entity_documents")
+    return t.spark.sql("SELECT doc_id, label, value, start FROM _entity_documents, LATERAL entities(text)")
+
+
+@query("X09_name_lines", "SELECT count(*) AS n, count(CASE WHEN regexp_matches(trim(line), '[0-9]') THEN 1 END) AS with_digits FROM lines")
+def name_lines(t: Tables) -> DataFrame:
+    n = X.name_lines(t.lines, ["doc_id", "line_no"])
+    return n.agg(F.count("*").alias("n"), F.count(F.when(F.concat(F.lit(","), "reasons", F.lit(",")).contains(",digits,"), 1)).alias("with_digits"))
+
+
+@query("X10_domain_hints", f"WITH h AS (SELECT DISTINCT doc_id, field, value FROM ({_sql('number', '[0-9]{5,}')} UNION ALL {_sql('ip', _IP)})) SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY field, value) <= 100")
+def domain_hints(t: Tables) -> DataFrame:
+    h = X.extract(t.documents, [X.Pattern("number", "([0-9]{5,})", 0.6), X.Pattern("ip", f"({_IP})", 0.8)], ["doc_id"]).select("doc_id", "field", "value").distinct()
+    return W.first_by(h, ["doc_id"], ["field", "value"], 100)
+
+
+def roles(markers: tuple[str, ...]):
+    """Names per role in one document: short lines within 30 lines after a role's marker, up to three of each."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, role, since = [], None, 0
+        for r in pdf.sort_values("line_no").itertuples():
+            low = r.line.lower()
+            mark = next((k for k in markers if k in low), None)
+            role, since = (mark, r.line_no) if mark else (role, since)
+            if role and not mark and r.line_no - since <= 30 and 2 <= len(r.line.split()) <= 4:
+                out.append((r.doc_id, role, r.line.strip()))
+        found = pd.DataFrame(out, columns=["doc_id", "role", "name"]).drop_duplicates()
+        return found.groupby(["doc_id", "role"]).head(3)
+
+    return run
+
+
+@query("X11_party_roles")
+def party_roles(t: Tables) -> DataFrame:
+    marked = t.lines.where("length(line) < 80")
+    return marked.groupBy("doc_id").applyInPandas(roles(("the", "der", "les", "los")), "doc_id long, role string, name string")
+
+
+@query("X12_document_test", "SELECT doc_id, (contains(lower(text), 'license') AND length(text) > 100) AS v FROM documents")
+def document_test(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", (F.lower("text").contains("license") & (F.length("text") > 100)).alias("v"))
+
+
+@query("X13_structured", "SELECT doc_id, regexp_extract(text, '(?i)licensed under (the [A-Za-z]+)', 1) AS v FROM documents")
+def structured(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.regexp_extract("text", "(?i)licensed under (the [A-Za-z]+)", 1).alias("v"))
+
+
+_D = "regexp_replace(v, '[^0-9]', '', 'g')"
+
+
+@query("V01_gate", f"WITH x AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'party.cnic' WHEN 1 THEN 'consideration.amount' ELSE 'title' END AS key, CASE event_id % 3 WHEN 0 THEN '35202 1234567 ' || (event_id % 20) WHEN 1 THEN CASE WHEN event_id % 2 = 0 THEN 'Rs ' ELSE '' END || (event_id % 5000) ELSE trim(action) END AS v FROM audit) SELECT event_id, CASE WHEN key = 'party.cnic' THEN CASE WHEN length({_D}) = 13 THEN substr({_D}, 1, 5) || '-' || substr({_D}, 6, 7) || '-' || substr({_D}, 13, 1) END WHEN key = 'title' THEN v ELSE CASE WHEN length({_D}) >= 4 OR contains(v, 'Rs') THEN {_D} END END AS value FROM x")
+def gate_query(t: Tables) -> DataFrame:
+    k = F.col("event_id") % 3
+    x = t.audit.select("event_id", F.when(k == 0, "party.cnic").when(k == 1, "consideration.amount").otherwise("title").alias("key"), F.when(k == 0, F.concat(F.lit("35202 1234567 "), (F.col("event_id") % 20).cast("string"))).when(k == 1, F.concat(F.when(F.col("event_id") % 2 == 0, "Rs ").otherwise(""), (F.col("event_id") % 5000).cast("string"))).otherwise(F.trim("action")).alias("v"))
+    return x.select("event_id", X.gate(F.col("key"), F.col("v"))["value"].alias("value"))
+
+
+@query("V02_field_validators", "SELECT p_partkey, (p_size BETWEEN 1 AND 9999) AS plot_ok, length(p_name) <= 40 AS registry_ok FROM part")
+def field_validators(t: Tables) -> DataFrame:
+    return t.raw("part").select("p_partkey", X.plot_gate(F.col("p_size").cast("string"))["ok"].alias("plot_ok"), (F.length("p_name") <= 40).alias("registry_ok"))
+
+
+@query("V03_validate_candidate", "SELECT event_id, CASE WHEN length(action) < 5 THEN 0.4 WHEN value < 30 THEN 0.3 ELSE 0.9 END AS factor FROM audit")
+def validate_candidate(t: Tables) -> DataFrame:
+    return t.audit.select("event_id", F.when(F.length("action") < 5, 0.4).when(F.col("value") < 30, 0.3).otherwise(0.9).alias("factor"))
+
+
+_LV = "CASE WHEN value >= 70 THEN 1.0 WHEN value >= 45 THEN 0.8 WHEN value >= 30 THEN 0.4 ELSE 0.2 END"
+
+
+@query("V04_quality_gate", f"SELECT event_id, round(0.9 * {_LV}, 6) AS confidence, {_LV} < 0.8 AS review FROM audit")
+def quality_gate(t: Tables) -> DataFrame:
+    from ..operators.kpis import quality_level
+
+    factor = X.lookup(quality_level(F.col("value") / 100), X.QUALITY_FACTORS, 0.3)
+    return t.audit.select("event_id", F.round(0.9 * factor, 6).alias("confidence"), (factor < 0.8).alias("review"))
+
+
+@query("V05_cap_low_quality", "SELECT event_id, CASE WHEN value < 45 THEN least(value / 100, 0.4) ELSE value / 100 END AS confidence FROM audit")
+def cap_low_quality(t: Tables) -> DataFrame:
+    c = F.col("value") / 100
+    return t.audit.select("event_id", F.when(F.col("value") < 45, F.least(c, F.lit(0.4))).otherwise(c).alias("confidence"))
+
+
+@query("V06_autofill", f"SELECT doc_id, field, value FROM (SELECT doc_id, 'ip' AS field, regexp_extract(text, '({_IP})', 1) AS value FROM documents UNION ALL SELECT doc_id, 'email', regexp_extract(text, '({_MAIL})', 1) FROM documents) WHERE value <> '' AND doc_id % 2 = 0 UNION ALL SELECT doc_id, 'email', 'kept' FROM documents WHERE doc_id % 2 = 1")
+def autofill(t: Tables) -> DataFrame:
+    """Best values go into empty fields; filled ones (every odd document's email, here its only field) stay."""
+    best = X.best_values(found(t).where("field IN ('ip', 'email')"), ["doc_id"]).where("doc_id % 2 = 0").select("doc_id", "field", "value")
+    filled = t.documents.where("doc_id % 2 = 1").select("doc_id", F.lit("email").alias("field"), F.lit("kept").alias("value"))
+    return W.upsert(best, filled, ["doc_id", "field"])
+
+
+@query("V07_method_confidence", "SELECT event_id, CASE action WHEN 'click' THEN 0.92 WHEN 'view' THEN 0.90 WHEN 'error' THEN 0.85 ELSE 0.70 END AS confidence FROM audit")
+def method_confidence(t: Tables) -> DataFrame:
+    method = F.when(F.col("action") == "click", "label").when(F.col("action") == "view", "anchor").when(F.col("action") == "error", "section")
+    return t.audit.select("event_id", X.lookup(method, X.METHOD_CONFIDENCE, 0.70).alias("confidence"))
+
+
+_KEYS = {"licensed": ["license", "public"], "insult": ["idiot", "clown", "trash"], "secret": ["token", "password"]}
+_H = {k: " + ".join(f"least((length(lower(text)) - length(replace(lower(text), '{w}', ''))) // {len(w)}, 5)" for w in ws) for k, ws in _KEYS.items()}
+
+
+@query("C01_classify", f"WITH h AS (SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in _H.items())} FROM documents) SELECT doc_id, CASE WHEN greatest(licensed, insult, secret) = 0 THEN 'unknown' WHEN licensed >= insult AND licensed >= secret THEN 'licensed' WHEN insult >= secret THEN 'insult' ELSE 'secret' END AS type, CAST(greatest(licensed, insult, secret) AS INTEGER) AS hits FROM h")
+def classify(t: Tables) -> DataFrame:
+    c = t.documents.select("doc_id", X.classify(F.col("text"), _KEYS).alias("c"))
+    return c.select("doc_id", F.col("c.type").alias("type"), F.col("c.hits").alias("hits"))
+
+
+@query("C02_prediction_review", f"WITH h AS (SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in _H.items())} FROM documents) SELECT doc_id, greatest(licensed, insult, secret) = 0 AS unsure FROM h")
+def prediction_review(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", (X.classify(F.col("text"), _KEYS)["confidence"] < 0.55).alias("unsure"))
+
+
+@query("C03_engine_choice", "SELECT user_id, max(value) AS best, max(value) < 55 AS fallback FROM audit GROUP BY user_id")
+def engine_choice(t: Tables) -> DataFrame:
+    return t.audit.groupBy("user_id").agg(F.max(F.struct("value", "event_id")).alias("m")).select("user_id", F.col("m.value").alias("best"), (F.col("m.value") < 55).alias("fallback"))
+
 
-def parsed_date(value: Column) -> Column:
-    """yyyy-mm-dd of a day-first date with . / or -; null for impossible days (29 February always passes)."""
-    at = lambda i: F.regexp_extract(value, "^\\s*([0-9]{1,2})[./-]([0-9]{1,2})[./-]([0-9]{4})\\s*$", i).try_cast("int")
-    d, m, y = at(1), at(2), at(3)
-    most = F.when(m == 2, 29).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
-    good = y.between(1900, 2100) & m.between(1, 12) & d.between(1, 31) & (d <= most)
-    return F.when(good, F.concat_ws("-", y.cast("string"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")))
+@query("C04_token_spans", "WITH x AS (SELECT *, CASE WHEN value >= 60 THEN action ELSE 'O' END AS label FROM audit), c AS (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY user_id ORDER BY event_id) IS NOT DISTINCT FROM label THEN 0 ELSE 1 END AS ch FROM x), r AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM c) SELECT user_id, min(label) AS label, min(event_id) AS first_id, count(*) AS size FROM r WHERE label <> 'O' GROUP BY user_id, run")
+def token_spans(t: Tables) -> DataFrame:
+    x = t.audit.withColumn("label", F.when(F.col("value") >= 60, F.col("action")).otherwise("O"))
+    runs = W.islands(x, ["user_id"], ["event_id"], F.col("label"))
+    return runs.where("label <> 'O'").groupBy("user_id", "run").agg(F.min("label").alias("label"), F.min("event_id").alias("first_id"), F.count("*").alias("size")).drop("run")

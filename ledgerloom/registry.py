@@ -38,7 +38,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def load() -> None:
-    from .plans import aggregates, relational, rules, scalars, transitions  # noqa: F401
+    from .plans import aggregates, evaluation, events, extraction, relational, rules, scalars, transitions  # noqa: F401
 
 
 load()

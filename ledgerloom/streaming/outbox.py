@@ -24,3 +24,56 @@ def after_attempt(events: DataFrame, failed: Column) -> DataFrame:
     n = F.col("attempts") + 1
     status = F.when(~failed, "Done").when(n >= MAX_ATTEMPTS, "Failed").otherwise("Pending")
     return events.select("event_id", status.alias("status"), F.when(failed, n).otherwise(F.col("attempts")).alias("attempts"), F.when(failed & (n < MAX_ATTEMPTS), backoff_seconds(n)).alias("wait"))
+
+
+def fan_out(events: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """(event_id, endpoint_id) for every enabled endpoint that subscribes to the event's type; static side may be small."""
+    return events.join(endpoints.where("enabled").select("endpoint_id", F.explode("subscribed").alias("event_type")), "event_type").select("event_id", "endpoint_id")
+
+
+def stream(spark, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
+    """Parquet files of an outbox folder as a stream; ts becomes a timestamp, as watermarks need one."""
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def daily_counts(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """Tumbling daily counts by type; appended once the watermark has passed a day."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").cast("date").alias("day"), "event_type", "n")
+
+
+def deduplicated(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """Each event once, however often it is sent within the watermark."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Bursts of a user's events, closed by a gap."""
+    return events.withWatermark("ts", gap).groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").alias("start"), "n")
+
+
+def retries(events: DataFrame) -> DataFrame:
+    """Attempts per event as arbitrary state: (event_id, attempts, status) after each failed or successful delivery.
+
+    events: (event_id, failed boolean).  The transition is next_state(), which tests run without a stream.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def run(key, batches, state):
+        attempts, status = state.get if state.exists else (0, "Pending")
+        for pdf in batches:
+            for failed in pdf["failed"]:
+                attempts, status = next_state(attempts, status, bool(failed))
+        state.update((attempts, status))
+        yield pd.DataFrame([(key[0], attempts, status)], columns=["event_id", "attempts", "status"])
+
+    return events.groupBy("event_id").applyInPandasWithState(run, "event_id long, attempts int, status string", "attempts int, status string", "update", GroupStateTimeout.NoTimeout)
+
+
+def next_state(attempts: int, status: str, failed: bool) -> tuple[int, str]:
+    if status != "Pending":
+        return attempts, status
+    if not failed:
+        return attempts, "Done"
+    return attempts + 1, "Failed" if attempts + 1 >= MAX_ATTEMPTS else "Pending"
