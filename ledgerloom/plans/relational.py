@@ -431,3 +431,34 @@ def capped_hints(t: Tables) -> DataFrame:
 @query("U06_flat_map", "SELECT doc_id, unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) AS word FROM documents WHERE n_chars < 200")
 def flat_map(t: Tables) -> DataFrame:
     return t.documents.where("n_chars < 200").select("doc_id", F.explode(F.filter(F.split("text", " "), lambda x: x != "")).alias("word"))
+
+
+# --- readers on rows: the same parsers the file sources use ---
+@query("S07_csv_reader", "SELECT p_partkey AS id, p_brand AS brand, p_size AS size FROM part")
+def csv_reader(t: Tables) -> DataFrame:
+    line = F.concat_ws(",", F.col("p_partkey").cast("string"), F.concat(F.lit('"'), "p_brand", F.lit('"')), F.col("p_size").cast("string"))
+    return t.raw("part").select(F.from_csv(line, "id long, brand string, size int").alias("r")).select("r.*")
+
+
+@query("S09_manifest_reader", "SELECT o_orderkey AS id, p AS page FROM orders, (VALUES (1), (2)) x(p) WHERE o_orderkey % 10 = 0")
+def manifest_reader(t: Tables) -> DataFrame:
+    doc = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.array(F.struct(F.lit(1).alias("page")), F.struct(F.lit(2).alias("page"))).alias("pages")))
+    m = t.raw("orders").where("o_orderkey % 10 = 0").select(F.from_json(doc, "id long, pages array<struct<page:int>>").alias("m"))
+    return m.select("m.id", F.explode("m.pages").alias("p")).select("id", "p.page")
+
+
+@query("S10_json_lines", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_lines(t: Tables) -> DataFrame:
+    return t.raw("events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("S11_page_split", "SELECT doc_id, line_no + 1 AS page, length(line) AS chars FROM lines")
+def page_split(t: Tables) -> DataFrame:
+    from ..sources.files import paged
+
+    return paged(t.documents.select("doc_id", "text"), "text", "\n").select("doc_id", "page", F.length("page_text").cast("long").alias("chars"))
+
+
+@query("S19_report_rows", "SELECT lang, count(*) AS n, round(avg(n_chars), 2) AS mean_chars FROM documents GROUP BY lang")
+def report_rows(t: Tables) -> DataFrame:
+    return t.documents.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 2).alias("mean_chars"))
