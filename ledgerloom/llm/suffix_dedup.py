@@ -21,7 +21,10 @@ first brought together that can match at all:
    is never brought to one task.  There runs of equal LENGTH-prefixes are
    formed by hash: chunks of contexts count their windows, partial counts are
    summed for each hash, and only hashes that occur again return to the chunks
-   that asked.  This is exact for every number of contexts.
+   that asked.  Before that, the bytes common to BLOCK windows at equal offsets
+   from the anchor are counted in the same way: where they occur once, none of
+   these windows repeats, and none is asked for.  This is exact for every
+   number of contexts.
 
 Contexts and passages are compared on whole texts, and only run descriptors
 (about one for 150 bytes) and the contexts of step 3 and 4 are exchanged, with
@@ -46,9 +49,10 @@ from .kernel import U64, Text, mix, pieces, powers
 
 LENGTH = 400
 GRAM = 100
-GROUP = 200
+GROUP = 500
 BATCH_BYTES = 1 << 20
 CHUNK = 256
+BLOCK = 16
 _LOW = 22
 
 
@@ -299,12 +303,30 @@ def _large_groups(contexts: DataFrame, length: int, keep_first: bool) -> DataFra
         if held:
             yield held
 
-    def ask(batches):
-        """Each chunk's distinct windows: how many there are, and the first of them."""
+    def blocks(r: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """(block of each window, hash of what each block's windows have in common) of a context."""
+        n, x = len(r[5]) - length + 1, r[3] - r[4]
+        block = (x - np.arange(n)) // min(BLOCK, length)
+        core = length - min(BLOCK, length) + 1
+        b = np.arange(block[-1], block[0] + 1)
+        return block - b[0], mix(window_hashes(r[5], core)[x - b * min(BLOCK, length)] + b.astype(U64))
+
+    def ask_cores(batches):
         with np.errstate(over="ignore"):
             for own in groups(batches, ("key", "doc_id", "row", "at", "first", "bytes")):
+                value, count = np.unique(np.concatenate([blocks(r)[1] for r in own]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([own[0][0]] * len(value), pa.int64()), pa.array(value.view(np.int64)), pa.array(count)], names=["key", "core", "n"])
+
+    def ask(batches):
+        """Each chunk's distinct windows that may repeat: how many there are, and the first of them."""
+        with np.errstate(over="ignore"):
+            for own in groups(batches, ("key", "doc_id", "row", "at", "first", "bytes", "cores")):
                 own.sort(key=order)
-                h = [window_hashes(r[5], length) for r in own]
+                again = np.array(own[0][6], np.int64).view(U64)
+                h = []
+                for r in own:
+                    block, core = blocks(r)
+                    h.append(window_hashes(r[5], length)[np.isin(core, again)[block]])
                 who = np.repeat(np.arange(len(own)), [len(x) for x in h])
                 value, first, count = np.unique(np.concatenate(h), return_index=True, return_counts=True)
                 lead = [own[i] for i in who[first].tolist()]
@@ -314,12 +336,16 @@ def _large_groups(contexts: DataFrame, length: int, keep_first: bool) -> DataFra
                 )
 
     keyed_chunks = asked.withColumn("key", F.xxhash64("anchor", "chunk"))
-    windows = keyed_chunks.select("key", "doc_id", "row", "at", "first", "bytes").mapInArrow(ask, "key long, window long, n long, doc_id long, row long, at long")
+    chunk_rows = keyed_chunks.select("key", "doc_id", "row", "at", "first", "bytes")
+    cores = written(chunk_rows.mapInArrow(ask_cores, "key long, core long, n long"), "cores")
+    twice = written(cores.groupBy("core").agg(F.sum("n").alias("n")).where("n > 1").select("core"), "cores-again")
+    hopeful = written(cores.select("key", "core").join(twice.hint("merge"), "core").groupBy("key").agg(F.collect_list("core").alias("cores")), "cores-by-chunk")
+    windows = chunk_rows.join(hopeful.hint("merge"), "key").sortWithinPartitions("key").mapInArrow(ask, "key long, window long, n long, doc_id long, row long, at long")
     windows = written(windows, "windows")
     again = windows.groupBy("window").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "row", "at")).alias("lead")).where("n > 1")
     found = windows.select("key", "window").join(written(again, "windows-again").hint("merge"), "window")
     answers = found.groupBy("key").agg(F.collect_list(F.struct("window", "lead")).alias("found"))
-    both = keyed_chunks.select("key", "doc_id", "row", "at", "first", "bytes").join(written(answers, "answers").hint("merge"), "key")
+    both = chunk_rows.join(written(answers, "answers").hint("merge"), "key")
 
     def answer(batches):
         with np.errstate(over="ignore"):
