@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import ALNUM, Text, byte_ngrams, distinct_words, pieces, segment_sum
+from .kernel import ALNUM, FOLD, Text, byte_ngrams, distinct_words, pieces, segment_sum
 
 ORDERS = (4, 5, 6, 7, 8)
 BITS = 20
@@ -55,15 +55,42 @@ def passages(text: Text) -> tuple[Text, np.ndarray, np.ndarray, np.ndarray]:
     return words, which, np.append(start, len(doc)), doc[start]
 
 
+def whole_word(words: Text) -> np.ndarray:
+    return (words.hashes(words.offsets[:-1], words.offsets[1:], words.prefix(fold=False)) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def bags(words: Text) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, bounds by word): the n-grams of each word and the word itself."""
     owner, bucket = byte_ngrams(words, ORDERS, BITS)
-    whole = (words.hashes(words.offsets[:-1], words.offsets[1:], words.prefix(fold=False)) >> np.uint64(64 - BITS)).astype(np.int64)
-    owner, bucket = np.concatenate([owner, np.arange(len(words))]), np.concatenate([bucket, whole])
+    owner, bucket = np.concatenate([owner, np.arange(len(words))]), np.concatenate([bucket, whole_word(words)])
     order = np.argsort(owner, kind="stable")
     return bucket[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
 
 
+def sample_passages(texts: list[str]) -> tuple[Text, np.ndarray, np.ndarray, np.ndarray]:
+    """As passages(), for a sample of texts taken piece by piece: only hashes are held for every word."""
+    known: dict[int, bytes] = {}
+    hashes, docs, at = [], [], 0
+    for part in pieces(pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])):
+        text = Text.of(part.column("text"))
+        h, s, e, doc = text.words(ALNUM)
+        distinct, first = np.unique(h, return_index=True)
+        raw = FOLD[text.data].tobytes()
+        for x, a, b in zip(distinct.tolist(), s[first].tolist(), e[first].tolist()):
+            if x not in known:
+                known[x] = b"<" + raw[a:b] + b">"
+        hashes.append(h)
+        docs.append((doc + at).astype(np.int32))
+        at += len(text)
+    keys = np.array(sorted(known), np.uint64)
+    words = Text.of(pa.array([known[k] for k in keys.tolist()], pa.large_binary()))
+    h, doc = np.concatenate(hashes), np.concatenate(docs)
+    which = np.searchsorted(keys, h).astype(np.int32)
+    first = np.searchsorted(doc, np.arange(len(texts)))
+    start = np.flatnonzero((np.arange(len(doc)) - first[doc]) % PASSAGE == 0)
+    return words, which, np.append(start, len(doc)), doc[start].astype(np.int64)
+
+
 class Model:
     def __init__(self, rows: np.ndarray, intercept: float):
         """rows: the product of each embedding row and the softmax's class difference."""
@@ -88,19 +115,27 @@ def train(texts: list[str], labels: np.ndarray, share: float, seed: int = 7) ->
     first embedding axis starts from each row's shrunk log odds between the
     classes, so that the first choice of most toxic passages is a sensible one.
     """
-    words, which, bounds, doc = passages(Text.of_strings(texts))
-    bucket, own = bags(words)
-    per_word, per_passage = np.maximum(np.diff(own), 1), np.diff(bounds)
-    owner = np.repeat(np.arange(len(words)), np.diff(own))
+    words, which, bounds, doc = sample_passages(texts)
+    size = np.diff(words.offsets)
+    per_word = 1 + sum(np.maximum(size - n + 1, 0) for n in ORDERS)
+    per_passage = np.diff(bounds)
     pair = np.unique(np.repeat(doc, per_passage) * len(words) + which)
     in_docs = [np.bincount(pair[labels[pair // len(words)] == y] % len(words), minlength=len(words)) for y in (0, 1)]
-    seen = [np.bincount(bucket, weights=c[owner], minlength=1 << BITS) for c in in_docs]  # n-grams of two words of a document count twice
-    used = np.flatnonzero(seen[0] + seen[1] >= LEAST_DOCS)
-    place = np.full(1 << BITS, -1)
-    place[used] = np.arange(len(used))
-    keep = place[bucket] >= 0
-    slot, owner = place[bucket[keep]], owner[keep]
+    del pair
+    # Order by order, so that only entries of trained rows are held.  n-grams of two words of a document count twice.
+    seen, parts = [np.zeros(1 << BITS), np.zeros(1 << BITS)], []
+    for n in (*ORDERS, 0):
+        owner, bucket = byte_ngrams(words, (n,), BITS) if n else (np.arange(len(words)), whole_word(words))
+        own_seen = [np.bincount(bucket, weights=c[owner], minlength=1 << BITS) for c in in_docs]
+        keep = (own_seen[0] + own_seen[1])[bucket] >= LEAST_DOCS
+        parts.append((owner[keep].astype(np.int32), bucket[keep].astype(np.int32)))
+        seen = [a + b for a, b in zip(seen, own_seen)]
+    owner, bucket = (np.concatenate(c) for c in zip(*parts))
+    order = np.argsort(owner, kind="stable")
+    owner, bucket = owner[order], bucket[order]
+    used, slot = np.unique(bucket, return_inverse=True)
     own = np.searchsorted(owner, np.arange(len(words) + 1))
+    del parts, order, bucket
 
     n1, n0 = max(1, (labels == 1).sum()), max(1, (labels == 0).sum())
     p, q = seen[1][used], seen[0][used]
