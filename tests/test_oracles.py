@@ -22,10 +22,10 @@ def duck():
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    text = lambda x: "None" if x is None or x is pd.NaT or x != x else f"{x:.6f}" if isinstance(x, float) else str(x)
+    text = lambda x: "None" if pd.isna(x) else f"{x:.6f}" if isinstance(x, float) else str(x)
     out = []
     for r in df.itertuples(index=False):
-        out.append(tuple(text(float(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) else text(x) for x in r))
+        out.append(tuple(text(x if pd.isna(x) or not isinstance(x, (int, float)) or isinstance(x, bool) else float(x)) for x in r))
     return sorted(out)
 
 
