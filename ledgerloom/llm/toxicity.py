@@ -40,7 +40,7 @@ BITS = 20
 DIM = 8
 PASSAGE = 2
 PER_CLASS = 3000
-SAMPLE_BYTES = 24 << 20
+SAMPLE_BYTES = 14 << 20
 STEPS, RATE, DECAY = 40, 0.03, 1.0
 LEAST_DOCS = 20
 
