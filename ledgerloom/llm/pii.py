@@ -14,8 +14,9 @@ amounts, order numbers, times, hashes), with and without context words.  Half
 of them fit the trees, a quarter the calibration, and a quarter chooses the
 lowest threshold with a precision of at least PRECISION.
 
-Texts are read whole, in one pass without a shuffle; only texts with a digit
-or an at sign become Python strings.
+Texts are read whole, in one pass without a shuffle; only texts that hold what
+every match needs (a digit, an at sign, the word "at" or three colons) become
+Python strings.
 
 Defined results: null and empty texts have no spans; offsets are code points;
 base spans of different kinds may overlap, added ones overlap nothing; repeated
@@ -48,9 +49,14 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
+# The rest of an address after its local part, up to the second part of the host: every candidate has one.
+_AT_HOST = r"(?:@|[\[({]\s?(?:at|AT|@)\s?[\])}]|\s(?:at|AT)\s)\s?[A-Za-z0-9-]{1,63}"
+_DOT_PART = r"(?:\s?(?:\.|[\[({]\s?(?:dot|DOT|\.)\s?[\])}]|\s(?:dot|DOT)\s)\s?[A-Za-z0-9-]{2,63})"
+_EMAIL_GATE = re.compile(_AT_HOST + _DOT_PART)
+
 #: Further candidates.
 _WIDE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?(?:@|[\[({]\s?(?:at|AT|@)\s?[\])}]|\s(?:at|AT)\s)\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\.|[\[({]\s?(?:dot|DOT|\.)\s?[\])}]|\s(?:dot|DOT)\s)\s?[A-Za-z0-9-]{2,63}){1,4}"),
+    "email": re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?" + _AT_HOST + _DOT_PART + "{1,4}"),
     "ip": re.compile(r"(?<![0-9A-Za-z.:])(?:[0-9]{1,3}(?:\s?[\[(]\.[\])]\s?|\.)){3}[0-9]{1,3}(?![0-9A-Za-z.])|(?<![0-9A-Za-z.:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
     "card": re.compile(r"(?<![0-9A-Za-z.,+])[0-9](?:[ ./-]?[0-9]){12,18}(?![0-9A-Za-z])"),
     "phone": re.compile(r"(?<![0-9A-Za-z.,/$-])(?:\(?0?[0-9]{1,5}\)?[ .-]{1,2})(?:[0-9]{2,5}[ .-]){1,4}[0-9]{2,5}(?![0-9A-Za-z/-])"),
@@ -109,7 +115,7 @@ def base_spans(t: str) -> list[tuple[str, int, int]]:
 def candidates(t: str) -> list[tuple[str, int, int]]:
     found = []
     for kind, pattern in _WIDE.items():
-        if kind == "email" and not ("@" in t or re.search(r"(?i)\bat\b.{1,70}\bdot\b", t)):
+        if kind == "email" and not _EMAIL_GATE.search(t):
             continue
         found += [(kind, m.start(), m.end()) for m in pattern.finditer(t)]
     return found
@@ -258,12 +264,15 @@ SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struct
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("base", pa.bool_())]))
 _SEEN = np.zeros(256)
 _SEEN[[*range(48, 58), 0x40]] = 1
+# What every candidate without a digit or an at sign holds: the word "at", or colons between hexadecimal groups.
+_SIGN = re.compile(rb"(?<![0-9A-Za-z])(?:at|AT)(?![0-9A-Za-z])|(?:[A-Fa-f]{1,4}:){3}")
 
 
 def _spans(part: pa.RecordBatch, model: Model) -> list[list[tuple]]:
     text = Text.of(part.column("text"))
-    # Written-out addresses have neither; "dot" between words is their sign.
-    want = (segment_sum(_SEEN[text.data], text.offsets) > 0) | np.array([b"dot" in text.data[a:b].tobytes().lower() for a, b in zip(text.offsets[:-1], text.offsets[1:])], bool)
+    want = segment_sum(_SEEN[text.data], text.offsets) > 0
+    for i in np.flatnonzero(~want).tolist():
+        want[i] = _SIGN.search(text.data[text.offsets[i] : text.offsets[i + 1]].tobytes()) is not None
     at = np.flatnonzero(want)
     column = part.column("text")
     out: list[list[tuple]] = [[] for _ in range(part.num_rows)]

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
+
 from ledgerloom.llm import pii as P
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -60,3 +62,17 @@ def test_redaction(spark):
     assert got[1].text == "mail <EMAIL> or <IP>!" and got[1].n_chars == 21
     assert got[2].text is None and got[3].text == "clean text 2024"
     assert P.redact(df).columns == df.columns and P.find(df.limit(0)).count() == 0
+
+
+def test_written_out_address_without_other_signs(spark):
+    texts = ["write to jane.doe [at] mail.com today", "write to jane.doe at mail.com today", "reach jane.doe (AT) mail (DOT) org now", "host fe:dc:ba:ab:cd:ef:fa:ce is up", "nothing at all here. or there"]
+    for t in texts[:4]:
+        kind = "ip" if "host" in t else "email"
+        assert any(k == kind and P._WIDE[kind].search(t).span() == (s, e) for k, s, e in P.candidates(t)), t
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in P.summary(P.find(df, ["doc_id"])).collect()}
+    assert got[0] == "email:9:31" and got[2].startswith("email:")
+    part = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    assert P._spans(part, P.trained()) == P.spans_of(texts, P.trained())  # the text's gate loses nothing
+    alone, beside = P.candidates(texts[0]), P.candidates(texts[0] + " @")
+    assert [c for c in beside if c in alone] == alone
