@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import ALNUM, FOLD, Text, byte_ngrams, distinct_words, pieces, segment_sum
@@ -41,6 +41,7 @@ DIM = 8
 PASSAGE = 2
 PER_CLASS = 3000
 SAMPLE_BYTES = 14 << 20
+SPACED = 64  # passages of a text that alone is larger than its class's share of SAMPLE_BYTES
 STEPS, RATE, DECAY = 40, 0.03, 1.0
 LEAST_DOCS = 20
 
@@ -183,6 +184,21 @@ def held_out(key: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def fitting(sizes: list[int], room: int) -> list[bool]:
+    """Which texts are taken, in order: each that fits in what is left.  Where none does, the first, of which `spaced` passages are taken."""
+    out = []
+    for size in sizes:
+        out.append(size <= room)
+        room -= size * out[-1]
+    return out if any(out) or not out else [True, *out[1:]]
+
+
+def spaced(text: Column, room: int) -> Column:
+    """Evenly spaced passages of a text, of at most `room` bytes together."""
+    each, count = max(1, room // (5 * SPACED)), F.length(text)
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SPACED - 1)), lambda i: F.substr(text, (F.floor(i * count / SPACED) + 1).cast("int"), F.lit(each))), " ")
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """From rows of labels (doc_id, toxic) that aren't held out, and the texts of docs."""
     marked = labels.where(~held_out()).where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id"), (F.col("toxic") == 1).cast("int").alias("y"))
@@ -197,11 +213,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_b
     kept = []
     for y in (0, 1):
         own = chosen[chosen.y == y]
-        kept.append(own[own["size"].cumsum() <= sample_bytes // 2].head(per_class))
+        kept.append(own[fitting(own["size"].tolist(), sample_bytes // 2)].head(per_class))
     ids = sorted({int(i) for k in kept for i in k.doc_id})
     spark = docs.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(i,) for i in ids], "doc_id long"))  # at most 2 * per_class ids
-    texts = {r.doc_id: r.text for r in docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").collect()}
+    long = F.octet_length("text") > sample_bytes // 2
+    held = F.when(long, spaced(F.col("text"), sample_bytes // 2)).otherwise(F.col("text")).alias("text")
+    texts = {r.doc_id: r.text for r in docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), held).join(wanted, "doc_id").collect()}
     rows = [(texts[i], y) for y in (0, 1) for i in kept[y].doc_id.astype(int) if i in texts]
     if len({y for _, y in rows}) < 2:
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(n[1] / n[0])))

@@ -66,3 +66,16 @@ def test_toxicity_without_labels_and_misspellings(spark):
     model = toxicity.train(texts, np.array(y), 1 / 3)
     s = model.score(Text.of_strings(["oh horriblezzed thing", "oh harmless thing"]))
     assert s[0] > 0.5 > s[1]
+
+
+def test_toxicity_with_a_text_larger_than_the_sample(spark):
+    rows = [(k, ("nice harmless words here", "awful horriblezz words here")[k % 2], k % 2) for k in range(200)]
+    train = lambda extra: toxicity.fit(*(spark.createDataFrame(rows + extra, "doc_id long, text string, toxic int").select(*c) for c in (("doc_id", "text"), ("doc_id", "toxic"))), sample_bytes=20_000)
+    probe = Text.of_strings(["awful horriblezz words", "nice harmless words"])
+    extra = [(k, "long horriblezz text " * 2000, 1) for k in range(1000, 1100)]  # wherever their hashes fall
+    s = train(extra).score(probe)
+    assert s[0] > 0.5 > s[1]
+    rows = [r for r in rows if r[2] == 0]
+    s = train(extra).score(probe)  # toxic texts that are all larger than the sample
+    assert s[0] > s[1]
+    assert toxicity.fitting([5, 99, 5, 1], 10) == [True, False, True, False] and toxicity.fitting([99, 98], 10) == [True, False]
