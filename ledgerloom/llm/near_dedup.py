@@ -145,14 +145,24 @@ def _agree(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def may_link(both: np.ndarray, union: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of a likeness of `least` may have bitmaps of 1 << 16 bits with so many bits in common and in all.
+
+    If c shingles of the union merge, all c of them may be common ones, so the
+    sets had both + c of union + c at most.  c is taken six standard deviations
+    and three shingles above its mean; links are confirmed on full sets anyway.
+    """
+    free = np.maximum(1 - union / (1 << 16), 1e-9)
+    mean = -np.log(free) * (1 << 16) - union
+    c = mean + 6 * np.sqrt(np.maximum(mean, 0)) / free + 3
+    return both + c >= least * (union + c)
+
+
 def _tiles(rows: DataFrame, least: float) -> DataFrame:
     """Pairs from different components within a bucket, for (key, tile, side, doc_id, label, sig, low) rows sorted by tile.
 
     side 0 rows of a tile meet each other (or, in a tile of two blocks, its
-    side 1 rows).  A pair passes if its bitmaps are about as alike as a linked
-    pair's: cutting hashes to 16 bits merges about union**2 / 2**17 shingles,
-    which lowers a likeness of 0.8 to (0.8 - d) / (1 - d) at most; chance
-    agreement only raises it.
+    side 1 rows).  A pair passes if its bitmaps may be a linked pair's.
     """
 
     def emit(ids, labels, sigs, side, low, least):
@@ -176,8 +186,7 @@ def _tiles(rows: DataFrame, least: float) -> DataFrame:
                 a, b = p[j : j + 512] + i, q[j : j + 512]
                 both = np.bitwise_count(maps[a] & maps[b]).sum(axis=1, dtype=np.int64)
                 union = size[a] + size[b] - both
-                d = np.minimum(union / (1 << 17) * 1.2 + 0.01, 0.5)
-                good[j : j + 512] = both / union >= (least - d) / (1 - d)
+                good[j : j + 512] = may_link(both, union, least)
             out.append(np.stack([ids[own][p[good]], ids[q[good]]], axis=1))
         return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 

@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from ledgerloom.llm import near_dedup as N
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -80,3 +82,22 @@ def test_empty_and_pipeline_form(spark):
     assert N.near_duplicates(df.limit(0)).count() == 0
     out = N.keep_one(df)
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
+def test_bitmaps_keep_pairs_at_the_threshold(spark):
+    # 72 of 90 shingles in common; two of the common ones share their low 16 bits.
+    common, a, b = list(range(71)), list(range(100, 109)), list(range(200, 209))
+    low = [np.array(sorted(common + own), np.uint16).tobytes() for own in (a, b)]
+    sig = bytes(N.HASHES)
+    rows = [(1, 0, 0, 0, d, d, sig, x) for d, x in zip((5, 6), low)]
+    tiles = spark.createDataFrame(rows, "key long, t1 int, t2 int, side int, doc_id long, label long, sig binary, low binary").coalesce(1)
+    assert [tuple(r) for r in N._tiles(tiles, 0.8).collect()] == [(5, 6)]
+    rng = np.random.default_rng(1)
+    for union in (40, 60, 90, 150, 4000, 40000, 120000):
+        for _ in range(2000 if union < 1000 else 20):
+            h = rng.integers(0, 1 << 16, union)
+            in_both = union * 4 // 5
+            x, y = np.unique(h[: in_both + (union - in_both) // 2]), np.unique(np.append(h[:in_both], h[in_both + (union - in_both) // 2 :]))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            assert N.may_link(both, len(x) + len(y) - both, 0.8)
+    assert not N.may_link(10, 90, 0.8)
