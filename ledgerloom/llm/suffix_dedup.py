@@ -1,4 +1,4 @@
-"""Repeated passages by longest-previous-factor arrays over suffix order.
+"""Repeated passages by suffix ranks within winnowed anchors.
 
 A byte goes if a string of LENGTH bytes that covers it also starts elsewhere
 (`keep_first` spares the first occurrence in order of document and position).
@@ -14,9 +14,10 @@ first brought together that can match at all:
    repeats.  A context that occurs again is done too: all its windows repeat.
 3. What is left are contexts that differ though their anchors agree, at the
    ends of repeated passages.  An anchor's distinct contexts are concatenated
-   and sorted as suffixes by prefix doubling; previous and next smaller
-   positions in suffix order give each position's longest earlier match, the
-   mirrored search its longest later one, both cut off at LENGTH.
+   and ranked as suffixes by prefix doubling up to LENGTH; positions of equal
+   rank repeat.  This replaces longest-previous-factor arrays, which say the
+   same where only matches of LENGTH count; `longest_previous` is kept as a
+   function of its own and no query calls it.
 4. An anchor of more than GROUP distinct contexts (one very common passage)
    is never brought to one task.  There runs of equal LENGTH-prefixes are
    formed by hash: chunks of contexts count their windows, partial counts are
