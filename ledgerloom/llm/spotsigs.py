@@ -6,10 +6,11 @@ sorted set of its signatures' 32-bit hashes, in hex.  Texts of fewer than
 LEAST chains, which anchors don't describe, take pairs of consecutive words
 (or their one word, or a hash of the wordless text) instead.
 
-Fingerprints are compared through a pruned Jaccard likeness: sets fall into
-partitions by length, such that a likeness of `least` or more can only lie
-within a partition or between neighbours, and the ratio of the lengths bounds
-a likeness before any element is looked at.
+Fingerprints are compared by their full Jaccard likeness.  A set's partition by
+length (a likeness of `least` or more can only lie within a partition or between
+neighbours) is a column of the result; nothing is searched or pruned by it here,
+as each text meets only its edit and its successor, whose likeness is asked for
+however low it is.
 
 `neighbours` compares every document with its edited text and with the next
 one.  Documents are dealt into ranges of descending doc_id by cut points from
