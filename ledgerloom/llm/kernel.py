@@ -8,6 +8,7 @@ bounded number of bytes, because each pass needs several 8-byte arrays a byte.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 PIECE_BYTES = 2 << 20
-_BASE = U64(0x9E3779B97F4A7C15)  # odd, hence invertible modulo 2**64
+_BASE = U64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,7 +33,6 @@ def seeded(n: int, seed: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=U64) * _BASE + U64(seed))
 
 
-BYTE_CODE = seeded(256, 1)
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32  # A-Z alone are lower-cased
 
@@ -46,23 +46,56 @@ ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 LETTERISH = ALNUM.copy()
 LETTERISH[48:58] = False
 
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, U64), np.ones(1, U64))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the base and of its inverse, modulo 2**64."""
-    global _powers
-    if len(_powers[0]) <= n:
-        inverse = U64(pow(int(_BASE), -1, 1 << 64))
-        both = []
-        for b in (_BASE, inverse):
-            steps = np.full(n + 1, b, U64)
-            steps[0] = 1
-            both.append(np.multiply.accumulate(steps))
-        if n > 8 * PIECE_BYTES:
-            return both[0], both[1]  # too large to keep
-        _powers = both[0], both[1]
-    return _powers
+#: Longer strings are hashed one by one.
+LONG = 64
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """For every position and the one after the last, the 8 bytes from it on as a number; beyond the end there are zeros."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end].
+
+    Eight bytes at a time go through the mixer, which keeps strings of one
+    length of up to eight bytes apart for certain; nothing in a chain of mixers
+    is linear, so no texts collide by their structure.  Strings of more than
+    LONG bytes get eight bytes of BLAKE2.
+    """
+    loads, length = eights(data), end - start
+    h = mix(length.astype(U64) * _BASE + U64(1))
+    live = np.flatnonzero(length > 0)
+    for k in range(0, LONG, 8):
+        if not len(live):
+            break
+        rest = np.minimum(length[live] - k, 8).astype(U64)
+        h[live] = mix(h[live] ^ (loads[start[live] + k] & (~U64(0) >> (U64(64) - U64(8) * rest))))
+        live = live[length[live] > k + 8]
+    for i in live.tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def windows(data: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """For each length, the 64-bit hashes of all windows of so many bytes, in rising order of lengths.
+
+    Hashes of 8 bytes are doubled: a window is two overlapping ones of the
+    greatest power of two that fits.
+    """
+    out, width, now = [], 8, mix(eights(data)[: max(0, len(data) - 7)])
+    for length in sorted(lengths):
+        if length < 8:
+            n = max(0, len(data) - length + 1)
+            out.append(mix(eights(data)[:n] & (~U64(0) >> U64(64 - 8 * length))))
+            continue
+        while 2 * width <= length:
+            now = mix(now[:-width] * _BASE + now[width:]) if len(now) > width else now[:0]
+            width *= 2
+        n = max(0, len(data) - length + 1)
+        out.append(mix(now[:n] * _BASE + now[length - width : length - width + n] + U64(length)))
+    return out
 
 
 class Text:
@@ -107,19 +140,9 @@ class Text:
         s = np.flatnonzero(start)
         return s, np.flatnonzero(end) + 1, np.searchsorted(self.offsets, s, side="right") - 1
 
-    def prefix(self, fold: bool = True) -> np.ndarray:
-        """Prefix sums from which any substring's hash follows."""
-        p, _ = powers(len(self.data))
-        code = BYTE_CODE[FOLD] if fold else BYTE_CODE
-        out = np.zeros(len(self.data) + 1, U64)
-        np.cumsum(code[self.data] * p[: len(self.data)], out=out[1:])
-        return out
-
-    def hashes(self, start: np.ndarray, end: np.ndarray, prefix: np.ndarray | None = None) -> np.ndarray:
-        """64-bit hashes of data[start:end], with A-Z lower-cased unless prefix says otherwise."""
-        prefix = self.prefix() if prefix is None else prefix
-        _, q = powers(len(self.data))
-        return mix((prefix[end] - prefix[start]) * q[start])
+    def hashes(self, start: np.ndarray, end: np.ndarray, fold: bool = True) -> np.ndarray:
+        """64-bit hashes of data[start:end], with A-Z lower-cased if fold."""
+        return string_hashes(FOLD[self.data] if fold else self.data, start, end)
 
     def words(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(hash, start, end, document index) of each word."""
@@ -159,13 +182,12 @@ def distinct_words(text: Text, hashes: np.ndarray, start: np.ndarray, end: np.nd
 
 def byte_ngrams(words: Text, orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(word, bucket) of every byte n-gram of the words, ordered by word; buckets are 2**bits hash values."""
-    prefix = words.prefix(fold=False)
     doc = np.repeat(np.arange(len(words)), np.diff(words.offsets))
     at = np.arange(len(doc))
     owners, buckets = [], []
     for n in orders:
         s = at[at + n <= words.offsets[doc + 1]]
-        h = words.hashes(s, s + n, prefix)
+        h = words.hashes(s, s + n, fold=False)
         owners.append(doc[s])
         buckets.append((mix(h + U64(n)) >> U64(64 - bits)).astype(np.int64))
     owner, bucket = np.concatenate(owners), np.concatenate(buckets)

@@ -118,7 +118,7 @@ class Encoder:
     def encode(self, text: Text) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; offsets by text)."""
         s, e, doc = self.chunks(text)
-        h = text.hashes(s, e, text.prefix(fold=False))
+        h = text.hashes(s, e, fold=False)
         distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
         if len(self.keys) > CACHE:
             self._clear()

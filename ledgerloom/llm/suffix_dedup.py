@@ -14,25 +14,31 @@ first brought together that can match at all:
    repeats.  A context that occurs again is done too: all its windows repeat.
 3. What is left are contexts that differ though their anchors agree, at the
    ends of repeated passages.  An anchor's distinct contexts are concatenated
-   and ranked as suffixes by prefix doubling up to LENGTH; positions of equal
-   rank repeat.  This replaces longest-previous-factor arrays, which say the
-   same where only matches of LENGTH count; `longest_previous` is kept as a
-   function of its own and no query calls it.
+   and their suffixes ranked by prefix doubling up to LENGTH.  In suffix order,
+   a position's previous and next smaller positions are its nearest earlier
+   occurrences: they give the longest-previous-factor array, and the same over
+   mirrored positions the longest match that starts later.  A window repeats
+   where either reaches LENGTH (with `keep_first`: the former).
 4. An anchor of more than GROUP distinct contexts (one very common passage)
-   is never brought to one task.  There runs of equal LENGTH-prefixes are
-   formed by hash: chunks of contexts count their windows, partial counts are
-   summed for each hash, and only hashes that occur again return to the chunks
-   that asked.  Before that, the bytes common to BLOCK windows at equal offsets
-   from the anchor are counted in the same way: where they occur once, none of
-   these windows repeats, and none is asked for.  This is exact for every
-   number of contexts.
+   is never brought to one task.  Its contexts are dealt to chunks; each chunk
+   finds its repeats by the same arrays and asks only for the first of each
+   run of equal windows.  Partial counts are summed for each (anchor, window
+   hash), and hashes that occur in several chunks return to those that asked.
+   Before that, the bytes common to BLOCK windows at equal offsets from the
+   anchor are counted in the same way: where they occur once, none of these
+   windows repeats, and none is asked for.  This is exact for every number of
+   contexts.
 
 Contexts and passages are compared on whole texts, and only run descriptors
 (about one for 150 bytes) and the contexts of step 3 and 4 are exchanged, with
-two merge joins that bring texts to their runs and to their results.
+two merge joins that bring texts to their runs and to their results.  A context
+is told from others of its anchor by 128 bits of hashes in all (64 of the
+anchor, 64 of the context); within a task, bytes are compared.
 
 Defined results: null, empty and short texts lose nothing; rows that repeat a
-doc_id with one text are copies of each other; a null doc_id is allowed.
+doc_id with one text are copies of each other; a null doc_id is allowed; an
+empty table gives no rows; ties of position are broken by (doc_id, row hash,
+offset); columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,11 +52,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import forget, written
-from .kernel import U64, Text, mix, pieces, powers
+from .kernel import U64, Text, mix, pieces, windows
 
 LENGTH = 400
 GRAM = 100
 GROUP = 500
+TASK_CONTEXTS = 20_000
 BATCH_BYTES = 1 << 20
 CHUNK = 256
 BLOCK = 16
@@ -95,52 +102,55 @@ def smaller(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return previous(order), np.where(after >= len(order), -1, after)
 
 
-def longest_previous(symbols: np.ndarray, limit: int) -> np.ndarray:
-    """For each position, the longest match (up to limit) with an earlier position."""
-    levels = rank_levels(symbols, limit)
-    sa = np.argsort(levels[-1][1], kind="stable")
-    place = np.empty(len(sa), np.int64)
-    place[sa] = np.arange(len(sa))
-    out = np.zeros(len(sa), np.int64)
+def longest_previous(symbols: np.ndarray, limit: int, mirrored: bool = False, exact: bool = True, levels: list | None = None) -> np.ndarray:
+    """For each position, the longest match (up to limit) with an earlier position; if mirrored, with a later one.
+
+    Without `exact`, matches shorter than limit are reported as 0.
+    """
+    levels = levels or rank_levels(symbols, limit)
     full = levels[-1][1]
-    for link in smaller(sa):
+    sa = np.argsort(full, kind="stable")
+    n = len(sa)
+    place = np.empty(n, np.int64)
+    place[sa] = np.arange(n)
+    out = np.zeros(n, np.int64)
+    for link in smaller(n - 1 - sa if mirrored else sa):
         j = link[place]
         i = np.flatnonzero(j >= 0)
         other = sa[j[i]]
         common = np.where(full[i] == full[other], limit, 0)
-        part = np.flatnonzero(common == 0)
-        a, b, length = i[part], other[part], np.zeros(len(part), np.int64)
-        for h, rank in reversed(levels[:-1]):
-            while True:
-                inside = (a + length < len(sa)) & (b + length < len(sa))
-                same = np.zeros(len(a), bool)
-                same[inside] = rank[(a + length)[inside]] == rank[(b + length)[inside]]
-                same &= length + h <= limit
-                if not same.any():
-                    break
-                length[same] += h
-        common[part] = length
+        if exact:
+            part = np.flatnonzero(common == 0)
+            common[part] = common_prefix(levels, i[part], other[part], limit)
         out[i] = np.maximum(out[i], common)
     return out
 
 
-def repeats(contexts: list[np.ndarray], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each context, which positions have an equal string of `length` earlier, and which have one later.
+def common_prefix(levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
+    """Lengths (under limit) of the common prefixes of suffixes a and b, from their ranks."""
+    n, length = len(levels[0][1]), np.zeros(len(a), np.int64)
+    for h, rank in reversed(levels[:-1]):
+        while True:
+            inside = (a + length < n) & (b + length < n)
+            same = np.zeros(len(a), bool)
+            same[inside] = rank[(a + length)[inside]] == rank[(b + length)[inside]]
+            same &= length + h <= limit
+            if not same.any():
+                break
+            length[same] += h
+    return length
 
-    Suffixes with equal prefixes of that length are neighbours in suffix
-    order, by position; so a position's previous smaller one lies just before
-    it in its run, and its next greater one just after.
-    """
+
+def repeats(contexts: list[np.ndarray], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each context, which positions have an equal string of `length` earlier, and which have one later."""
     parts, starts, at = [], [], 0
     for k, c in enumerate(contexts):
         starts.append(at)
         parts += [c.astype(np.int64) + 1, np.array([257 + k])]  # each context ends in a symbol of its own
         at += len(c) + 1
-    rank = rank_levels(np.concatenate(parts), length)[-1][1]
-    sa = np.argsort(rank, kind="stable")
-    same = rank[sa[1:]] == rank[sa[:-1]]
-    earlier, later = np.zeros(at, bool), np.zeros(at, bool)
-    earlier[sa[1:]], later[sa[:-1]] = same, same
+    symbols = np.concatenate(parts)
+    levels = rank_levels(symbols, length)
+    earlier, later = (longest_previous(symbols, length, mirrored, exact=False, levels=levels) >= length for mirrored in (False, True))
     return [earlier[s : s + len(c)] for s, c in zip(starts, contexts)], [later[s : s + len(c)] for s, c in zip(starts, contexts)]
 
 
@@ -164,13 +174,7 @@ def runs(text: Text, length: int, gram: int) -> dict[str, np.ndarray]:
     names = ("doc", "first", "last", "at", "anchor", "context")
     if n < length:
         return {k: np.zeros(0, np.int64) for k in names}
-    p, q = powers(n)
-    prefix = text.prefix(fold=False)
-
-    def hashed(s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        return mix((prefix[e] - prefix[s]) * q[s])
-
-    grams = mix((prefix[gram:] - prefix[:-gram]) * q[: n - gram + 1])
+    grams, whole = windows(text.data, (gram, length))
     w, mask = length - gram + 1, U64((1 << _LOW) - 1)
     anchor = np.empty(n - length + 1, np.int64)
     for a in range(0, len(anchor), (1 << _LOW) - w):  # positions must fit into the low bits
@@ -186,7 +190,7 @@ def runs(text: Text, length: int, gram: int) -> dict[str, np.ndarray]:
     cut = np.flatnonzero((anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])) + 1
     lo, hi = np.concatenate([[0], cut]), np.concatenate([cut, [len(start)]]) - 1
     first, last, at = start[lo], start[hi], anchor[lo]
-    context = mix(hashed(first, last + length) + (at - first).astype(U64))
+    context = mix(mix(whole[first] + (at - first).astype(U64)) ^ (whole[last] + (last - first).astype(U64)))  # the two windows cover it
     return {"doc": doc[lo], "first": first, "last": last, "at": at, "anchor": grams[at].view(np.int64), "context": context.view(np.int64)}
 
 
@@ -251,8 +255,8 @@ def _spans(row: int, first: int, flags: np.ndarray) -> Iterator[tuple[int, int,
         yield row, first + a, first + b - 1
 
 
-def _small_groups(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    dealt = contexts.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "row", "at")
+def _small_groups(contexts: DataFrame, tasks: int, length: int, keep_first: bool) -> DataFrame:
+    dealt = contexts.repartition(tasks, "anchor").sortWithinPartitions("anchor", "doc_id", "row", "at")
 
     def run(batches):
         held: list[tuple] = []
@@ -280,18 +284,22 @@ def _small_groups(contexts: DataFrame, length: int, keep_first: bool) -> DataFra
     return dealt.mapInArrow(run, SPAN)
 
 
-def window_hashes(raw: bytes, length: int) -> np.ndarray:
-    text = Text(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), np.zeros(1, bool))
-    prefix = text.prefix(fold=False)
-    _, q = powers(len(raw))
-    return mix((prefix[length:] - prefix[:-length]) * q[: len(raw) - length + 1])
+def window_hashes(raw: list[bytes], length: int) -> list[np.ndarray]:
+    """Of each string, the hashes of its windows."""
+    found = windows(np.frombuffer(b"".join(raw), np.uint8), (length,))[0]
+    end = np.cumsum([len(r) for r in raw]).tolist()
+    return [found[e - len(r) : e - length + 1] for r, e in zip(raw, end)]
 
 
-def _large_groups(contexts: DataFrame, length: int, keep_first: bool) -> DataFrame:
-    """As _small_groups, for anchors of very many contexts, without bringing them together."""
-    chunked = written(contexts.withColumn("chunk", F.pmod(F.xxhash64("row", "at"), F.greatest(F.lit(1), F.ceil(F.col("groups") / CHUNK))).cast("long")), "contexts")
-    order = lambda r: (r[1] is not None, r[1] or 0, r[2], r[3])
-    asked = chunked.repartition("anchor", "chunk").sortWithinPartitions("anchor", "chunk")
+CHUNKED = ("key", "anchor", "doc_id", "row", "at", "first", "bytes")
+
+
+def _large_groups(contexts: DataFrame, length: int, keep_first: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """As _small_groups, for anchors of very many contexts, without bringing them together; and the tables to forget after."""
+    chunk = F.pmod(F.xxhash64("row", "at"), F.greatest(F.lit(1), F.ceil(F.col("groups") / CHUNK)))
+    chunked = written(contexts.withColumn("key", F.xxhash64("anchor", chunk)).select(*CHUNKED), "chunks")
+    step = min(BLOCK, length)
+    core = length - step + 1
 
     def groups(batches, columns):
         held = []
@@ -304,74 +312,80 @@ def _large_groups(contexts: DataFrame, length: int, keep_first: bool) -> DataFra
         if held:
             yield held
 
-    def blocks(r: tuple) -> tuple[np.ndarray, np.ndarray]:
-        """(block of each window, hash of what each block's windows have in common) of a context."""
-        n, x = len(r[5]) - length + 1, r[3] - r[4]
-        block = (x - np.arange(n)) // min(BLOCK, length)
-        core = length - min(BLOCK, length) + 1
-        b = np.arange(block[-1], block[0] + 1)
-        return block - b[0], mix(window_hashes(r[5], core)[x - b * min(BLOCK, length)] + b.astype(U64))
+    def blocks(own: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(block of each window, hash of what each block's windows have in common) of each context."""
+        out = []
+        for r, h in zip(own, window_hashes([r[6] for r in own], core)):
+            n, x = len(r[6]) - length + 1, r[4] - r[5]
+            block = (x - np.arange(n)) // step
+            b = np.arange(block[-1], block[0] + 1)
+            out.append((block - b[0], mix(h[x - b * step] + b.astype(U64))))
+        return out
 
     def ask_cores(batches):
         with np.errstate(over="ignore"):
-            for own in groups(batches, ("key", "doc_id", "row", "at", "first", "bytes")):
-                value, count = np.unique(np.concatenate([blocks(r)[1] for r in own]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([own[0][0]] * len(value), pa.int64()), pa.array(value.view(np.int64)), pa.array(count)], names=["key", "core", "n"])
+            for own in groups(batches, CHUNKED):
+                value, count = np.unique(np.concatenate([c for _, c in blocks(own)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([own[0][0]] * len(value), pa.int64()), pa.array([own[0][1]] * len(value), pa.int64()), pa.array(value.view(np.int64)), pa.array(count)], names=["key", "anchor", "core", "n"])
+
+    def with_answers(answers: DataFrame) -> DataFrame:
+        """The chunks' contexts, and before them, as rows without bytes, what was found for the chunk."""
+        both = chunked.withColumn("hash", F.lit(None).cast("long")).unionByName(answers, allowMissingColumns=True)
+        return both.repartition("key").sortWithinPartitions("key")
+
+    def split(rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+        return [r for r in rows if r[6] is not None], [r for r in rows if r[6] is None]
 
     def ask(batches):
-        """Each chunk's distinct windows that may repeat: how many there are, and the first of them."""
+        """The first of each run of equal windows of a chunk, where it may repeat elsewhere, and whether the run has more."""
         with np.errstate(over="ignore"):
-            for own in groups(batches, ("key", "doc_id", "row", "at", "first", "bytes", "cores")):
-                own.sort(key=order)
-                again = np.array(own[0][6], np.int64).view(U64)
-                h = []
-                for r in own:
-                    block, core = blocks(r)
-                    h.append(window_hashes(r[5], length)[np.isin(core, again)[block]])
-                who = np.repeat(np.arange(len(own)), [len(x) for x in h])
-                value, first, count = np.unique(np.concatenate(h), return_index=True, return_counts=True)
-                lead = [own[i] for i in who[first].tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([own[0][0]] * len(value), pa.int64()), pa.array(value.view(np.int64)), pa.array(count), pa.array([r[1] for r in lead], pa.int64()), pa.array([r[2] for r in lead], pa.int64()), pa.array([r[3] for r in lead], pa.int64())],
-                    names=["key", "window", "n", "doc_id", "row", "at"],
-                )
-
-    keyed_chunks = asked.withColumn("key", F.xxhash64("anchor", "chunk"))
-    chunk_rows = keyed_chunks.select("key", "doc_id", "row", "at", "first", "bytes")
-    cores = written(chunk_rows.mapInArrow(ask_cores, "key long, core long, n long"), "cores")
-    twice = written(cores.groupBy("core").agg(F.sum("n").alias("n")).where("n > 1").select("core"), "cores-again")
-    hopeful = written(cores.select("key", "core").join(twice.hint("merge"), "core").groupBy("key").agg(F.collect_list("core").alias("cores")), "cores-by-chunk")
-    windows = chunk_rows.join(hopeful.hint("merge"), "key").sortWithinPartitions("key").mapInArrow(ask, "key long, window long, n long, doc_id long, row long, at long")
-    windows = written(windows, "windows")
-    again = windows.groupBy("window").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "row", "at")).alias("lead")).where("n > 1")
-    found = windows.select("key", "window").join(written(again, "windows-again").hint("merge"), "window")
-    answers = found.groupBy("key").agg(F.collect_list(F.struct("window", "lead")).alias("found"))
-    both = chunk_rows.join(written(answers, "answers").hint("merge"), "key")
+            for rows in groups(batches, (*CHUNKED, "hash")):
+                own, again = split(rows)
+                if not again:
+                    continue
+                own.sort(key=lambda r: (r[2] is not None, r[2] or 0, r[3], r[4]))
+                again = np.array([r[7] for r in again], np.int64).view(U64)
+                hopeful = [np.isin(c, again)[block] for block, c in blocks(own)]
+                own, hopeful = [r for r, x in zip(own, hopeful) if x.any()], [x for x in hopeful if x.any()]
+                earlier, later = repeats([np.frombuffer(r[6], np.uint8) for r in own], length)
+                h, n, who = [], [], []
+                for k, (r, x, a, b, w) in enumerate(zip(own, hopeful, earlier, later, window_hashes([r[6] for r in own], length))):
+                    lead = x & ~a[: len(x)]
+                    h.append(w[lead])
+                    n.append(1 + b[: len(x)][lead].astype(np.int64))
+                    who += [k] * int(lead.sum())
+                lead = [own[k] for k in who]
+                ids = (pa.array([r[c] for r in lead], pa.int64()) for c in (0, 1, 2, 3, 4))
+                key, anchor, *place = ids
+                yield pa.RecordBatch.from_arrays([key, anchor, pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(n)), *place], names=["key", "anchor", "window", "n", "doc_id", "row", "at"])
+
+    by_chunk = chunked.repartition("key").sortWithinPartitions("key")
+    cores = written(by_chunk.mapInArrow(ask_cores, "key long, anchor long, core long, n long"), "cores")
+    twice = written(cores.groupBy("anchor", "core").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "core"), "cores-again")
+    hopeful = cores.join(twice.hint("merge"), ["anchor", "core"]).select("key", F.col("core").alias("hash"))
+    asked = written(with_answers(hopeful).mapInArrow(ask, "key long, anchor long, window long, n long, doc_id long, row long, at long"), "windows")
+    again = written(asked.groupBy("anchor", "window").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "row", "at")).alias("lead")).where("n > 1").select("anchor", "window", "lead.*"), "windows-again")
+    answers = asked.select("key", "anchor", "window").join(again.hint("merge"), ["anchor", "window"]).select("key", F.col("window").alias("hash"), "doc_id", "row", "at")
 
     def answer(batches):
         with np.errstate(over="ignore"):
-            for batch in batches:
-                out, last, known, leads = [], None, None, None
-                for key, d, row, at, first, raw, found in zip(*(batch.column(c) for c in ("key", "doc_id", "row", "at", "first", "bytes", "found"))):
-                    if key.as_py() != last:
-                        last = key.as_py()
-                        items = found.values
-                        known = items.field("window").to_numpy().view(U64)
-                        lead = items.field("lead")
-                        sort = np.argsort(known)
-                        known = known[sort]
-                        leads = list(zip(lead.field("doc_id").take(pa.array(sort)).to_pylist(), lead.field("row").take(pa.array(sort)).to_pylist(), lead.field("at").take(pa.array(sort)).to_pylist()))
-                    h = window_hashes(raw.as_py(), length)
+            for rows in groups(batches, (*CHUNKED, "hash")):
+                own, found = split(rows)
+                if not found:
+                    continue
+                found.sort(key=lambda r: r[7] % (1 << 64))
+                known = np.array([r[7] for r in found], np.int64).view(U64)
+                out = []
+                for r, h in zip(own, window_hashes([r[6] for r in own], length)):
                     place = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     flags = known[place] == h
                     if keep_first:
-                        me = (d.as_py(), row.as_py(), at.as_py())
-                        flags &= np.array([leads[i] != me for i in place.tolist()])
-                    out += _spans(row.as_py(), first.as_py(), flags)
+                        flags &= np.array([found[i][2:5] != r[2:5] for i in place.tolist()])
+                    out += _spans(r[3], r[5], flags)
                 cols = list(zip(*out)) or [[]] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["row", "first", "last"])
 
-    return both.mapInArrow(answer, SPAN)
+    return with_answers(answers).mapInArrow(answer, SPAN), [chunked, cores, twice, asked, again]
 
 
 # --- the operator -----------------------------------------------------------
@@ -396,10 +410,11 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, ke
     # One run of each context that differs from others of its anchor.
     open_ = marked.where(me.eqNullSafe(F.col("lead"))).join(sizes.hint("merge"), "anchor").select("row", "anchor", "groups", "first", "last", "at", "doc_id").dropDuplicates(["row", "anchor", "at"])
     contexts = written(_cut_out(rows, open_, length), "contexts")
-    small = _small_groups(contexts.where(F.col("groups") <= GROUP), length, keep_first)
-    large = _large_groups(contexts.where(F.col("groups") > GROUP), length, keep_first)
+    tasks = -(-int(sizes.where(F.col("groups") <= GROUP).agg(F.sum("groups")).first()[0] or 1) // TASK_CONTEXTS)
+    small = _small_groups(contexts.where(F.col("groups") <= GROUP), tasks, length, keep_first)
+    large, made = _large_groups(contexts.where(F.col("groups") > GROUP), length, keep_first)
     out = written(done.unionByName(small).unionByName(large), "repeats")
-    for t in (again, shared, classes, sizes, done, contexts):
+    for t in (again, shared, classes, sizes, done, contexts, *made):
         forget(t)
     return out
 

@@ -57,7 +57,7 @@ def passages(text: Text) -> tuple[Text, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def whole_word(words: Text) -> np.ndarray:
-    return (words.hashes(words.offsets[:-1], words.offsets[1:], words.prefix(fold=False)) >> np.uint64(64 - BITS)).astype(np.int64)
+    return (words.hashes(words.offsets[:-1], words.offsets[1:], fold=False) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def bags(words: Text) -> tuple[np.ndarray, np.ndarray]:
