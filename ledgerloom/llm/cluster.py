@@ -45,10 +45,9 @@ def written(df: DataFrame, name: str, keep: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """As written(), dealt by key once: counts and joins by key then need no exchange of it."""
+def bucketed(df: DataFrame, name: str, key: str, n: int) -> DataFrame:
+    """As written(), dealt once to n buckets by key: grouping and joins by key then need no exchange of it."""
     spark = df.sparkSession
-    n = partitions(spark)
     title = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
     with _shuffles_end_with_the_job(spark):
         df.repartition(n, key).write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{title}").bucketBy(n, key).format("parquet").saveAsTable(title)

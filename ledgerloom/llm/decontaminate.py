@@ -5,24 +5,29 @@ whole item if it has fewer words.  Patterns of one length m are searched
 together.  The shift table holds, for the hash of each block of two words, how
 far the block's last occurrence in any pattern lies from the pattern's end;
 blocks in no pattern skip m - 1 positions.  Where the shift is 0, the block's
-bucket holds the patterns that end with it, and all m words are compared.
+bucket holds the patterns that end with it, and all m words are compared, by
+hash and at the end byte by byte.
 Texts are searched in many lanes at once: each lane is a run of `LANE` end
 positions with its own cursor, so skipping stays a few array operations.
 
 The benchmark is cut into blocks of at most `block_patterns` patterns, so that
-what is sent to the executors has a fixed bound; every block is searched
-against all documents in a pass of the same stage, without a shuffle.
+what is sent to the executors has a fixed bound.  Each block is searched against
+all documents in a pass without a shuffle; before the next block is sent, the
+findings are written and the block before is taken from the executors.
 
 Defined results: a null or wordless text has no hits; an item without words
 (or null) has no pattern; repeated items count once for each item_id, null ids
-are ignored; repeated rows are searched row by row; clashing columns of the
-input are kept by `find` under their names, its own come last.
+are ignored; repeated rows are searched row by row; an empty benchmark hits
+nothing, and an empty table gives no rows; overlapping and tied hits are merged
+to intervals; clashing columns of the input are kept by `find` under their
+names, its own come last.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernel import ALNUM, U64, Text, mix, pieces, ragged
+from .cluster import forget, written
+from .kernel import ALNUM, FOLD, U64, Text, mix, pieces, ragged
 
 WINDOW = 10
 BLOCK_PATTERNS = 500_000
@@ -105,50 +111,68 @@ class WuManber:
         return np.concatenate(ends), np.concatenate(numbers)
 
 
-def item_windows(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
-    """The windows of each text, as a row of word hashes for each."""
+class Window(NamedTuple):
+    """A pattern: the hashes of its words, and the words themselves, each followed by a zero byte."""
+
+    hashes: bytes
+    words: bytes
+
+
+def item_windows(texts: list[str | None], size: int) -> Iterator[list[Window]]:
+    """The windows of each text."""
     text = Text.of_strings(texts)
-    h, _, _, d = text.words(ALNUM)
+    h, s, e, d = text.words(ALNUM)
+    raw = FOLD[text.data].tobytes()
     bounds = np.searchsorted(d, np.arange(len(texts) + 1))
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        w = h[a:b]
-        if len(w) == 0:
-            yield np.zeros((0, 1), U64)
-        elif len(w) < size:
-            yield w[None, :]
-        else:
-            yield np.lib.stride_tricks.sliding_window_view(w, size)
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        spelled = [raw[x:y] + b"\0" for x, y in zip(s[a:b].tolist(), e[a:b].tolist())]
+        m = min(size, b - a)
+        yield [Window(h[a + k : a + k + m].tobytes(), b"".join(spelled[k : k + m])) for k in range(b - a - m + 1)] if m else []
 
 
 class Block:
     """A bounded share of the benchmark: one searcher for each length and the items of each pattern."""
 
     def __init__(self):
-        self.seen: dict[bytes, list[str]] = {}
+        self.seen: dict[Window, list[str]] = {}
 
-    def add(self, item: str, windows: np.ndarray) -> None:
-        for row in windows:
-            self.seen.setdefault(row.tobytes(), []).append(item)
+    def add(self, item: str, windows: list[Window]) -> None:
+        for w in windows:
+            self.seen.setdefault(w, []).append(item)
 
     def close(self) -> Block:
-        by: dict[int, list[bytes]] = {}
-        for k in self.seen:
-            by.setdefault(len(k) // 8, []).append(k)
+        by: dict[int, list[Window]] = {}
+        for w in self.seen:
+            by.setdefault(len(w.hashes) // 8, []).append(w)
         self.parts = []
         for m, keys in sorted(by.items()):
-            rows = np.frombuffer(b"".join(keys), U64).reshape(-1, m)
-            items = [sorted(set(self.seen[k])) for k in keys]
-            self.parts.append((rows, items))
+            rows = np.frombuffer(b"".join(w.hashes for w in keys), U64).reshape(-1, m)
+            self.parts.append((rows, Text.of(pa.array([w.words for w in keys], pa.large_binary())), [sorted(set(self.seen[w])) for w in keys]))
         del self.seen
         return self
 
-    def ready(self) -> list[tuple[WuManber, list[list[str]]]]:
+    def ready(self) -> list[tuple[WuManber, Text, list[list[str]]]]:
         """Tables are built where they are used: only patterns travel."""
         if not hasattr(self, "built"):
-            self.built = [(WuManber(rows), items) for rows, items in self.parts]
+            self.built = [(WuManber(rows), words, items) for rows, words, items in self.parts]
         return self.built
 
 
+def same_words(text: Text, start: np.ndarray, end: np.ndarray, first: np.ndarray, m: int, patterns: Text, which: np.ndarray) -> np.ndarray:
+    """Whether the m words from word `first` on are the pattern's, byte for byte."""
+    place, same = first[:, None] + np.arange(m), np.ones(len(first), bool)
+    length = end[place] - start[place]
+    at = patterns.offsets[which][:, None] + np.cumsum(length + 1, axis=1) - length - 1
+    same &= at[:, -1] + length[:, -1] + 1 == patterns.offsets[which + 1] if len(first) else same
+    for part in np.array_split(np.flatnonzero(same), max(1, int(length[same].sum()) // 4_000_000)):
+        owner, k = ragged(length[part].ravel())
+        equal = FOLD[text.data[start[place[part]].ravel()[owner] + k]] == patterns.data[at[part].ravel()[owner] + k]
+        ends = patterns.data[(at + length)[part].ravel()] == 0  # each word ends where the pattern's does
+        bad = np.concatenate([owner[~equal], np.flatnonzero(~ends)]) // m
+        same[part[bad]] = False
+    return same
+
+
 def blocks(benchmark: DataFrame, size: int = WINDOW, block_patterns: int = BLOCK_PATTERNS, item: str = "item_id", text: str = "text") -> Iterator[Block]:
     """The benchmark's patterns, streamed to the driver row by row and handed on in bounded blocks."""
     rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").toLocalIterator()
@@ -167,14 +191,16 @@ def blocks(benchmark: DataFrame, size: int = WINDOW, block_patterns: int = BLOCK
 def search_batch(text: Text, block: Block | None) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set[str]]]:
     """Words of each document, its merged word intervals that are hit, and the items that occur in it."""
     n = len(text)
-    words, _, _, doc = text.words(ALNUM)
+    words, start, end, doc = text.words(ALNUM)
     bounds = np.searchsorted(doc, np.arange(n + 1))
     spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
     items: list[set[str]] = [set() for _ in range(n)]
     place = np.arange(len(words)) - bounds[doc] if len(words) else np.zeros(0, np.int64)
     cover = np.zeros(len(words) + 1, np.int64)
-    for search, names in block.ready() if block and len(words) else []:
+    for search, patterns, names in block.ready() if block and len(words) else []:
         ends, which = search.search(words, place >= search.m - 1)
+        true = same_words(text, start, end, ends - (search.m - 1), search.m, patterns, which)
+        ends, which = ends[true], which[true]
         np.add.at(cover, ends - (search.m - 1), 1)
         np.add.at(cover, ends + 1, -1)
         for d, p in set(zip(doc[ends].tolist(), which.tolist())):
@@ -183,9 +209,9 @@ def search_batch(text: Text, block: Block | None) -> tuple[np.ndarray, list[list
     if hit.any():
         edge = np.zeros(len(hit) + 1, bool)
         edge[bounds] = True
-        start = np.flatnonzero(hit & (np.r_[True, ~hit[:-1]] | edge[:-1]))
-        end = np.flatnonzero(hit & (np.r_[~hit[1:], True] | edge[1:])) + 1
-        for d, a, b in zip(doc[start].tolist(), start.tolist(), end.tolist()):
+        lo = np.flatnonzero(hit & (np.r_[True, ~hit[:-1]] | edge[:-1]))
+        hi = np.flatnonzero(hit & (np.r_[~hit[1:], True] | edge[1:])) + 1
+        for d, a, b in zip(doc[lo].tolist(), lo.tolist(), hi.tolist()):
             spans[d].append((a - int(bounds[d]), b - int(bounds[d])))
     return np.diff(bounds), spans, items
 
@@ -225,11 +251,17 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, text: str =
 
         return run
 
-    frame, first = docs, True
+    frame, held, stored = docs, None, None
     for block in blocks(benchmark, size, block_patterns):
-        frame = frame.mapInArrow(one(docs.sparkSession.sparkContext.broadcast(block), first), schema)
-        first = False
-    return frame.mapInArrow(one(None, True), schema) if first else frame
+        if held is not None:  # one block at a time is in the executors' memory
+            frame = written(frame, "contamination")
+            held.unpersist()
+            if stored is not None:
+                forget(stored)
+            stored = frame
+        first, held = held is None, docs.sparkSession.sparkContext.broadcast(block)
+        frame = frame.mapInArrow(one(held, first), schema)
+    return frame.mapInArrow(one(None, True), schema) if held is None else frame
 
 
 def items_sha256(items: list[str]) -> str:

@@ -17,9 +17,10 @@ byte-wise signature of the minima and a 128-bit digest of the set.  Then:
    found, while pairs that aren't links never become rows.
 
 Two documents at the threshold of 0.8 share no bucket with probability
-(1 - 0.8**4)**32 < 1e-7; the signature test (agreement of at least 0.62, over
-five standard deviations below) drops no more than that.  Confirmation counts
-the shingles' 64-bit hashes of both texts.
+(1 - 0.8**4)**32 = 5e-8; the signature test (agreement of at least 76 of 128, six
+standard deviations below) drops such a pair with probability 2e-8.  The bitmap
+test drops no link.  Confirmation counts the shingles' 64-bit hashes of both
+texts.
 
 Every join of two sides that grow with the input is a merge join: nothing of
 unknown size is broadcast, and the plan has one shape at every size.
@@ -31,7 +32,9 @@ for first members of many pairs.
 Defined results: a null, empty or wordless text has no shingles, is linked
 with nothing and is its own component; fewer words than a shingle make one
 shingle; rows that repeat a doc_id are one document and get a row each; a null
-doc_id is never linked and has a null component; other columns are ignored.
+doc_id is never linked and has a null component; an empty table gives no rows;
+of equal sets the smallest doc_id stands for all; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -48,8 +51,8 @@ from .components import components
 from .kernel import NOT_SPACE, U64, Text, mix, pieces, seeded
 
 HASHES, ROWS = 128, 4
-LEAST_AGREEMENT = 0.62
-TILE = 512
+LEAST_AGREEMENT = 0.59375  # 76 of 128
+TILE = 2048
 PER_SALT = 64
 _MUL = U64(0xC2B2AE3D27D4EB4F)
 
@@ -145,34 +148,32 @@ def _agree(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def may_link(both: np.ndarray, union: np.ndarray, least: float) -> np.ndarray:
-    """Whether sets of a likeness of `least` may have bitmaps of 1 << 16 bits with so many bits in common and in all.
+def may_link(both: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, merged_a: np.ndarray, merged_b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of these sizes, whose bitmaps have `both` bits in common, can be a linked pair.
 
-    If c shingles of the union merge, all c of them may be common ones, so the
-    sets had both + c of union + c at most.  c is taken six standard deviations
-    and three shingles above its mean; links are confirmed on full sets anyway.
+    merged: how many shingles of a set share the bit of another one of it.
+    Each common shingle sets a bit in both maps, so there are at most
+    both + min(merged) common shingles: no link fails this.
     """
-    free = np.maximum(1 - union / (1 << 16), 1e-9)
-    mean = -np.log(free) * (1 << 16) - union
-    c = mean + 6 * np.sqrt(np.maximum(mean, 0)) / free + 3
-    return both + c >= least * (union + c)
+    common = both + np.minimum(merged_a, merged_b)
+    return den * common >= num * (size_a + size_b - common)
 
 
-def _tiles(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs from different components within a bucket, for (key, tile, side, doc_id, label, sig, low) rows sorted by tile.
+def _tiles(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs from different components within a bucket, for (key, tile, side, doc_id, label, n_shingles, sig, low) rows sorted by tile.
 
     side 0 rows of a tile meet each other (or, in a tile of two blocks, its
     side 1 rows).  A pair passes if its bitmaps may be a linked pair's.
     """
 
-    def emit(ids, labels, sigs, side, low, least):
+    def emit(ids, labels, sigs, side, full, low):
         out = []
         maps = np.zeros((len(ids), 1 << 10), U64)
         for i, own in enumerate(low):
             bits = np.zeros(1 << 16, np.uint8)
             bits[np.frombuffer(own, np.uint16)] = 1
             maps[i] = np.packbits(bits).view(U64)
-        size = np.array([len(own) // 2 for own in low])
+        merged = full - np.array([len(own) // 2 for own in low])
         for i in range(0, len(ids), 64):
             own = slice(i, min(i + 64, len(ids)))
             if (side[own] == 1).all():
@@ -185,8 +186,7 @@ def _tiles(rows: DataFrame, least: float) -> DataFrame:
             for j in range(0, len(p), 512):
                 a, b = p[j : j + 512] + i, q[j : j + 512]
                 both = np.bitwise_count(maps[a] & maps[b]).sum(axis=1, dtype=np.int64)
-                union = size[a] + size[b] - both
-                good[j : j + 512] = may_link(both, union, least)
+                good[j : j + 512] = may_link(both, full[a], full[b], merged[a], merged[b], num, den)
             out.append(np.stack([ids[own][p[good]], ids[q[good]]], axis=1))
         return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
@@ -199,12 +199,12 @@ def _tiles(rows: DataFrame, least: float) -> DataFrame:
             key = table.column("key").to_numpy()
             t1, t2 = table.column("t1").to_numpy(), table.column("t2").to_numpy()
             cut = np.flatnonzero((key[1:] != key[:-1]) | (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])) + 1
-            ids, labels, side = (table.column(c).to_numpy() for c in ("doc_id", "label", "side"))
+            ids, labels, side, full = (table.column(c).to_numpy() for c in ("doc_id", "label", "side", "n_shingles"))
             sigs = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, HASHES)
             low = table.column("low").to_pylist()
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(key)]):
                 if (labels[a:b] != labels[a]).any():
-                    pairs = emit(ids[a:b], labels[a:b], sigs[a:b], side[a:b], low[a:b], least)
+                    pairs = emit(ids[a:b], labels[a:b], sigs[a:b], side[a:b], full[a:b], low[a:b])
                     if len(pairs):
                         pairs.sort(axis=1)
                         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
@@ -296,11 +296,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     mixed = written(marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "mixed")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     own = F.pmod(F.hash("doc_id"), tiles)
-    spread = marked.join(mixed.hint("merge"), "key").join(reps.select("doc_id", "sig", "low").hint("merge"), "doc_id").withColumn("own", own)
-    spread = spread.select("key", "doc_id", "label", "sig", "low", "own", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
-    spread = spread.select("key", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "doc_id", "label", "sig", "low")
+    spread = marked.join(mixed.hint("merge"), "key").join(reps.select("doc_id", "n_shingles", "sig", "low").hint("merge"), "doc_id").withColumn("own", own)
+    spread = spread.select("key", "doc_id", "label", "n_shingles", "sig", "low", "own", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
+    spread = spread.select("key", F.least("own", "other").alias("t1"), F.greatest("own", "other").alias("t2"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "doc_id", "label", "n_shingles", "sig", "low")
     spread = spread.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2", "side", "doc_id")
-    more = written(_tiles(spread, num / den).distinct(), "pairs")
+    more = written(_tiles(spread, num, den).distinct(), "pairs")
     links = confirm(docs, more, size, num, den)
     joined = links
     for c in ("a", "b"):

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
 from ledgerloom.llm import decontaminate as D
@@ -89,3 +90,25 @@ def test_given_tables(spark):
                     hit.update(range(k, k + n))
                     found |= x
         assert sizes[d][1:4] == (len(w), len(hit), len(found))
+
+
+def test_bytes_decide(spark, monkeypatch):
+    # Even if all words had one hash, only equal words are hits.
+    monkeypatch.setattr(D.Text, "hashes", lambda self, s, e, fold=True: np.full(len(s), 7, np.uint64))
+    block = D.Block()
+    for item, windows in zip("ab", D.item_windows(["One two three", "one Twa thr"], 3)):
+        block.add(item, windows)
+    n, spans, items = D.search_batch(D.Text.of_strings(["x one TWO three one two thre e", "one twa thr", "onet wo three one two"]), block.close())
+    assert spans == [[(1, 4)], [(0, 3)], []] and items == [{"a"}, {"b"}, set()]
+
+
+def test_words_that_collide_in_polynomial_hashes(spark):
+    w = "a"
+    while len(w) < 4096:
+        w += w.translate(str.maketrans("ab", "ba"))
+    for n in (1024, 2048, 4096):
+        a = w[:n]
+        b = a.translate(str.maketrans("ab", "ba"))
+        docs = spark.createDataFrame([(1, f"x {a} y"), (2, f"x {b} y")], "doc_id long, text string")
+        got = D.summary(D.find(docs, spark.createDataFrame([(1, a)], "item_id long, text string"))).collect()
+        assert {r.doc_id: r.n_hit for r in got} == {1: 1, 2: 0}

@@ -89,15 +89,51 @@ def test_bitmaps_keep_pairs_at_the_threshold(spark):
     common, a, b = list(range(71)), list(range(100, 109)), list(range(200, 209))
     low = [np.array(sorted(common + own), np.uint16).tobytes() for own in (a, b)]
     sig = bytes(N.HASHES)
-    rows = [(1, 0, 0, 0, d, d, sig, x) for d, x in zip((5, 6), low)]
-    tiles = spark.createDataFrame(rows, "key long, t1 int, t2 int, side int, doc_id long, label long, sig binary, low binary").coalesce(1)
-    assert [tuple(r) for r in N._tiles(tiles, 0.8).collect()] == [(5, 6)]
+    rows = [(1, 0, 0, 0, d, d, 81, sig, x) for d, x in zip((5, 6), low)]
+    tiles = spark.createDataFrame(rows, "key long, t1 int, t2 int, side int, doc_id long, label long, n_shingles long, sig binary, low binary").coalesce(1)
+    assert [tuple(r) for r in N._tiles(tiles, 80, 100).collect()] == [(5, 6)]
     rng = np.random.default_rng(1)
-    for union in (40, 60, 90, 150, 4000, 40000, 120000):
+    for union in (20, 25, 40, 50, 60, 90, 100, 150, 200, 4000, 40000, 120000):
         for _ in range(2000 if union < 1000 else 20):
             h = rng.integers(0, 1 << 16, union)
             in_both = union * 4 // 5
-            x, y = np.unique(h[: in_both + (union - in_both) // 2]), np.unique(np.append(h[:in_both], h[in_both + (union - in_both) // 2 :]))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            assert N.may_link(both, len(x) + len(y) - both, 0.8)
-    assert not N.may_link(10, 90, 0.8)
+            x, y = h[: in_both + (union - in_both) // 2], np.append(h[:in_both], h[in_both + (union - in_both) // 2 :])
+            bx, by = np.unique(x), np.unique(y)
+            both = len(np.intersect1d(bx, by, assume_unique=True))
+            assert N.may_link(both, len(x), len(y), len(x) - len(bx), len(y) - len(by), 80, 100)
+    assert not N.may_link(10, 50, 50, 0, 0, 80, 100)
+
+
+def test_pairs_at_exactly_four_fifths_beside_a_smaller_document(spark):
+    # Pairs that have 80 of 100 shingles in common, each with a smaller id in its buckets that is linked to neither.
+    rng = random.Random(11)
+    size, data, want = 4, [], {}
+    for k, union in enumerate([20, 25, 40, 50, 80, 100, 150, 200] * 12):
+        both = union * 4 // 5
+        own = (union - both) // 2
+        word = lambda tag, n: [f"{tag}{k}_{i}" for i in range(n)]
+        start = word("c", both + size - 1)
+        a, b = start + word("a", own), start + word("b", union - both - own)
+        third = start[: max(size, len(start) * 7 // 10)] + word("t", own)
+        ids = sorted(rng.sample(range(10**6), 2))
+        data += [(k - 10**6, " ".join(third)), (ids[0] * 1000 + k, " ".join(a)), (ids[1] * 1000 + k, " ".join(b))]
+        want[ids[0] * 1000 + k] = want[ids[1] * 1000 + k] = ids[0] * 1000 + k
+        sets = [shingles(t, size) for _, t in data[-3:]]
+        assert 100 * len(sets[1] & sets[2]) == 80 * len(sets[1] | sets[2])
+        assert all(100 * len(sets[0] & x) < 80 * len(sets[0] | x) for x in sets[1:])
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"), size).collect()}
+    assert {d: got[d] for d in want} == want and all(got[d] == d for d in got if d < 0)
+
+
+def test_words_that_collide_in_polynomial_hashes(spark):
+    a, b = thue_morse(1024)
+    texts = [f"x y z {w} u v w" for w in (a, b)]
+    df = spark.createDataFrame([(1, texts[0]), (2, texts[1])], "doc_id long, text string")
+    assert sorted(r.component_id for r in N.near_duplicates(df, 4).collect()) == [1, 2]
+
+
+def thue_morse(n):
+    w = "a"
+    while len(w) < n:
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
