@@ -48,18 +48,42 @@ OUT = ["case_id", "rule_id", "evidence"]
 _SEVERITIES = ("High", "Medium", "Low")
 
 
-def validated(raw: list[dict]) -> tuple[list[Rule], list[str]]:
-    """Rules that can run, and an error for each that can't; unknown evaluators fall back to missing_evidence."""
+def _rule(r: dict) -> Rule:
+    """A pack's entry: `inputs`, `logic` and `outputs` hold what its evaluator reads."""
+    inputs, logic, outputs = (r.get(k) or {} for k in ("inputs", "logic", "outputs"))
+    many = lambda x: tuple(str(v) for v in x or ())
+    evaluator = r.get("evaluator", "missing_evidence")
+    return Rule(
+        id=r["id"],
+        evaluator=evaluator if evaluator in EVALUATORS else "missing_evidence",
+        severity=r["severity"],
+        title=outputs.get("title", ""),
+        required=many(logic.get("required_doc_types")),
+        pattern=logic.get("field_pattern", ""),
+        keywords=many(logic.get("keywords_any") or inputs.get("keywords")),
+        indicators=many(logic.get("constructed_indicators")),
+        kind=inputs.get("verification_type", ""),
+        keys=many(inputs.get("dossier_keys")),
+        regimes=tuple(x.strip() for x in many(logic.get("regimes")) if x.strip()),
+        conditional=str(logic.get("conditional") or ""),
+        cp=outputs.get("cp", ""),
+    )
+
+
+def validated(raw: list) -> tuple[list[Rule], list[str]]:
+    """Rules that can run, and an error for each entry that can't; unknown evaluators fall back to missing_evidence."""
     good, errors = [], []
-    for i, r in enumerate(raw if isinstance(raw, list) else []):
-        if not isinstance(r, dict) or not r.get("id"):
-            errors.append(f"rule {i}: no id")
-        elif r.get("severity", "Medium") not in _SEVERITIES:
-            errors.append(f"{r['id']}: severity {r['severity']}")
+    for r in raw if isinstance(raw, list) else []:
+        if not isinstance(r, dict):
+            errors.append("rule is no mapping")
+        elif not isinstance(r.get("id"), str) or not r["id"]:
+            errors.append("rule missing id")
+        elif not isinstance(r.get("module"), str) or not r["module"]:
+            errors.append(f"{r['id']}: missing module")
+        elif r.get("severity") not in _SEVERITIES:
+            errors.append(f"{r['id']}: invalid severity")
         else:
-            known = {k: tuple(v) if isinstance(v, list) else v for k, v in r.items() if k in Rule.__dataclass_fields__}
-            rule = Rule(**{"evaluator": "missing_evidence"} | known)
-            good.append(rule if rule.evaluator in EVALUATORS else Rule(**{**rule.__dict__, "evaluator": "missing_evidence"}))
+            good.append(_rule(r))
     return good, errors
 
 
@@ -104,6 +128,15 @@ def keyword_risk(rule: Rule, f: Facts, cases: DataFrame) -> DataFrame:
     return _out(cases.join(p, "case_id"), rule, F.array_join("found", ", "))
 
 
+def keyword_references(rule: Rule, f: Facts) -> DataFrame:
+    """(case_id, rule_id, doc_id, page, note): one reference for each page with a keyword, naming the first in the rule's order."""
+    p = f.pages if "doc_id" in f.pages.columns else f.pages.withColumn("doc_id", F.lit(None).cast("long"))
+    low = F.lower("text")
+    hits = F.filter(F.array(*[F.lit(k) for k in rule.keywords]), lambda k: low.contains(F.lower(k)))
+    found = p.select("case_id", "doc_id", "page", F.try_element_at(hits, F.lit(1)).alias("word")).where("word IS NOT NULL")
+    return found.join(f.cases.select("case_id"), "case_id", "left_semi").select("case_id", F.lit(rule.id).alias("rule_id"), "doc_id", "page", F.concat(F.lit("Contains keyword: "), "word").alias("note"))
+
+
 def constructed_gate(rule: Rule, f: Facts, cases: DataFrame) -> DataFrame:
     yes = f.facts.where((F.col("key") == "property.constructed") & F.lower("value").isin("true", "yes", "1")).select("case_id")
     if rule.indicators:
@@ -136,7 +169,8 @@ EVALUATORS: dict[str, Callable[[Rule, Facts, DataFrame], DataFrame]] = {f.__name
 
 def required_regimes(rule: Rule) -> list[str]:
     """The structured list, else what `if regime == X` names; other conditions don't restrict."""
-    return [r.upper() for r in rule.regimes] or [m.upper() for m in re.findall(r"(?i)if\s+regime\s*==\s*(\w+)", rule.conditional)]
+    first = re.search(r"(?i)if\s+regime\s*==\s*([A-Za-z0-9_]+)", rule.conditional)
+    return [r.upper() for r in rule.regimes] or ([first[1].upper()] if first else [])
 
 
 def evaluate(rules: list[Rule], f: Facts) -> DataFrame:
@@ -157,22 +191,73 @@ def replace_open(old: DataFrame, fired: DataFrame) -> DataFrame:
     return old.where("status <> 'Open'").select("case_id", "rule_id", "severity", "status").unionByName(fired.select("case_id", "rule_id", "severity", F.lit("Open").alias("status")))
 
 
-#: Regimes and the names they go by, tried in this order.
-REGIMES = [("DHA", ("DHA", "DEFENCE HOUSING")), ("LDA", ("LDA", "LAHORE DEVELOPMENT")), ("RUDA", ("RUDA", "RAVI URBAN")), ("CANTONMENT", ("CANTONMENT", "CANTT")), ("SOCIETY", ("SOCIETY", "HOUSING SCHEME")), ("REVENUE", ("REVENUE", "PATWARI")), ("MUNICIPAL", ("MUNICIPAL", "TMA"))]
+#: The regimes, and the names they go by, tried in this order.
+REGIMES = ("REVENUE", "SOCIETY", "LDA", "RUDA", "DHA", "CANTONMENT", "MUNICIPAL", "UNKNOWN")
+ALIASES = [
+    ("LDA", "LDA"), ("LAHORE DEVELOPMENT AUTHORITY", "LDA"), ("DHA", "DHA"), ("DEFENCE HOUSING AUTHORITY", "DHA"), ("DHA PHASE", "DHA"),
+    ("RUDA", "RUDA"), ("RAVI URBAN DEVELOPMENT AUTHORITY", "RUDA"), ("CANTONMENT", "CANTONMENT"), ("CANTONMENT BOARD", "CANTONMENT"), ("CB", "CANTONMENT"),
+    ("SOCIETY", "SOCIETY"), ("COOPERATIVE SOCIETY", "SOCIETY"), ("REVENUE", "REVENUE"), ("LAND REVENUE", "REVENUE"),
+    ("MUNICIPAL", "MUNICIPAL"), ("MUNICIPALITY", "MUNICIPAL"), ("TMA", "MUNICIPAL"), ("MC", "MUNICIPAL"),
+]
 
 
 def normalized_regime(value: Column) -> Column:
-    """The exact name, else the first name contained in the value, else UNKNOWN."""
+    """The exact name, else that of the first alias contained in the value, else UNKNOWN; null without a value."""
     up = F.upper(F.trim(value))
-    out = F.when(value.isNull(), "UNKNOWN")
-    for name, _ in REGIMES:
-        out = out.when(up == name, name)
-    for name, names in REGIMES:
-        for n in names:
-            out = out.when(up.contains(n), name)
+    out = F.when(value.isNull() | (value == ""), F.lit(None).cast("string")).when(up.isin(*REGIMES), up)
+    for alias, name in ALIASES:
+        out = out.when(up.contains(alias), name)
     return out.otherwise("UNKNOWN")
 
 
+#: Fixed values: (regime, score, where it is looked for, terms); `kind is` compares whole document types.
+INDICATORS = [
+    ("DHA", 0.9, ("kind", "file"), ("dha",)), ("DHA", 0.8, ("text",), ("dha", "defence housing")), ("DHA", 0.85, ("scheme",), ("dha",)),
+    ("LDA", 0.9, ("kind", "file"), ("lda",)), ("LDA", 0.8, ("text",), ("lda", "lahore development", "placement letter")), ("LDA", 0.85, ("scheme",), ("lda",)),
+    ("RUDA", 0.9, ("kind", "file"), ("ruda",)), ("RUDA", 0.8, ("text",), ("ruda", "ravi urban")),
+    ("CANTONMENT", 0.8, ("text",), ("cantonment board", "cb ", "leasehold")), ("CANTONMENT", 0.9, ("kind", "file"), ("cantonment",)),
+    ("SOCIETY", 0.9, ("kind",), ("society",)), ("SOCIETY", 0.7, ("text",), ("society", "membership", "allotment")),
+    ("REVENUE", 0.8, ("text",), ("fard", "jamabandi", "khasra", "khewat", "mouza")), ("REVENUE", 0.9, ("kind",), ("fard",)), ("REVENUE", 0.9, ("kind is",), ("jamabandi", "mutation")),
+    ("MUNICIPAL", 0.7, ("text",), ("municipal", "tma", "mc ", "property tax", "pt-1")),
+]
+KNOWN_SCORE = 0.9
+
+
+def classified_regime(cases: DataFrame, documents: DataFrame, pages: DataFrame, overwrite: bool = False) -> DataFrame:
+    """(case_id, regime, score) of each case: a regime in its dossier stands, else the regime of the highest indicator.
+
+    cases (case_id, regime, scheme); documents (case_id, doc_type, filename);
+    pages (case_id, text).  Every table is read once: a row's best score for
+    each regime is an expression, and a case's is its maximum.  Of equal scores
+    the regime listed first wins; a page's end counts as a blank.
+    """
+    order = list(dict.fromkeys(i[0] for i in INDICATORS))
+
+    def scores(df: DataFrame, **columns: Column) -> DataFrame:
+        out = []
+        for name in order:
+            best = F.lit(0.0)
+            for regime, score, places, terms in INDICATORS:
+                for place in places if regime == name else ():
+                    column = columns.get(place)
+                    if column is not None:
+                        low, hit = F.lower(column), F.lit(False)
+                        for term in terms:
+                            hit = hit | ((low == term) if place == "kind is" else low.contains(term))
+                        best = F.greatest(best, F.when(F.coalesce(hit, F.lit(False)), score).otherwise(0.0))
+            out.append(best.alias(name))
+        return df.select("case_id", *out).groupBy("case_id").agg(*[F.max(n).alias(n) for n in order])
+
+    parts = [scores(documents, **{"kind": F.col("doc_type"), "kind is": F.col("doc_type"), "file": F.col("filename")}), scores(pages, text=F.concat("text", F.lit(" "))), scores(cases, scheme=F.col("scheme"))]
+    merged = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("case_id").agg(*[F.max(n).alias(n) for n in order])
+    top = F.array_max(F.array(*[F.struct(F.col(n).alias("score"), F.lit(-i).alias("i"), F.lit(n).alias("name")) for i, n in enumerate(order)]))
+    known = normalized_regime(F.col("regime"))
+    stands = F.lit(not overwrite) & known.isNotNull() & (known != "UNKNOWN")
+    x = cases.select("case_id", "regime").join(merged.select("case_id", top.alias("top")), "case_id", "left")
+    found = F.coalesce(F.col("top.score"), F.lit(0.0))
+    return x.select("case_id", F.when(stands, known).when(found > 0, F.col("top.name")).otherwise("UNKNOWN").alias("regime"), F.when(stands, KNOWN_SCORE).otherwise(found).alias("score"))
+
+
 def inferred_type(filename: Column, pairs: list[tuple[tuple[str, ...], str]]) -> Column:
     """The type of the first pair with a pattern in the file name."""
     low, out = F.lower(filename), F

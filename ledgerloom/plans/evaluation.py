@@ -13,35 +13,59 @@ from ..registry import query
 
 
 def findings(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """The parts that the SQL of E14 names, as expectations and actuals of a case."""
-    p = t.raw("part").where("p_partkey <= 400").select((F.col("p_partkey") % 40).alias("case_id"), F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 6 < 2, F.col("p_brand")).alias("rule_id"), F.col("p_name").alias("title"), F.col("p_type").alias("text"))
-    even = F.floor(F.col("id") / 40) % 2 == 0
-    return p.where(even), p.where(~even)
-
-
-@query("E01_golden_matching")
-def golden_matching(t: Tables) -> DataFrame:
     """All parts: 40 neighbouring keys are a case, whatever the size of the table; even keys are expected, odd ones found."""
     p = t.raw("part").select(F.floor(F.col("p_partkey") / 40).alias("case_id"), F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 6 < 2, F.col("p_brand")).alias("rule_id"), F.col("p_name").alias("title"), F.col("p_type").alias("text"))
     even = F.col("id") % 2 == 0
-    return E.golden_matching(p.where(even), p.where(~even))
+    return p.where(even), p.where(~even)
 
 
 _TOK = "list_distinct(list_filter(string_split_regex(lower({0}), '[^a-z0-9_]+'), lambda w: length(w) > 2))"
 _J = "CASE WHEN len(list_distinct(list_concat({0}, {1}))) = 0 THEN 0.0 ELSE len(list_intersect({0}, {1}))::DOUBLE / len(list_distinct(list_concat({0}, {1}))) END"
 
 
+def _matching(case: str, expected: str, rule: str, text: str) -> str:
+    """Greedy matching in SQL: a recursion takes the expectations of all cases one by one."""
+    best = f"greatest({_J.format('e.a', 'o.a')}, 0.8 * {_J.format('e.b', 'o.b')})"
+    return f"""RECURSIVE x AS (SELECT {case} AS case_id, p_partkey AS id, {expected} AS gold, {rule} AS rule_id, {_TOK.format('p_name')} AS a, {_TOK.format(text)} AS b FROM part),
+        pairs AS (SELECT e.case_id, e.id AS e, o.id AS o, coalesce(e.rule_id <> '' AND e.rule_id = o.rule_id, FALSE) AS same, {best} AS s FROM x e JOIN x o ON e.case_id = o.case_id AND e.gold AND NOT o.gold),
+        near AS (SELECT case_id, e, list({{'o': o, 's': CASE WHEN same THEN 1.0 ELSE s END}} ORDER BY same DESC, CASE WHEN same THEN 0 ELSE -s END, o) AS c FROM pairs WHERE same OR s >= 0.3 GROUP BY 1, 2),
+        todo AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY e) AS k FROM near),
+        step AS (SELECT DISTINCT case_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS e, CAST(NULL AS BIGINT) AS o, CAST(NULL AS DOUBLE) AS s FROM todo
+            UNION ALL SELECT n.case_id, n.k, CASE WHEN n.f IS NULL THEN n.taken ELSE list_append(n.taken, n.f.o) END, n.e, n.f.o, n.f.s FROM (SELECT t.case_id, t.k, p.taken, t.e, list_filter(t.c, lambda z: NOT list_contains(p.taken, z.o))[1] AS f FROM step p JOIN todo t ON t.case_id = p.case_id AND t.k = p.k + 1) n),
+        m AS (SELECT case_id, e, o, s FROM step WHERE o IS NOT NULL),
+        found AS (SELECT x.case_id, x.id AS expected_id, m.o AS actual_id, CASE WHEN m.o IS NULL THEN 'missed' ELSE 'matched' END AS status, round(coalesce(m.s, 0.0), 6) AS similarity FROM x LEFT JOIN m ON m.case_id = x.case_id AND m.e = x.id WHERE x.gold
+            UNION ALL SELECT case_id, NULL, id, 'extra', 0.0 FROM x WHERE NOT gold AND NOT EXISTS (SELECT 1 FROM m WHERE m.case_id = x.case_id AND m.o = x.id))"""
+
+
+_E01 = _matching("p_partkey // 40", "p_partkey % 2 = 0", "CASE WHEN p_partkey % 6 < 2 THEN p_brand END", "p_type")
+
+
+@query("E01_golden_matching", f"WITH {_E01} SELECT * FROM found")
+def golden_matching(t: Tables) -> DataFrame:
+    return E.golden_matching(*findings(t)).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("J15_greedy_pairs", f"WITH {_matching('p_partkey // 24', 'p_partkey % 3 = 0', 'NULL::VARCHAR', 'p_brand')} SELECT case_id, expected_id, actual_id, similarity FROM found WHERE status = 'matched'")
+def greedy_pairs(t: Tables) -> DataFrame:
+    """One-to-one by likeness alone; every third key of 24 is matched with the others."""
+    p = t.raw("part").select(F.floor(F.col("p_partkey") / 24).alias("case_id"), F.col("p_partkey").alias("id"), F.lit(None).cast("string").alias("rule_id"), F.col("p_name").alias("title"), F.col("p_brand").alias("text"))
+    third = F.col("id") % 3 == 0
+    return E.golden_matching(p.where(third), p.where(~third)).where("status = 'matched'").select("case_id", "expected_id", "actual_id", F.round("similarity", 6).alias("similarity"))
+
+
 @query("E02_similarity", f"WITH x AS (SELECT p_partkey, {_TOK.format('p_name')} AS a, {_TOK.format('p_type')} AS b, {_TOK.format('p_brand')} AS c FROM part) SELECT p_partkey, round(greatest({_J.format('a', 'b')}, 0.8 * {_J.format('a', 'c')}), 6) AS similarity FROM x")
 def similarity(t: Tables) -> DataFrame:
     x = t.raw("part").select("p_partkey", E.tokens(F.col("p_name")).alias("a"), E.tokens(F.col("p_type")).alias("b"), E.tokens(F.col("p_brand")).alias("c"))
     return x.select("p_partkey", F.round(F.greatest(E.jaccard(F.col("a"), F.col("b")), 0.8 * E.jaccard(F.col("a"), F.col("c"))), 6).alias("similarity"))
 
 
-@query("E03_recall_precision", "SELECT doc_id % 20 AS run, round(count(CASE WHEN quality = 1 AND toxic = 1 THEN 1 END)::DOUBLE / nullif(count(CASE WHEN toxic = 1 THEN 1 END), 0), 6) AS recall, round(count(CASE WHEN quality = 1 AND toxic = 1 THEN 1 END)::DOUBLE / nullif(count(CASE WHEN quality = 1 THEN 1 END), 0), 6) AS precision FROM labels GROUP BY 1")
+@query("E03_recall_precision", f"WITH {_E01} SELECT case_id, round(count(CASE WHEN status = 'matched' AND expected_id % 10 = 0 THEN 1 END)::DOUBLE / nullif(count(CASE WHEN expected_id % 10 = 0 THEN 1 END), 0), 6) AS critical_recall, round(count(CASE WHEN status = 'matched' THEN 1 END)::DOUBLE / nullif(count(expected_id), 0), 6) AS overall_recall, round(count(CASE WHEN status = 'matched' THEN 1 END)::DOUBLE / nullif(count(actual_id), 0), 6) AS precision FROM found GROUP BY case_id")
 def recall_precision(t: Tables) -> DataFrame:
-    both, want, got = K.n((F.col("quality") == 1) & (F.col("toxic") == 1), "b"), K.n(F.col("toxic") == 1, "w"), K.n(F.col("quality") == 1, "g")
-    x = t.raw("labels").groupBy((F.col("doc_id") % 20).alias("run")).agg(both, want, got)
-    return x.select("run", F.round(F.try_divide("b", "w"), 6).alias("recall"), F.round(F.try_divide("b", "g"), 6).alias("precision"))
+    """Over the findings of the matching; every tenth key is a critical expectation."""
+    expected, actual = findings(t)
+    critical = expected.where("id % 10 = 0").select("case_id", F.col("id").alias("expected_id"))
+    m = E.run_metrics(E.golden_matching(expected, actual), critical)
+    return m.select("case_id", *[F.round(c, 6).alias(c) for c in ("critical_recall", "overall_recall", "precision")])
 
 
 _PAIR = "SELECT p_partkey AS id, p_name AS pred, p_type AS gold FROM part"
@@ -115,11 +139,12 @@ def sequence_f1(t: Tables) -> DataFrame:
     return c.select("label", F.round(F.try_divide("tp", "p"), 6).alias("precision"), F.round(F.try_divide("tp", "g"), 6).alias("recall"), F.round(F.try_divide(2.0 * F.col("tp"), F.col("p") + F.col("g")), 6).alias("f1"))
 
 
-@query("E14_best_similarity", f"WITH x AS (SELECT p_partkey % 40 AS case_id, p_partkey AS id, (p_partkey // 40) % 2 = 0 AS gold, {_TOK.format('p_name')} AS a FROM part WHERE p_partkey <= 400) SELECT e.id AS expected_id, round(max({_J.format('e.a', 'o.a')}), 6) AS best FROM x e JOIN x o ON e.case_id = o.case_id AND e.gold AND NOT o.gold GROUP BY 1")
+@query("E14_best_similarity", f"WITH x AS (SELECT p_partkey // 40 AS case_id, p_partkey AS id, p_partkey % 2 = 0 AS gold, {_TOK.format('p_name')} AS a, {_TOK.format('p_type')} AS b FROM part) SELECT e.id AS expected_id, round(max(greatest({_J.format('e.a', 'o.a')}, 0.8 * {_J.format('e.b', 'o.b')})), 6) AS best FROM x e JOIN x o ON e.case_id = o.case_id AND e.gold AND NOT o.gold GROUP BY 1")
 def best_similarity(t: Tables) -> DataFrame:
-    e, a = findings(t)
-    a = a.select("case_id", E.tokens(F.col("title")).alias("b"))
-    return e.select("case_id", F.col("id").alias("expected_id"), E.tokens(F.col("title")).alias("a")).join(a, "case_id").groupBy("expected_id").agg(F.round(F.max(E.jaccard(F.col("a"), F.col("b"))), 6).alias("best"))
+    expected, actual = findings(t)
+    best = E.similarities(expected, actual).groupBy("expected_id").agg(F.max("similarity").alias("best"))
+    met = expected.join(actual.select("case_id").distinct(), "case_id", "left_semi").select(F.col("id").alias("expected_id"))
+    return met.join(best, "expected_id", "left").select("expected_id", F.round(F.coalesce("best", F.lit(0.0)), 6).alias("best"))
 
 
 @query("U07_first_of_group", "SELECT p_brand, min(p_partkey) AS p_partkey FROM part GROUP BY p_brand")

@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Tables
 from ..operators import kpis as K
 from ..operators import rules as R
-from ..operators import windows as W
 from ..registry import query
+from ..sources import packs
 
-_REGIME = "CASE org_id WHEN 0 THEN 'DHA Phase 5' WHEN 1 THEN 'lda' WHEN 2 THEN 'some ruda area' ELSE NULL END"
-_NORM = f"CASE WHEN {_REGIME} IS NULL THEN 'UNKNOWN' WHEN contains(upper({_REGIME}), 'DHA') THEN 'DHA' WHEN contains(upper({_REGIME}), 'LDA') THEN 'LDA' WHEN contains(upper({_REGIME}), 'RUDA') THEN 'RUDA' ELSE 'UNKNOWN' END"
+#: What the cases' dossiers say of their regime: every name, ties of two names, odd spellings and nothing.
+REGIME_TEXTS = [
+    "DHA Phase 5", "lda", "some ruda area", None, "", "  ", "LDA / DHA", "DHA near LDA", "CB Lahore", "mc road", "Housing scheme", "Cantt", "tma city", "Municipality of X", "land revenue", "Revenue",
+    "cooperative society", " society ", "Cantonment Board", "Ravi Urban Development Authority", "lahore development authority", "Defence Housing Authority", "unknown", "Patwari", "RUDA society", "revenue and society", "McB", "MUNICIPAL", "DEFENCE HOUSING", "Lahore Development",
+]
+
+
+def _list(values: list) -> str:
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
+
+
+def _nth(values: list, n: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), (n % len(values) + 1).cast("int"))
+
+
+_REGIME = f"({_list(REGIME_TEXTS)})[case_id % {len(REGIME_TEXTS)} + 1]"
+_ALIASES = "[" + ", ".join(f"{{'a': '{a}', 'r': '{r}'}}" for a, r in R.ALIASES) + "]"
+_NORM = f"CASE WHEN {_REGIME} <> '' THEN CASE WHEN upper(trim({_REGIME})) IN ('REVENUE', 'SOCIETY', 'LDA', 'RUDA', 'DHA', 'CANTONMENT', 'MUNICIPAL', 'UNKNOWN') THEN upper(trim({_REGIME})) ELSE coalesce(list_filter({_ALIASES}, lambda x: contains(upper(trim({_REGIME})), x.a))[1].r, 'UNKNOWN') END END"
 _DOCS = "SELECT l_orderkey AS case_id, p_type AS doc_type FROM lineitem JOIN part ON p_partkey = l_partkey"
 _FACTS = "SELECT l_orderkey AS case_id, CASE WHEN l_linenumber % 2 = 0 THEN 'party.cnic' ELSE 'registry.number' END AS key, '12-' || (l_partkey % 3) || ' x' AS value FROM lineitem"
 _CHECKS = "SELECT case_id, verification_type AS kind, status FROM verifications"
@@ -22,10 +38,10 @@ _PG = "SELECT doc_id AS case_id, line_no AS page, line AS text FROM lines"
 def facts(t: Tables) -> R.Facts:
     line = t.raw("lineitem")
     return R.Facts(
-        cases=t.cases.select("case_id", R.normalized_regime(F.expr(_REGIME)).alias("regime")),
+        cases=t.cases.select("case_id", R.normalized_regime(_nth(REGIME_TEXTS, F.col("case_id"))).alias("regime")),
         facts=line.select(F.col("l_orderkey").alias("case_id"), F.when(F.col("l_linenumber") % 2 == 0, "party.cnic").otherwise("registry.number").alias("key"), F.concat(F.lit("12-"), (F.col("l_partkey") % 3).cast("string"), F.lit(" x")).alias("value")),
         documents=line.join(t.raw("part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("case_id"), F.col("p_type").alias("doc_type")),
-        pages=t.lines.select(F.col("doc_id").alias("case_id"), F.col("line_no").alias("page"), F.col("line").alias("text")),
+        pages=t.lines.select(F.col("doc_id").alias("case_id"), "doc_id", F.col("line_no").alias("page"), F.col("line").alias("text")),
         checks=t.verifications.select("case_id", F.col("verification_type").alias("kind"), "status"),
     )
 
@@ -72,6 +88,11 @@ def keyword_risk(t: Tables) -> DataFrame:
     return _run(t, R.Rule("K", "keyword_risk", keywords=("token", "license")))
 
 
+@query("R06b_evidence_references", f"WITH p AS ({_PG}) SELECT case_id, 'K' AS rule_id, case_id AS doc_id, page, 'Contains keyword: ' || CASE WHEN contains(lower(text), 'token') THEN 'token' ELSE 'license' END AS note FROM p WHERE (contains(lower(text), 'token') OR contains(lower(text), 'license')) AND case_id IN (SELECT case_id FROM cases)")
+def evidence_references(t: Tables) -> DataFrame:
+    return R.keyword_references(R.Rule("K", "keyword_risk", keywords=("token", "license")), facts(t))
+
+
 @query("R07_constructed_gate", f"WITH p AS ({_PG}), d AS ({_DOCS}) SELECT case_id, 'G' AS rule_id, CAST(NULL AS VARCHAR) AS evidence FROM cases c WHERE EXISTS (SELECT 1 FROM p WHERE p.case_id = c.case_id AND contains(lower(text), 'the')) AND NOT EXISTS (SELECT 1 FROM d WHERE d.case_id = c.case_id AND (contains(lower(doc_type), 'steel') OR contains('steel', lower(doc_type))))")
 def constructed_gate(t: Tables) -> DataFrame:
     return _run(t, R.Rule("G", "constructed_gate", required=("steel",), indicators=("the",)))
@@ -92,10 +113,9 @@ def case_regime(t: Tables) -> DataFrame:
     return facts(t).cases.where("regime <> 'UNKNOWN'")
 
 
-@query("R11_required_regimes", "SELECT * FROM (VALUES ('a', 'RUDA'), ('b', 'LDA,DHA'), ('c', '')) x(rule_id, regimes)")
+@query("R11_required_regimes", "SELECT * FROM (VALUES ('ID-1', ''), ('TI-1', ''), ('TI-2', ''), ('TI-3', ''), ('AU-1', 'LDA,DHA'), ('AU-2', 'RUDA'), ('AU-3', '')) x(rule_id, regimes)")
 def required_regimes(t: Tables) -> DataFrame:
-    rules = [R.Rule("a", "mismatch", conditional="if  Regime == ruda then"), R.Rule("b", "mismatch", regimes=("lda", "DHA")), R.Rule("c", "mismatch", conditional="if area > 5")]
-    return t.spark.createDataFrame([(r.id, ",".join(R.required_regimes(r))) for r in rules], "rule_id string, regimes string")
+    return t.spark.createDataFrame([(r.id, ",".join(R.required_regimes(r))) for r in pack()], "rule_id string, regimes string")
 
 
 @query("R12_regime_gate", f"SELECT case_id, 'E' AS rule_id, CAST(NULL AS VARCHAR) AS evidence FROM cases WHERE {_NORM} = 'RUDA'")
@@ -105,7 +125,7 @@ def regime_gate(t: Tables) -> DataFrame:
 
 @query("R13_dispatch", f"WITH d AS ({_DOCS}) SELECT case_id, 'U' AS rule_id, CAST(NULL AS VARCHAR) AS evidence FROM cases c WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.case_id = c.case_id AND (contains(lower(doc_type), 'steel') OR contains('steel', lower(doc_type)))) UNION ALL SELECT case_id, 'E', NULL FROM cases WHERE {_NORM} = 'LDA'")
 def dispatch(t: Tables) -> DataFrame:
-    good, _ = R.validated([{"id": "U", "evaluator": "no such", "required": ["steel"]}, {"id": "E", "regimes": ["LDA"]}, {"id": "bad", "severity": "Critical"}, {}])
+    good, _ = R.validated([{"id": "U", "module": "m", "severity": "Low", "evaluator": "no such", "logic": {"required_doc_types": ["steel"]}}, {"id": "E", "module": "m", "severity": "Low", "logic": {"regimes": ["LDA"]}}, {"id": "bad", "severity": "Critical"}, {}])
     return _run(t, *good)
 
 
@@ -120,13 +140,37 @@ def auto_satisfy(t: Tables) -> DataFrame:
     return t.cps.join(ok, "case_id", "left").select("case_id", "line", F.when((F.col("status") == "Open") & F.col("ok"), "Satisfied").otherwise(F.col("status")).alias("status"))
 
 
-@query("R16_regime_classifier", "WITH s AS (SELECT doc_id, CASE WHEN contains(lower(text), 'license') THEN 80 ELSE 0 END AS a, CASE WHEN contains(lower(text), 'token') THEN 90 ELSE 0 END AS b, CASE WHEN source = 'src3' THEN 85 ELSE 0 END AS c FROM documents) SELECT doc_id, CASE WHEN greatest(a, b, c) = 0 THEN 'UNKNOWN' WHEN a >= b AND a >= c THEN 'LICENSED' WHEN b >= c THEN 'SECRET' ELSE 'SOURCE' END AS regime, greatest(a, b, c) AS score FROM s")
+_KINDS = ["DHA NDC", "lda_transfer", "RUDA letter", "cantonment_noc", "society_transfer", "Fard", "jamabandi", "mutation", "old mutation", "sale_deed", "cnic", "map", "photo", "challan", "receipt", None]
+_FILES = ["scan.pdf", "dha.pdf", "LDA plan.pdf", "ruda-1.pdf", "Cantonment.pdf", "society.pdf", "fard.pdf", "a.pdf", "b.pdf", "c.pdf", "d.pdf", "e.pdf", None]
+_PAGES = ["a Defence Housing plot", "placement letter", "Ravi Urban area", "leasehold", "seen by cb", "cbx only", "membership and Allotment", "Khewat no 5", "mouza", "property tax", "PT-1 form", "mc", "nothing", "text", "of", "no", "worth", "here", "and", "there", None]
+_SCHEMES = ["DHA Phase 6", "LDA Avenue", "both LDA and DHA", "Green Town", None, "Canal View", "Sun City"]
+_ROWS = f"SELECT l_orderkey AS case_id, lower(({_list(_KINDS)})[(l_partkey + 3 * l_orderkey) % {len(_KINDS)} + 1]) AS k, lower(({_list(_FILES)})[l_suppkey % {len(_FILES)} + 1]) AS f, lower(({_list(_PAGES)})[(l_partkey + l_linenumber) % {len(_PAGES)} + 1]) || ' ' AS x FROM lineitem"
+
+
+def _any(column: str, terms: str) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in terms.split("|")) + ")"
+
+
+_SCORES = {
+    "DHA": f"max(CASE WHEN {_any('k', 'dha')} OR {_any('f', 'dha')} THEN 0.9 WHEN {_any('x', 'dha|defence housing')} THEN 0.8 ELSE 0 END)",
+    "LDA": f"max(CASE WHEN {_any('k', 'lda')} OR {_any('f', 'lda')} THEN 0.9 WHEN {_any('x', 'lda|lahore development|placement letter')} THEN 0.8 ELSE 0 END)",
+    "RUDA": f"max(CASE WHEN {_any('k', 'ruda')} OR {_any('f', 'ruda')} THEN 0.9 WHEN {_any('x', 'ruda|ravi urban')} THEN 0.8 ELSE 0 END)",
+    "CANTONMENT": f"max(CASE WHEN {_any('k', 'cantonment')} OR {_any('f', 'cantonment')} THEN 0.9 WHEN {_any('x', 'cantonment board|cb |leasehold')} THEN 0.8 ELSE 0 END)",
+    "SOCIETY": f"max(CASE WHEN {_any('k', 'society')} THEN 0.9 WHEN {_any('x', 'society|membership|allotment')} THEN 0.7 ELSE 0 END)",
+    "REVENUE": f"max(CASE WHEN {_any('k', 'fard')} OR k IN ('jamabandi', 'mutation') THEN 0.9 WHEN {_any('x', 'fard|jamabandi|khasra|khewat|mouza')} THEN 0.8 ELSE 0 END)",
+    "MUNICIPAL": f"max(CASE WHEN {_any('x', 'municipal|tma|mc |property tax|pt-1')} THEN 0.7 ELSE 0 END)",
+}
+_SCHEME = f"lower(({_list(_SCHEMES)})[case_id % {len(_SCHEMES)} + 1])"
+_BEST = f"""SELECT c.case_id, {_NORM.replace('case_id', 'c.case_id')} AS known, [{', '.join(f"{{'n': '{n}', 's': " + (f"greatest(coalesce({n}, 0), CASE WHEN contains({_SCHEME.replace('case_id', 'c.case_id')}, '{n.lower()}') THEN 0.85 ELSE 0 END)" if n in ('DHA', 'LDA') else f"coalesce({n}, 0)") + "}" for n in _SCORES)}] AS l FROM cases c LEFT JOIN (SELECT case_id, {', '.join(f'{v} AS {n}' for n, v in _SCORES.items())} FROM ({_ROWS}) GROUP BY case_id) s ON s.case_id = c.case_id"""
+
+
+@query("R16_regime_classifier", f"SELECT case_id, CASE WHEN known <> 'UNKNOWN' THEN known WHEN m = 0 THEN 'UNKNOWN' ELSE list_filter(l, lambda z: z.s = m)[1].n END AS regime, CAST(CASE WHEN known <> 'UNKNOWN' THEN 0.9 ELSE m END AS DOUBLE) AS score FROM (SELECT *, list_max(list_transform(l, lambda z: z.s)) AS m FROM ({_BEST}))")
 def regime_classifier(t: Tables) -> DataFrame:
-    """The regime of the highest fixed score; of equals the first named."""
-    low = F.lower("text")
-    scores = [("LICENSED", F.when(low.contains("license"), 80).otherwise(0)), ("SECRET", F.when(low.contains("token"), 90).otherwise(0)), ("SOURCE", F.when(F.col("source") == "src3", 85).otherwise(0))]
-    best = F.array_max(F.array(*[F.struct(s.alias("score"), F.lit(-i).alias("i"), F.lit(n).alias("name")) for i, (n, s) in enumerate(scores)]))
-    return t.documents.select("doc_id", best.alias("b")).select("doc_id", F.when(F.col("b.score") == 0, "UNKNOWN").otherwise(F.col("b.name")).alias("regime"), F.col("b.score").alias("score"))
+    line = t.raw("lineitem")
+    case = F.col("l_orderkey").alias("case_id")
+    cases = t.cases.select("case_id", _nth(REGIME_TEXTS, F.col("case_id")).alias("regime"), _nth(_SCHEMES, F.col("case_id")).alias("scheme"))
+    documents = line.select(case, _nth(_KINDS, F.col("l_partkey") + 3 * F.col("l_orderkey")).alias("doc_type"), _nth(_FILES, F.col("l_suppkey")).alias("filename"))
+    return R.classified_regime(cases, documents, line.select(case, _nth(_PAGES, F.col("l_partkey") + F.col("l_linenumber")).alias("text")))
 
 
 @query("R17_normalized_regime", f"SELECT case_id, {_NORM} AS regime FROM cases")
@@ -142,11 +186,13 @@ def checklist(t: Tables) -> DataFrame:
     return t.cases.join(have, "case_id", "left").select("case_id", "have", item).select("case_id", "item", F.when(F.coalesce(F.array_contains("have", F.col("item")), F.lit(False)), "Provided").otherwise("Missing").alias("status"))
 
 
-@query("R19_closure_evidence", "SELECT rule_id, min(CASE WHEN rule_id = 'R-1' THEN 'deed, map' WHEN rule_id = 'R-2' THEN 'a, b' ELSE 'supporting document' END) AS evidence FROM exceptions GROUP BY rule_id")
+@query("R19_closure_evidence", "SELECT rule_id, min(CASE WHEN rule_id = 'R-1' THEN 'deed, map' WHEN rule_id = 'R-2' THEN 'a, b' WHEN rule_id = 'R-5' THEN 'x, y, z' ELSE 'supporting document' END) AS evidence FROM exceptions GROUP BY rule_id")
 def closure_evidence(t: Tables) -> DataFrame:
-    configured = t.spark.createDataFrame([("R-1", ["deed", "map"], None), ("R-2", None, "a; b")], "rule_id string, listed array<string>, fallback string")
-    split = F.filter(F.transform(F.split("fallback", "[;,]"), lambda x: F.trim(x)), lambda x: x != "")
-    rules = t.exceptions.select("rule_id").distinct().join(F.broadcast(configured), "rule_id", "left")
+    """What the library accepts, else the rule's own text split at its separators, else a general answer."""
+    library = packs.evidence_library(t.spark, packs.HOME / "evidence.yaml").where(F.size("acceptable_evidence") > 0).select("rule_id", F.col("acceptable_evidence").alias("listed"))
+    own = F.when(F.col("rule_id") == "R-5", "x; y, z")
+    split = F.filter(F.transform(F.split(own, "[;,]"), lambda x: F.trim(x)), lambda x: x != "")
+    rules = t.exceptions.select("rule_id").distinct().join(F.broadcast(library), "rule_id", "left")
     return rules.select("rule_id", F.array_join(F.coalesce("listed", split, F.array(F.lit("supporting document"))), ", ").alias("evidence"))
 
 
@@ -161,26 +207,33 @@ def replace_open(t: Tables) -> DataFrame:
     return R.replace_open(t.exceptions, R.evaluate([R.Rule("M", "missing_evidence", severity="High", required=("steel",))], facts(t)))
 
 
-_PACK = [{"id": "a", "severity": "High"}, {"id": "b", "severity": "Critical"}, {"title": "no id"}, {"id": "c", "evaluator": "what"}]
+def pack() -> list[R.Rule]:
+    return R.validated(packs.rule_list(packs.HOME / "rules.yaml"))[0]
+
+
+@query("R22_rulepack_run", f"WITH f AS ({_FACTS}), p AS ({_PG}), d AS ({_DOCS}), k AS ({_CHECKS}) SELECT 'ID-1' AS rule_id, 'High' AS severity, count(*) AS n FROM (SELECT case_id FROM f WHERE contains(key, 'cnic') AND case_id IN (SELECT case_id FROM cases) GROUP BY case_id HAVING count(DISTINCT regexp_replace(value, '[^0-9]', '', 'g')) > 1) UNION ALL SELECT 'TI-1', 'Medium', count(DISTINCT case_id) FROM p WHERE (contains(lower(text), 'token') OR contains(lower(text), 'license')) AND case_id IN (SELECT case_id FROM cases) UNION ALL SELECT 'TI-2', 'Low', count(DISTINCT case_id) FROM p WHERE contains(lower(text), 'the') AND case_id IN (SELECT case_id FROM cases) UNION ALL SELECT 'TI-3', 'High', count(*) FROM cases c WHERE (case_id IN (SELECT case_id FROM f WHERE contains(key, 'registry')) OR case_id IN (SELECT case_id FROM p WHERE contains(lower(text), 'token'))) AND case_id NOT IN (SELECT case_id FROM k WHERE kind = 'registry' AND status = 'Verified') UNION ALL SELECT 'AU-1', 'High', count(*) FROM cases WHERE {_NORM} IN ('LDA', 'DHA') AND case_id NOT IN (SELECT case_id FROM d WHERE contains(lower(doc_type), 'steel') OR contains('steel', lower(doc_type))) UNION ALL SELECT 'AU-2', 'High', count(*) FROM cases WHERE {_NORM} = 'RUDA' AND case_id NOT IN (SELECT case_id FROM d WHERE contains(lower(doc_type), 'brass') OR contains('brass', lower(doc_type)))")
+def rulepack_run(t: Tables) -> DataFrame:
+    """The whole pack that comes with the library, over all cases."""
+    return R.evaluate(pack(), facts(t)).groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
 
 
-@query("S03_rulepack", "SELECT * FROM (VALUES ('a', 'missing_evidence', 'High'), ('c', 'missing_evidence', 'Medium')) x(id, evaluator, severity)")
+@query("S03_rulepack", "SELECT * FROM (VALUES ('ID-1', 'mismatch', 'High'), ('TI-1', 'keyword_risk', 'Medium'), ('TI-2', 'keyword_risk', 'Low'), ('TI-3', 'verification_check', 'High'), ('AU-1', 'missing_evidence', 'High'), ('AU-2', 'missing_evidence', 'High'), ('AU-3', 'timeline_gap', 'Low')) x(id, evaluator, severity)")
 def rulepack(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(r.id, r.evaluator, r.severity) for r in R.validated(_PACK)[0]], "id string, evaluator string, severity string")
+    return t.spark.createDataFrame([(r.id, r.evaluator, r.severity) for r in pack()], "id string, evaluator string, severity string")
 
 
-@query("S04_rulepack_errors", "SELECT * FROM (VALUES ('b: severity Critical'), ('rule 2: no id')) x(error)")
+@query("S04_rulepack_errors", "SELECT * FROM (VALUES ('BAD-1: missing module'), ('BAD-2: invalid severity'), ('BAD-3: invalid severity'), ('rule missing id'), ('rule missing id')) x(error)")
 def rulepack_errors(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(e,) for e in R.validated(_PACK)[1]], "error string")
+    return t.spark.createDataFrame([(e,) for e in R.validated(packs.rule_list(packs.HOME / "rules.yaml"))[1]], "error string")
 
 
-@query("S05_evidence_library", "SELECT * FROM (VALUES ('R1', 'legacy'), ('R2', 'new')) x(rule_id, evidence)")
+@query("S05_evidence_library", "SELECT * FROM (VALUES ('R-1', 'deed, map', '', 'all_of', FALSE, 'never', ''), ('R-2', 'a, b', 'c', 'any_of', TRUE, 'old entry', 'old entry'), ('R-3', '', '', 'any_of', TRUE, '', ''), ('R-4', '', '', 'any_of', TRUE, '', '')) x(rule_id, evidence, substitutes, closure_logic, waivable, waiver_guidance, notes)")
 def evidence_library(t: Tables) -> DataFrame:
-    new = t.spark.createDataFrame([("R1", "new"), ("R2", "new")], "rule_id string, evidence string")
-    return W.upsert(new, t.spark.createDataFrame([("R1", "legacy")], "rule_id string, evidence string"), ["rule_id"])
+    e = packs.evidence_library(t.spark, packs.HOME / "evidence.yaml")
+    return e.select("rule_id", F.array_join("acceptable_evidence", ", ").alias("evidence"), F.array_join("acceptable_substitutes", ", ").alias("substitutes"), "closure_logic", "waivable", "waiver_guidance", "notes")
 
 
-@query("S06_playbooks", "SELECT * FROM (VALUES ('a', 2), ('b', 1)) x(playbook, n)")
+@query("S06_playbooks", "SELECT * FROM (VALUES ('P-LDA', 'LDA', 'PLAN'), ('P-LDA', 'LDA', 'DEED'), ('P-BOTH', 'LDA', 'DEED'), ('P-BOTH', 'LDA', 'NDC'), ('P-BOTH', 'DHA', 'DEED'), ('P-BOTH', 'DHA', 'NDC')) x(playbook, regime, code)")
 def playbooks(t: Tables) -> DataFrame:
-    books = t.spark.createDataFrame([("a", ["X", "Y"]), ("b", ["Z"])], "playbook string, regimes array<string>")
-    return books.select("playbook", F.size("regimes").alias("n"))
+    p = packs.playbooks(t.spark, packs.HOME / "playbooks.yaml").select("playbook", F.explode("regimes").alias("regime"), "evidence")
+    return p.select("playbook", "regime", F.explode("evidence").alias("e")).select("playbook", "regime", F.col("e.code").alias("code"))

@@ -94,7 +94,3 @@ def append_only(t: Tables) -> DataFrame:
     more = t.audit.where("action = 'error'").select((F.col("event_id") + 1000000).alias("event_id"))
     return t.audit.select("event_id").unionByName(more).agg(F.count("*").alias("n"))
 
-
-@query("J15_greedy_pairs", "SELECT case_id, min(line) AS line FROM exceptions GROUP BY case_id")
-def greedy_pairs(t: Tables) -> DataFrame:
-    return W.first_by(t.exceptions, ["case_id"], ["line", "document_id"]).select("case_id", "line")

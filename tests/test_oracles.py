@@ -2,8 +2,10 @@
 
 import glob
 import os
+from numbers import Number
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -25,7 +27,7 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     text = lambda x: "None" if pd.isna(x) else f"{x:.6f}" if isinstance(x, float) else str(x)
     out = []
     for r in df.itertuples(index=False):
-        out.append(tuple(text(x if pd.isna(x) or not isinstance(x, (int, float)) or isinstance(x, bool) else float(x)) for x in r))
+        out.append(tuple(text(x if pd.isna(x) or not isinstance(x, Number) or isinstance(x, (bool, np.bool_)) else float(x)) for x in r))
     return sorted(out)
 
 
