@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 import re
 import unicodedata
 
@@ -128,12 +127,12 @@ def for_matching(text: Column) -> Column:
     return F.translate(squeeze(F.regexp_replace(nfkc(text), "[^A-Za-z0-9\\u0080-\\uFFFF ]+", " ")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def signature(key: str):
-    @F.pandas_udf(StringType())
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else hmac.new(key.encode(), x.encode(), hashlib.sha256).hexdigest())
-
-    return run
+def signature(key: str, text: Column) -> Column:
+    """HMAC-SHA256 as two hashes over the padded key, in the JVM."""
+    raw = key.encode()
+    raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in raw)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(text, "UTF-8")), 256))), 256)
 
 
 def render(template: str, values: dict[str, Column]) -> Column:

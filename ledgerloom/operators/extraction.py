@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import ARABIC, squeeze
 from .windows import first_by
 
 
@@ -35,6 +36,41 @@ def _matches(p: Pattern, order: int) -> Column:
     return F.transform(F.regexp_extract_all("text", F.lit(p.regex), F.lit(p.group)), one)
 
 
+def distinct_in_rows(pages: DataFrame, patterns: list[Pattern], keys: list[str]) -> DataFrame:
+    """(keys, field, value): each lower-case value of a field once for each row of pages, without an exchange; keys tell rows apart."""
+
+    def one(p: Pattern) -> Column:
+        return F.transform(F.regexp_extract_all("text", F.lit(p.regex), F.lit(p.group)), lambda v: F.struct(F.lit(p.field).alias("field"), F.lower(F.trim(v)).alias("value")))
+
+    found = [one(p) for p in patterns]
+    return pages.select(*keys, F.explode(F.array_distinct(F.concat(*found))).alias("m")).select(*keys, "m.*")
+
+
+def best_in_rows(pages: DataFrame, patterns: list[Pattern], keys: list[str]) -> DataFrame:
+    """(keys, field, value, confidence): what best_values would choose, as the first match of the first pattern that has one, without an exchange."""
+    fields: dict[str, list[Pattern]] = {}
+    for p in sorted(patterns, key=lambda p: -p.confidence):
+        fields.setdefault(p.field, []).append(p)
+    one = lambda p: F.when(F.regexp_like("text", F.lit(p.regex)), F.struct(F.lit(p.field).alias("field"), F.trim(F.regexp_extract("text", p.regex, p.group)).alias("value"), F.lit(p.confidence).alias("confidence")))
+    best = F.array_compact(F.array(*[F.coalesce(*[one(p) for p in ps]) for ps in fields.values()]))
+    return pages.select(*keys, F.explode(best).alias("m")).select(*keys, "m.*")
+
+
+def entity_tokens(tokens: DataFrame, patterns: list[Pattern], labels: list[str], keys: list[str]) -> DataFrame:
+    """(keys, label, value, x0, y0, x1, y1) of the tokens that are entities of the wanted labels, boxes normalised to 0..1000.
+
+    tokens (keys, word, left, top, right, bottom, width, height): a token takes
+    the first label whose pattern fits all of it.
+    """
+    label = F
+    for p in patterns:
+        if p.field in labels:
+            label = label.when(F.col("word").rlike(f"^(?:{p.regex})$"), p.field)
+    unit = lambda c, size: F.least(F.lit(1000), F.greatest(F.lit(0), (F.col(c) * 1000 / F.col(size)).cast("int")))
+    found = tokens.withColumn("label", label.otherwise(None)).where("label IS NOT NULL")
+    return found.select(*keys, "label", F.col("word").alias("value"), unit("left", "width").alias("x0"), unit("top", "height").alias("y0"), unit("right", "width").alias("x1"), unit("bottom", "height").alias("y1"))
+
+
 def best_values(found: DataFrame, keys: list[str]) -> DataFrame:
     """The best value of each field: by confidence, then pattern, then place."""
     return first_by(found, [*keys, "field"], [F.desc("confidence"), "pattern_ord", "match_ord"])
@@ -94,6 +130,174 @@ def gate(key: Column, value: Column) -> Column:
     return out.otherwise(_checked(F.coalesce(plain != "", F.lit(False)), plain, F.lit("empty")))
 
 
+#: Phrases no name holds, and words of sentences.
+NARRATIVE = (
+    "appears", "vide", "in this regard", "property", "competent", "owner", "letter", "reference", "submitted", "documents", "above mentioned", "lawful", "according", "respect", "regard", "hereby", "whereas",
+    "therefore", "aforesaid", "aforementioned", "aforesaid property", "executed by", "in witness", "witness whereof", "witnesses named",
+    "ولد", "ساکن", "ضلع", "تحصیل", "شناختی", "کارڈ", "نمبر", "مکان", "پلاٹ", "رہائشی", "اور", "یا", "بیع", "فروخت", "خریداری", "فروخت کنندہ", "خریدار",
+)
+STOPWORDS = ("the", "is", "are", "was", "were", "this", "that", "with", "from", "for")
+
+
+def _first_fault(*faults: tuple[Column, str]) -> Column:
+    out = F
+    for bad, reason in faults:
+        out = out.when(bad, reason)
+    return out.otherwise(None)
+
+
+def _verdict(fault: Column, value: Column) -> Column:
+    return F.struct(fault.isNull().alias("ok"), F.when(fault.isNull(), value).alias("value"), fault.alias("reason"))
+
+
+def _words(v: Column) -> Column:
+    return F.filter(F.split(v, " "), lambda w: w != "")
+
+
+def name_validator(value: Column) -> Column:
+    """A line that can be a name: 3 to 80 characters, no narrative, no sentence signs, few digits, at most 8 words, mostly letters."""
+    v = squeeze(value)
+    solid = F.regexp_replace(v, "\\s", "")
+    size = F.greatest(F.length(solid), F.lit(1))
+    told = F.lower(v).rlike("|".join(NARRATIVE))
+    letters, digits = F.length(F.regexp_replace(solid, "[^\\p{L}]", "")) / size, F.length(F.regexp_replace(solid, "[^\\p{Nd}]", "")) / size
+    least = F.when(v.rlike(f"[{ARABIC}]") & ~v.rlike("[A-Za-z]"), 0.45).otherwise(0.70)
+    return _verdict(_first_fault((F.length(v) > 80, "too long"), (F.length(v) < 3, "too short"), (told, "narrative"), (v.rlike("[.,;:!?]"), "punctuation"), (digits > 0.2, "digits"), (F.size(_words(v)) > 8, "too many words"), (letters < least, "few letters")), v)
+
+
+def cnic_validator(value: Column) -> Column:
+    d = F.regexp_replace(F.regexp_replace(squeeze(value), "(?i)^(cnic|nic|id)\\s*:?\\s*", ""), "[\\s.\\-]", "")
+    return _verdict(_first_fault((~d.rlike("^[0-9]{13}$"), "invalid CNIC format")), F.concat_ws("-", F.substring(d, 1, 5), F.substring(d, 6, 7), F.substring(d, 13, 1)))
+
+
+def plot_validator(value: Column) -> Column:
+    n = F.regexp_extract(value, "([0-9]+)", 1)
+    inside = F.coalesce(F.when(F.length(n) <= 9, n.try_cast("int")).between(1, 9999), F.lit(False))
+    return _verdict(_first_fault((n == "", "no number"), (~inside, "out of range")), n)
+
+
+def khasra_validator(value: Column) -> Column:
+    found = F.transform(F.regexp_extract_all(squeeze(value), F.lit("([0-9]+[/-][0-9]+)"), F.lit(1)), lambda x: F.replace(x, F.lit("-"), F.lit("/")))
+    return _verdict(_first_fault((F.size(found) == 0, "no khasra")), F.array_join(found, ", "))
+
+
+def registry_validator(value: Column) -> Column:
+    v = squeeze(value)
+    words = _words(F.lower(v))
+    told = (F.size(words) > 3) & F.arrays_overlap(words, F.array(*[F.lit(w) for w in STOPWORDS]))
+    return _verdict(_first_fault((F.length(v) > 40, "too long"), (v.rlike("[.,;:!?]"), "punctuation"), (told, "narrative"), (~v.rlike("^[A-Za-z0-9/\\- ]+$"), "invalid characters")), F.upper(v))
+
+
+def estamp_validator(value: Column) -> Column:
+    v = F.trim(F.regexp_replace(squeeze(value), "(?i)^(e[-\\s]?stamp|estamp|stamp\\s*paper|psid|challan)\\s*(?:id|no\\.?|number)?\\s*:?\\s*", ""))
+    return _verdict(_first_fault((F.length(v) > 50, "too long"), (v == "", "empty"), (~v.rlike("^[A-Za-z0-9\\-_]+$"), "invalid characters")), F.upper(v))
+
+
+def validate(key: Column, value: Column) -> Column:
+    """(ok, value, reason) by the validator that the key's words call for; other keys pass unchanged."""
+    k = F.lower(key)
+    return (
+        F.when(k.contains("name"), name_validator(value)).when(k.contains("nic"), cnic_validator(value)).when(k.contains("plot"), plot_validator(value)).when(k.contains("khasra"), khasra_validator(value))
+        .when(k.contains("registry") & k.contains("number"), registry_validator(value)).when(k.contains("stamp"), estamp_validator(value)).otherwise(_verdict(F.lit(None).cast("string"), value))
+    )
+
+
+#: Fields, their other names, least lengths and kinds.
+FIELD_ALIASES = {
+    "party.seller.names": "seller_name", "party.buyer.names": "buyer_name", "party.witness.names": "party_name", "party.name.raw": "party_name", "party.cnic": "cnic", "party.cnic_number": "cnic_number", "consideration.amount": "amount",
+    "property.plot_number": "plot_number", "property.khasra_number": "khasra_number", "property.khasra_numbers": "khasra_number", "document.execution_date": "execution_date", "registry.registry_date": "registration_date", "registry.registration_date": "registration_date",
+}
+LEAST_LENGTH = {
+    "owner_name": 4, "buyer_name": 4, "seller_name": 4, "party_name": 4, "transferor": 4, "transferee": 4, "cnic": 15, "cnic_number": 15, "amount": 1, "consideration": 1, "price": 1, "plot_number": 2, "khasra_number": 2,
+    "date": 6, "registration_date": 6, "lien_status": 3, "noc_status": 3,
+}
+NAME_FIELDS = ("owner_name", "buyer_name", "seller_name", "party_name", "transferor", "transferee")
+AMOUNT_FIELDS, DATE_FIELDS, CNIC_FIELDS = ("amount", "consideration", "price"), ("date", "registration_date", "execution_date"), ("cnic", "cnic_number")
+HIGH_RISK = (*NAME_FIELDS, *CNIC_FIELDS, *AMOUNT_FIELDS, "khasra_number", "plot_number", "property_area")
+SOFT_FLOOR = 0.05
+
+
+def canonical_field(field: Column) -> Column:
+    name = F.trim(F.coalesce(field, F.lit("")))
+    out = F
+    for alias, to in FIELD_ALIASES.items():
+        out = out.when(name == alias, to)
+    return out.otherwise(F.element_at(F.split(name, "\\."), -1))
+
+
+def candidate_check(field: Column, value: Column, quality: Column) -> Column:
+    """(valid, factor, reason): whether a value can be the field's, and what is left of its confidence."""
+    f, v = canonical_field(field), F.trim(F.coalesce(value, F.lit("")))
+    digits, solid = F.regexp_replace(v, "[^0-9]", ""), F.regexp_replace(v, "\\s", "")
+    cnic = F.when(F.length(digits) == 13, F.concat_ws("-", F.substring(digits, 1, 5), F.substring(digits, 6, 7), F.substring(digits, 13, 1))).otherwise(digits)
+    least = F
+    for name, n in LEAST_LENGTH.items():
+        least = least.when(f == name, n)
+    words = _words(squeeze(v))
+
+    def result(valid: bool, factor: float, reason: Column | str | None = None) -> Column:
+        reason = reason if isinstance(reason, Column) else F.lit(reason).cast("string")
+        return F.struct(F.lit(valid).alias("valid"), F.lit(factor).alias("factor"), reason.alias("reason"))
+
+    return (
+        F.when(~v.rlike("[A-Za-z0-9\\u0600-\\u06FF]"), result(False, 0.0, "junk_token_pattern"))
+        .when(F.coalesce(F.length(v) < least.otherwise(None), F.lit(False)), result(False, 0.1, F.concat(F.lit("short_"), F.substring(f, 1, 20), F.lit("_candidate"))))
+        .when(f.isin(*CNIC_FIELDS) & ~cnic.rlike("^[0-9]{5}-[0-9]{7}-[0-9]$"), result(False, 0.15, "invalid_cnic_format"))
+        .when(f.isin(*CNIC_FIELDS), result(True, 1.0))
+        .when(f.isin(*AMOUNT_FIELDS) & ~F.regexp_replace(v, "[\\s,.]", "").rlike("^[0-9]+$"), result(False, 0.2, "malformed_amount"))
+        .when(f.isin(*DATE_FIELDS) & ~v.rlike("\\b[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4}\\b"), result(False, 0.2, "invalid_date_format"))
+        .when(f.isin(*DATE_FIELDS), result(True, 0.9))
+        .when(f.isin(*NAME_FIELDS) & (F.length(digits) > F.length(solid) * 0.5), result(False, 0.15, "name_high_digit_ratio"))
+        .when(f.isin(*NAME_FIELDS) & (F.size(words) == 1) & (F.length(v) < 6), result(True, 0.4, "short_name_candidate"))
+        .when(f.isin(*HIGH_RISK) & quality.isin("poor", "unusable"), result(True, 0.3, "low_quality_page"))
+        .otherwise(result(True, 1.0))
+    )
+
+
+def quality_gated(field: Column, value: Column, quality: Column, confidence: Column) -> Column:
+    """(confidence, review, notes): confidence times the page's and the value's factors; what needs a reviewer, and why."""
+    check = candidate_check(field, value, quality)
+    base = F.coalesce(confidence, F.lit(0.0)) * lookup(quality, QUALITY_FACTORS, QUALITY_FACTORS["unavailable"])
+    final = F.least(F.lit(1.0), F.greatest(F.lit(0.0), base * check["factor"]))
+    final = F.when(check["valid"] & (check["factor"] < 1.0), F.greatest(final, F.least(base, F.lit(SOFT_FLOOR)))).otherwise(final)
+    low = quality.isin("poor", "unusable", "unavailable")
+    risky = canonical_field(field).isin(*HIGH_RISK) & (quality != "good")
+    notes = F.array_distinct(F.array_compact(F.array(F.when(low, F.concat(F.lit("Autofill promotion blocked due to OCR quality ("), quality, F.lit(")"))).when(risky, F.concat(F.lit("High-risk field requires good OCR quality (current: "), quality, F.lit(")"))), check["reason"])))
+    return F.struct(final.alias("confidence"), (low | risky | ~check["valid"]).alias("review"), F.array_join(notes, "; ").alias("notes"))
+
+
+def hardened(value: Column, confidence: Column, low_quality: Column) -> Column:
+    """(confidence, review, notes): on low-quality text at most 0.4, with a note, and one more for values of under 10 characters."""
+    size = F.length(F.trim(F.coalesce(value, F.lit(""))))
+    capped = F.when(low_quality, F.least(F.coalesce(confidence, F.lit(0.4)), F.lit(0.4))).otherwise(confidence)
+    notes = F.array_compact(F.array(F.when(low_quality, "Autofill downgraded due to low-quality OCR"), F.when(low_quality & (size < 10), F.concat(F.lit("Autofill downgraded: short value ("), size.cast("string"), F.lit(" chars) on low-quality OCR")))))
+    return F.struct(capped.alias("confidence"), low_quality.alias("review"), F.array_join(notes, "; ").alias("notes"))
+
+
+def autofill(candidates: DataFrame, dossier: DataFrame, overwrite: bool = False) -> DataFrame:
+    """The dossier after a run: (case_id, field, value, confidence, status).
+
+    candidates (case_id, field, value, confidence, ord, quality); dossier
+    (case_id, field, value).  The best candidate of a field passes the gate, the
+    field's validator and the quality gate; it then fills the field, unless one
+    is there (and overwrite isn't set).  status: kept, extracted, needs_review;
+    what fails a gate leaves no row.
+    """
+    best = candidates.groupBy("case_id", "field").agg(F.max_by(F.struct("value", "confidence", "quality"), F.struct("confidence", -F.col("ord"))).alias("b")).select("case_id", "field", "b.*")
+
+    def passed(df: DataFrame, check: Column) -> DataFrame:
+        """Rows whose value a gate lets through, with what it makes of it; a generator, so that checks aren't copied into each other."""
+        others = [c for c in df.columns if c != "value"]
+        return df.select(*others, F.explode(F.filter(F.array(check), lambda g: g["ok"])).alias("g")).select(*others, F.col("g.value").alias("value"))
+
+    first = passed(best, gate(F.col("field"), F.col("value")))
+    second = passed(first, validate(F.col("field"), F.col("value")))
+    gated = second.select("case_id", "field", "value", F.explode(F.array(quality_gated(F.col("field"), F.col("value"), F.col("quality"), F.col("confidence")))).alias("q"))
+    new = gated.select("case_id", "field", "value", F.col("q.confidence").alias("confidence"), F.when(F.col("q.review"), "needs_review").otherwise("extracted").alias("status"), F.lit(0 if overwrite else 1).alias("_rank"))
+    old = dossier.where(F.trim("value") != "").select("case_id", "field", "value", F.lit(None).cast("double").alias("confidence"), F.lit("kept").alias("status"), F.lit(1 if overwrite else 0).alias("_rank"))
+    return first_by(old.unionByName(new), ["case_id", "field"], ["_rank"]).drop("_rank")
+
+
 #: How much a page's quality leaves of a confidence.
 QUALITY_FACTORS = {"good": 1.0, "fair": 0.8, "poor": 0.4, "unusable": 0.2, "unavailable": 0.3}
 #: Confidence of a value by the method that found it.

@@ -82,3 +82,10 @@ def sliding_and_sessions(t: Tables) -> DataFrame:
     gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(w)
     g = t.audit.withColumn("fresh", F.when(gap <= 6 * 3600 * 1_000_000, 0).otherwise(1))
     return g.groupBy("user_id").agg(F.sum("fresh").alias("sessions"), F.count("*").alias("n_events"))
+
+
+@query("K11b_sliding_window", "SELECT CAST(CAST(day AS DATE) - k AS VARCHAR) AS first_day, action, count(*) AS n FROM audit, (VALUES (0), (1), (2)) x(k) GROUP BY 1, 2")
+def sliding_window(t: Tables) -> DataFrame:
+    """Counts over the three days from each day on: windows of three days that start daily."""
+    w = F.window(F.col("ts").cast("timestamp"), "3 days", "1 day")
+    return t.audit.groupBy(w.alias("w"), "action").agg(F.count("*").alias("n")).select(F.col("w.start").cast("date").cast("string").alias("first_day"), "action", "n")

@@ -11,6 +11,8 @@ from ..catalog import AS_OF, Tables
 from ..operators import kpis as K
 from ..operators import windows as W
 from ..registry import query
+from ..session import shared_folder
+from ..sources import files
 
 S = lambda c: F.col(c).cast("string").alias(c)  # noqa: E731  dates are shown as strings
 
@@ -428,35 +430,63 @@ def capped_hints(t: Tables) -> DataFrame:
     return W.first_by(d, ["user_id"], ["action", "v"], 100)
 
 
-@query("U06_flat_map", "SELECT doc_id, unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) AS word FROM documents WHERE n_chars < 200")
+@query("U06_flat_map", "SELECT doc_id, unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) AS word FROM documents")
 def flat_map(t: Tables) -> DataFrame:
-    return t.documents.where("n_chars < 200").select("doc_id", F.explode(F.filter(F.split("text", " "), lambda x: x != "")).alias("word"))
+    return t.documents.select("doc_id", F.explode(F.filter(F.split("text", " "), lambda x: x != "")).alias("word"))
 
 
-# --- readers on rows: the same parsers the file sources use ---
-@query("S07_csv_reader", "SELECT p_partkey AS id, p_brand AS brand, p_size AS size FROM part")
+# --- files: tables are written to the shared folder and read by the sources ---
+@query("S07_csv_reader", "SELECT 'p' || p_partkey || '.pdf' AS filename, p_brand AS actual_type, p_name || ', \"' || p_type || '\"' AS text FROM part")
 def csv_reader(t: Tables) -> DataFrame:
-    line = F.concat_ws(",", F.col("p_partkey").cast("string"), F.concat(F.lit('"'), "p_brand", F.lit('"')), F.col("p_size").cast("string"))
-    return t.raw("part").select(F.from_csv(line, "id long, brand string, size int").alias("r")).select("r.*")
-
-
-@query("S09_manifest_reader", "SELECT o_orderkey AS id, p AS page FROM orders, (VALUES (1), (2)) x(p) WHERE o_orderkey % 10 = 0")
+    path = shared_folder(t.spark, "labels")
+    part = t.raw("part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".pdf")).alias("filename"), F.col("p_brand").alias("actual_type"), F.concat("p_name", F.lit(', "'), "p_type", F.lit('"')).alias("text"))
+    part.write.csv(path, header=True, escape='"')
+    return files.csv_labels(t.spark, path)
+
+
+@query("S08_folder_labels", "SELECT n_name || '.pdf' AS filename, '' AS actual_type, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE 'nation ' || n_name END AS text FROM nation")
+def folder_labels(t: Tables) -> DataFrame:
+    """A scanned file for each nation, in a folder for each region, two of three with a text beside it (25 files)."""
+    root = shared_folder(t.spark, "scans")
+    jvm, conf = t.spark._jvm, t.spark._jsc.hadoopConfiguration()
+    for r in t.raw("nation").collect():
+        for end, text in (("pdf", "%PDF"), ("txt", f"nation {r.n_name}")):
+            if end == "pdf" or r.n_nationkey % 3:
+                path = jvm.org.apache.hadoop.fs.Path(f"{root}/region {r.n_regionkey}/{r.n_name}.{end}")
+                out = path.getFileSystem(conf).create(path)
+                out.write(bytearray(text.encode()))
+                out.close()
+    return files.folder_labels(t.spark, root)
+
+
+@query("S09_manifest_reader", "SELECT 'o' || o_orderkey AS id, p AS page, 'gt/' || o_orderkey || '_' || p AS gt_path FROM orders, (VALUES (1), (2)) x(p)")
 def manifest_reader(t: Tables) -> DataFrame:
-    doc = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.array(F.struct(F.lit(1).alias("page")), F.struct(F.lit(2).alias("page"))).alias("pages")))
-    m = t.raw("orders").where("o_orderkey % 10 = 0").select(F.from_json(doc, "id long, pages array<struct<page:int>>").alias("m"))
-    return m.select("m.id", F.explode("m.pages").alias("p")).select("id", "p.page")
+    path, key = shared_folder(t.spark, "manifests"), F.col("o_orderkey").cast("string")
+    page = lambda i: F.struct(F.lit(i).alias("page"), F.concat(F.lit("gt/"), key, F.lit(f"_{i}")).alias("gt_path"))
+    items = F.array(F.struct(F.concat(F.lit("o"), key).alias("id"), F.array(page(1), page(2)).alias("pages")))
+    t.raw("orders").select(F.to_json(F.struct(items.alias("items"))).alias("value")).write.text(path)
+    return files.manifest(t.spark, path, lines=True)
 
 
-@query("S10_json_lines", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+@query("S10_json_lines", "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_lines(t: Tables) -> DataFrame:
-    return t.raw("events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    """Every other line of the file is blank, and skipped."""
+    path = shared_folder(t.spark, "lines")
+    t.raw("events").select(F.concat("props", F.lit("\n")).alias("value")).write.text(path)
+    return files.json_lines(t.spark, path, "k long")
+
+
+@query("S20_append_only", "SELECT event_id, action FROM audit UNION ALL SELECT event_id + 1000000, action FROM audit WHERE action = 'error'")
+def append_only(t: Tables) -> DataFrame:
+    path, row = shared_folder(t.spark, "audit"), t.audit.select("event_id", "action")
+    files.append(row, path)
+    files.append(row.where("action = 'error'").withColumn("event_id", F.col("event_id") + 1000000), path)
+    return t.spark.read.schema(row.schema).parquet(path)
 
 
 @query("S11_page_split", "SELECT doc_id, line_no + 1 AS page, length(line) AS chars FROM lines")
 def page_split(t: Tables) -> DataFrame:
-    from ..sources.files import paged
-
-    return paged(t.documents.select("doc_id", "text"), "text", "\n").select("doc_id", "page", F.length("page_text").cast("long").alias("chars"))
+    return files.paged(t.documents.select("doc_id", "text"), "text", "\n").select("doc_id", "page", F.length("page_text").cast("long").alias("chars"))
 
 
 @query("S19_report_rows", "SELECT lang, count(*) AS n, round(avg(n_chars), 2) AS mean_chars FROM documents GROUP BY lang")

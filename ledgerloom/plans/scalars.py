@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import Tables
@@ -145,9 +145,13 @@ def md5(t: Tables) -> DataFrame:
     return t.audit.select("event_id", F.substring(F.md5(F.col("props").cast("binary")), 1, 8).alias("v"))
 
 
-@query("T27b_hmac")
+_KEY = b"secret".ljust(64, b"\0")
+_PAD = {p: "".join(f"\\x{b ^ p:02x}" for b in _KEY) for p in (0x36, 0x5C)}
+
+
+@query("T27b_hmac", f"SELECT event_id, sha256('{_PAD[0x5C]}'::BLOB || unhex(sha256('{_PAD[0x36]}'::BLOB || encode(props)))) AS v FROM audit")
 def hmac_signature(t: Tables) -> DataFrame:
-    return t.audit.select("event_id", X.signature("secret")(F.col("props")).alias("v"))
+    return t.audit.select("event_id", X.signature("secret", F.col("props")).alias("v"))
 
 
 @query("T28_json_access", "SELECT event_id, json_extract_string(props, '$.k') AS k, string_split('a.b.' || action, '.')[-1] AS leaf FROM audit")
@@ -182,9 +186,19 @@ def date_hints(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", n("[0-9]{4}-[0-9]{2}-[0-9]{2}").alias("iso"), n("[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}").alias("dmy"))
 
 
-@query("D05_schedule_match", "SELECT event_id, CAST(isodow(ts) - 1 AS INTEGER) AS weekday, CAST(hour(ts) AS INTEGER) AS hour, CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS week FROM audit")
+_SCHEDULES = "SELECT c_custkey AS schedule, c_custkey % 2 = 0 AS daily, CAST(c_custkey % 7 AS INTEGER) AS weekday, CAST(c_custkey % 24 AS INTEGER) AS hour FROM customer"
+
+
+@query("D05_schedule_match", f"WITH s AS ({_SCHEDULES}), t AS (SELECT DISTINCT date_trunc('hour', ts) AS tick FROM audit) SELECT CAST(tick AS VARCHAR) AS tick, CAST(CAST(date_trunc('week', tick) AS DATE) AS VARCHAR) AS week, count(*) FILTER (daily) AS daily, count(*) FILTER (NOT daily) AS weekly FROM t JOIN s ON s.hour = hour(t.tick) AND (s.daily OR s.weekday = isodow(t.tick) - 1) GROUP BY tick")
 def schedule_match(t: Tables) -> DataFrame:
-    return t.audit.select("event_id", F.weekday("ts").alias("weekday"), F.hour("ts").alias("hour"), F.date_trunc("week", "ts").cast("date").cast("string").alias("week"))
+    """The schedules that each hour with an event starts: daily ones of that hour, weekly ones of that hour and weekday (Monday is 0)."""
+    kind = F.col("c_custkey") % 2 == 0
+    s = t.raw("customer").select((F.col("c_custkey") % 24).cast("int").alias("hour"), F.when(~kind, (F.col("c_custkey") % 7).cast("int")).alias("day"))
+    per = s.groupBy("hour", "day").agg(F.count("*").alias("n"))  # 24 hours by 8 kinds of days at most
+    tick = t.audit.select(F.date_trunc("hour", "ts").alias("tick")).distinct().select("tick", F.hour("tick").alias("hour"), F.weekday("tick").alias("weekday"))
+    due = tick.join(F.broadcast(per), "hour").where(F.col("day").isNull() | (F.col("day") == F.col("weekday")))
+    n = lambda c, name: F.sum(F.when(c, F.col("n")).otherwise(0)).alias(name)
+    return due.groupBy("tick").agg(n(F.col("day").isNull(), "daily"), n(F.col("day").isNotNull(), "weekly")).select(F.date_format("tick", "yyyy-MM-dd HH:mm:ss").alias("tick"), F.date_trunc("week", "tick").cast("date").cast("string").alias("week"), "daily", "weekly")
 
 
 _DUE = "created + CASE severity WHEN 'High' THEN 7 WHEN 'Medium' THEN 14 ELSE 21 END"
@@ -260,33 +274,61 @@ def iou_query(t: Tables) -> DataFrame:
     return boxes(t).select("page", "word", "l_linenumber", F.round(iou(*c, (100, 200, 300, 600)), 8).alias("iou"), (((c[0] + c[2]) / 2.0).between(100, 300) & ((c[1] + c[3]) / 2.0).between(200, 600)).alias("inside"))
 
 
-@query("G03_token_offsets", "WITH w AS (SELECT doc_id, unnest(range(len(string_split(line, ' ')))) AS i, unnest(string_split(line, ' ')) AS word FROM lines WHERE line_no = 0) SELECT doc_id, CAST(i AS INTEGER) AS i, CAST(coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, length(word) AS size FROM w")
+@query("G03_token_offsets", "WITH w AS (SELECT doc_id, line_no, unnest(range(len(string_split(line, ' ')))) AS i, unnest(string_split(line, ' ')) AS word FROM lines) SELECT doc_id, line_no, CAST(i AS INTEGER) AS i, CAST(coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id, line_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, length(word) AS size FROM w")
 def token_offsets(t: Tables) -> DataFrame:
-    w = t.lines.where("line_no = 0").select("doc_id", F.posexplode(F.split("line", " ")).alias("i", "word"))
-    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    return w.select("doc_id", "i", F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)).alias("start"), F.length("word").cast("long").alias("size"))
+    w = t.lines.select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("i", "word"))
+    before = Window.partitionBy("doc_id", "line_no").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    return w.select("doc_id", "line_no", "i", F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)).alias("start"), F.length("word").cast("long").alias("size"))
+
+
+#: A form's annotations: label and box; some cover words, some lie within one, some hold only a word's centre.
+NOTES = [("DATE", 100, 0, 300, 900), ("CNIC", 280, 300, 520, 420), ("AMOUNT", 96, 95, 141, 121), ("PLOT_NO", 215, 500, 219, 504), ("PERSON_NAME", 300, 600, 420, 640), ("SCHEME_NAME", 130, 30, 470, 38), ("REGISTRY_NO", 415, 710, 419, 713), ("STAMP", 0, 0, 999, 999)]
+#: Labels and their priority.
+PRIORITY = {"CNIC": 7, "AMOUNT": 6, "DATE": 5, "REGISTRY_NO": 4, "PLOT_NO": 3, "SCHEME_NAME": 2, "PERSON_NAME": 1}
+
+
+def matched_words(words: DataFrame, notes: list[tuple]) -> DataFrame:
+    """(page, word columns, label, priority, note): the words of a page that an annotation stands for.
+
+    Words with an IoU of 0.3 or more; where an annotation has none on a page,
+    the words its centre lies in; where it has none of these, the words whose
+    centre lies in it.  The few annotations are constants of each row.
+    """
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+
+    def tier(note: tuple) -> Column:
+        label, a, b, c, d = note
+        inside = ((a + c) / 2 >= x1) & ((a + c) / 2 <= x2) & ((b + d) / 2 >= y1) & ((b + d) / 2 <= y2)
+        return F.when(iou(x1, y1, x2, y2, (a, b, c, d)) >= 0.3, 1).when(inside, 2).when(((x1 + x2) / 2).between(a, c) & ((y1 + y2) / 2).between(b, d), 3)
 
+    hits = F.filter(F.array(*[F.struct(F.lit(i).alias("note"), F.lit(n[0]).alias("label"), F.lit(PRIORITY[n[0]]).alias("priority"), tier(n).alias("tier")) for i, n in enumerate(notes) if n[0] in PRIORITY]), lambda h: h["tier"].isNotNull())
+    long = words.select("*", F.explode(hits).alias("h")).select(*words.columns, "h.*")
+    best = F.min("tier").over(Window.partitionBy("page", "note"))
+    return long.withColumn("_best", best).where("tier = _best").drop("_best")
 
-@query("G04_bio_labels", f"WITH b AS ({_BOX}), l AS (SELECT *, CASE WHEN x1 BETWEEN 100 AND 250 THEN 'CNIC' WHEN y1 < 300 THEN 'DATE' END AS label FROM b) SELECT page, word, l_linenumber, x1, CASE WHEN label IS NULL THEN 'O' WHEN row_number() OVER (PARTITION BY page, label ORDER BY word, l_linenumber, x1) = 1 THEN 'B-' || label ELSE 'I-' || label END AS tag FROM l")
+
+_NOTES = "(VALUES " + ", ".join(f"({i}, '{n[0]}', {PRIORITY[n[0]]}, {n[1]}, {n[2]}, {n[3]}, {n[4]})" for i, n in enumerate(NOTES) if n[0] in PRIORITY) + ") a(note, label, priority, ax1, ay1, ax2, ay2)"
+_CUT = "(greatest(0, least(x2, ax2) - greatest(x1, ax1)) * greatest(0, least(y2, ay2) - greatest(y1, ay1)))"
+_MATCHED = f"""SELECT * FROM (SELECT page, word, l_linenumber, x1, y1, note, label, priority, CASE WHEN {_CUT}::DOUBLE / ((x2 - x1) * (y2 - y1) + (ax2 - ax1) * (ay2 - ay1) - {_CUT}) >= 0.3 THEN 1
+    WHEN (ax1 + ax2) / 2.0 BETWEEN x1 AND x2 AND (ay1 + ay2) / 2.0 BETWEEN y1 AND y2 THEN 2 WHEN (x1 + x2) / 2.0 BETWEEN ax1 AND ax2 AND (y1 + y2) / 2.0 BETWEEN ay1 AND ay2 THEN 3 END AS tier FROM ({_BOX}), {_NOTES})
+    WHERE tier IS NOT NULL QUALIFY tier = min(tier) OVER (PARTITION BY page, note)"""
+
+
+@query("J14_spatial_join", f"SELECT page, word, l_linenumber, x1, label, tier FROM ({_MATCHED})")
+def spatial_join(t: Tables) -> DataFrame:
+    return matched_words(boxes(t), NOTES).select("page", "word", "l_linenumber", "x1", "label", "tier")
+
+
+@query("G04_bio_labels", f"WITH m AS (SELECT *, row_number() OVER (PARTITION BY page, note ORDER BY y1, x1, word, l_linenumber) AS rn FROM ({_MATCHED})), b AS (SELECT page, word, l_linenumber, x1, CASE WHEN rn = 1 THEN 'B-' ELSE 'I-' END || label AS tag FROM m QUALIFY row_number() OVER (PARTITION BY page, word, l_linenumber, x1 ORDER BY priority DESC, note) = 1) SELECT w.page, w.word, w.l_linenumber, w.x1, coalesce(tag, 'O') AS tag FROM ({_BOX}) w LEFT JOIN b USING (page, word, l_linenumber, x1)")
 def bio_labels(t: Tables) -> DataFrame:
-    """The first token of a label on a page begins it; of several labels of a token the first by priority counts."""
-    label = F.when(F.col("x1").between(100, 250), "CNIC").when(F.col("y1") < 300, "DATE")
-    b = boxes(t).withColumn("label", label)
-    rn = F.row_number().over(Window.partitionBy("page", "label").orderBy("word", "l_linenumber", "x1"))
-    return b.select("page", "word", "l_linenumber", "x1", F.when(F.col("label").isNull(), "O").when(rn == 1, F.concat(F.lit("B-"), "label")).otherwise(F.concat(F.lit("I-"), "label")).alias("tag"))
+    """Each word takes the label of highest priority that stands for it; the first of an annotation's words in reading order begins it."""
+    key = ["page", "word", "l_linenumber", "x1"]
+    rn = F.row_number().over(Window.partitionBy("page", "note").orderBy("y1", "x1", "word", "l_linenumber"))
+    m = matched_words(boxes(t), NOTES).withColumn("tag", F.concat(F.when(rn == 1, "B-").otherwise("I-"), "label"))
+    tags = m.groupBy(*key).agg(F.max_by("tag", F.struct("priority", -F.col("note"))).alias("tag"))
+    return boxes(t).join(tags, key, "left").select(*key, F.coalesce("tag", F.lit("O")).alias("tag"))
 
 
 @query("G05_array_ops", "SELECT doc_id, array_to_string(list_sort(list_distinct(list_slice(string_split(text, ' '), 1, 5))), '; ') AS v FROM documents")
 def array_ops(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.slice(F.split("text", " "), 1, 5))), "; ").alias("v"))
-
-
-@query("J14_spatial_join", f"WITH b AS ({_BOX}), a(label, ax1, ay1, ax2, ay2) AS (VALUES ('A', 100, 0, 300, 900), ('B', 250, 300, 520, 500)), m AS (SELECT page, word, l_linenumber, x1, label, (greatest(0, least(x2, ax2) - greatest(x1, ax1)) * greatest(0, least(y2, ay2) - greatest(y1, ay1)))::DOUBLE / 800 AS share FROM b, a) SELECT page, word, l_linenumber, x1, label FROM m WHERE share >= 0.3 QUALIFY row_number() OVER (PARTITION BY page, word, l_linenumber, x1 ORDER BY share DESC, label) = 1")
-def spatial_join(t: Tables) -> DataFrame:
-    """The annotations of a page form are a few constants: matched within each row, best share first."""
-    notes = [("A", 100, 0, 300, 900), ("B", 250, 300, 520, 500)]
-    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    share = lambda n: F.greatest(F.lit(0), F.least(x2, F.lit(n[3])) - F.greatest(x1, F.lit(n[1]))) * F.greatest(F.lit(0), F.least(y2, F.lit(n[4])) - F.greatest(y1, F.lit(n[2]))) / 800
-    found = F.filter(F.array(*[F.struct(share(n).alias("share"), F.lit(n[0]).alias("label")) for n in notes]), lambda m: m["share"] >= 0.3)
-    hits = boxes(t).select("page", "word", "l_linenumber", "x1", F.explode(found).alias("m")).select("page", "word", "l_linenumber", "x1", "m.label", "m.share")
-    return W.first_by(hits, ["page", "word", "l_linenumber", "x1"], [F.desc("share"), "label"]).drop("share")

@@ -48,9 +48,29 @@ def reject_candidates(t: Tables) -> DataFrame:
     return t.audit.select("event_id", F.when(F.col("value") < 10, "Rejected").when(F.col("value") > 90, "Overridden").otherwise("Pending").alias("status"))
 
 
-@query("N05_bulk_verify", "SELECT user_id, count(*) AS confirmed FROM audit WHERE action IN ('click', 'view') AND props <> '' GROUP BY user_id")
+_REVIEWED = "SELECT event_id, user_id, action AS field, CASE event_id % 5 WHEN 0 THEN 'extracted' WHEN 1 THEN 'reviewed' WHEN 2 THEN 'rejected' ELSE 'needs_review' END AS review, coalesce(CASE WHEN event_id % 3 = 0 THEN nullif(trim(props), '') END, nullif(CASE WHEN event_id % 4 = 0 THEN ' v' || event_id ELSE '' END, '')) AS value FROM audit"
+
+
+def candidates(t: Tables) -> DataFrame:
+    n = F.col("event_id")
+    review = F.when(n % 5 == 0, "extracted").when(n % 5 == 1, "reviewed").when(n % 5 == 2, "rejected").otherwise("needs_review")
+    edited, proposed = F.when(n % 3 == 0, F.nullif(F.trim("props"), F.lit(""))), F.when(n % 4 == 0, F.concat(F.lit(" v"), n.cast("string")))
+    return t.audit.select("event_id", "user_id", F.col("action").alias("field"), review.alias("review"), F.coalesce(edited, proposed).alias("value"))
+
+
+@query("N05_bulk_verify", f"WITH c AS ({_REVIEWED}), v AS (SELECT * FROM c WHERE review IN ('extracted', 'reviewed') AND trim(value) <> ''), n AS (SELECT user_id, field, trim(value) AS value, 'verified' AS status FROM v QUALIFY row_number() OVER (PARTITION BY user_id, field ORDER BY event_id DESC) = 1), o AS (SELECT user_id, 'click' AS field, full_name AS value, 'manual' AS status FROM users) SELECT * FROM n UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.user_id = o.user_id AND n.field = o.field)")
 def bulk_verify(t: Tables) -> DataFrame:
-    return t.audit.where(F.col("action").isin("click", "view") & (F.col("props") != "")).groupBy("user_id").agg(F.count("*").alias("confirmed"))
+    """The dossier after all extracted or reviewed candidates with a value are confirmed: the latest of a field replaces what is there."""
+    ready = candidates(t).where(F.col("review").isin("extracted", "reviewed") & (F.trim("value") != ""))
+    new = W.first_by(ready, ["user_id", "field"], [F.desc("event_id")]).select("user_id", "field", F.trim("value").alias("value"), F.lit("verified").alias("status"))
+    old = t.users.select("user_id", F.lit("click").alias("field"), F.col("full_name").alias("value"), F.lit("manual").alias("status"))
+    return W.upsert(old, new, ["user_id", "field"])
+
+
+@query("N05b_candidate_status", f"SELECT event_id, CASE WHEN review IN ('extracted', 'reviewed') AND trim(value) <> '' THEN 'Confirmed' ELSE 'Pending' END AS status, CASE WHEN review IN ('extracted', 'reviewed') AND trim(value) <> '' THEN 'verified' ELSE review END AS review FROM ({_REVIEWED})")
+def candidate_status(t: Tables) -> DataFrame:
+    ok = F.col("review").isin("extracted", "reviewed") & F.coalesce(F.trim("value") != "", F.lit(False))
+    return candidates(t).select("event_id", F.when(ok, "Confirmed").otherwise("Pending").alias("status"), F.when(ok, "verified").otherwise(F.col("review")).alias("review"))
 
 
 @query("N06_mark_verified", "SELECT v.case_id, v.line, CASE WHEN v.status = 'Pending' AND EXISTS (SELECT 1 FROM exports x WHERE x.case_id = v.case_id) THEN 'Verified' ELSE v.status END AS status FROM verifications v")
@@ -77,20 +97,14 @@ def edit_history(t: Tables) -> DataFrame:
     return t.audit.select("event_id", "user_id", F.lag("action").over(Window.partitionBy("user_id").orderBy("event_id")).alias("old_value"), F.col("action").alias("new_value"))
 
 
-@query("N10_locked_upsert", "SELECT user_id, CASE WHEN user_id % 4 = 0 AND user_id % 3 <> 0 THEN role ELSE 'new' END AS role FROM users")
+@query("N10_locked_upsert", "WITH e AS (SELECT user_id, event_id, action || event_id AS value, action = 'purchase' AS manual FROM audit), l AS (SELECT user_id, role, user_id % 4 = 0 AS locked FROM users) SELECT l.user_id, coalesce(max_by(e.value, e.event_id) FILTER (e.manual OR NOT l.locked), any_value(l.role)) AS role FROM l LEFT JOIN e ON e.user_id = l.user_id GROUP BY l.user_id")
 def locked_upsert(t: Tables) -> DataFrame:
-    """A locked field (every 4th) takes manual values only (every 3rd)."""
-    locked, manual = F.col("user_id") % 4 == 0, F.col("user_id") % 3 == 0
-    return t.users.select("user_id", F.when(locked & ~manual, F.col("role")).otherwise("new").alias("role"))
+    """The last edit of each field counts; a locked field (every 4th user's) takes those from manual sources only."""
+    edits = t.audit.select("user_id", "event_id", F.concat("action", F.col("event_id").cast("string")).alias("value"), (F.col("action") == "purchase").alias("manual"))
+    last = edits.groupBy("user_id").agg(F.max_by("value", "event_id").alias("any"), F.max_by("value", F.when(F.col("manual"), F.col("event_id"))).alias("by_hand"))
+    return t.users.join(last, "user_id", "left").select("user_id", F.coalesce(F.when(F.col("user_id") % 4 == 0, F.col("by_hand")).otherwise(F.col("any")), F.col("role")).alias("role"))
 
 
 @query("N11_read_all", "SELECT event_id, (user_id = 7 OR value >= 50) AS is_read FROM audit")
 def read_all(t: Tables) -> DataFrame:
     return t.audit.select("event_id", ((F.col("user_id") == 7) | (F.col("value") >= 50)).alias("is_read"))
-
-
-@query("S20_append_only", "SELECT count(*) AS n FROM (SELECT event_id FROM audit UNION ALL SELECT event_id + 1000000 FROM audit WHERE action = 'error')")
-def append_only(t: Tables) -> DataFrame:
-    more = t.audit.where("action = 'error'").select((F.col("event_id") + 1000000).alias("event_id"))
-    return t.audit.select("event_id").unionByName(more).agg(F.count("*").alias("n"))
-

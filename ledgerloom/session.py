@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +23,13 @@ def session(app: str, master: str | None = None, shuffle_partitions: int | None
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir, which driver and executors share; a folder of our own where it is unset and all runs on one machine."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="ledgerloom-")
+    return f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"

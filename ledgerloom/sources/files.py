@@ -10,7 +10,7 @@ MANIFEST = "items array<struct<id:string,pages:array<struct<page:int,gt_path:str
 
 
 def csv_labels(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=LABELS, multiLine=True)
+    return spark.read.csv(path, header=True, schema=LABELS, multiLine=True, escape='"')
 
 
 def text_folder(spark: SparkSession, path: str) -> DataFrame:
@@ -19,9 +19,17 @@ def text_folder(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", "([^/]+)\\.txt$", 1).alias("name"), "text")
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(id, page, gt_path) of a JSON manifest of items with pages."""
-    m = spark.read.json(path, schema=MANIFEST, multiLine=True).select(F.explode("items").alias("i"))
+def folder_labels(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
+    """The labelling sheet of a folder tree: a row for each file, with the text of the .txt file beside it, if there is one."""
+    stem = F.regexp_replace("_metadata.file_path", "\\.[^./]*$", "").alias("stem")
+    scans = spark.read.format("binaryFile").options(pathGlobFilter=glob, recursiveFileLookup="true").load(path).select(stem, F.regexp_extract("path", "([^/]+)$", 1).alias("filename"))
+    beside = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=True).select(stem, F.col("value").alias("text"))
+    return scans.join(beside, "stem", "left").select("filename", F.lit("").alias("actual_type"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(id, page, gt_path) of JSON manifests of items with pages: a file each, or one to a line."""
+    m = spark.read.json(path, schema=MANIFEST, multiLine=not lines).select(F.explode("items").alias("i"))
     return m.select("i.id", F.explode("i.pages").alias("p")).select("id", "p.page", "p.gt_path")
 
 

@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from ledgerloom.operators import extraction as G
 from ledgerloom.operators import kpis as K
 from ledgerloom.operators import rules as R
 from ledgerloom.operators import windows as W
-from ledgerloom.sources import files
+from ledgerloom.sources import files, packs
 from ledgerloom.streaming import outbox as O
 
 
@@ -50,8 +49,35 @@ def test_rules(spark, rule, given, fires, evidence):
 
 
 def test_regimes(spark):
-    df = spark.createDataFrame([("DHA Phase 6",), ("lahore development auth",), ("",), (None,), ("TMA city",)], "v string")
-    assert [r[0] for r in df.select(R.normalized_regime(F.col("v"))).collect()] == ["DHA", "LDA", "UNKNOWN", "UNKNOWN", "MUNICIPAL"]
+    want = {"DHA Phase 6": "DHA", "lahore development auth": "UNKNOWN", "lahore development authority": "LDA", "": None, None: None, "TMA city": "MUNICIPAL", "CB Lahore": "CANTONMENT", "LDA / DHA": "LDA", "Housing scheme": "UNKNOWN", "Cantt": "UNKNOWN", "mc": "MUNICIPAL", " society ": "SOCIETY"}
+    df = spark.createDataFrame([(k,) for k in want], "v string")
+    assert {r.v: r.n for r in df.select("v", R.normalized_regime(F.col("v")).alias("n")).collect()} == want
+
+
+def test_classified_regime(spark):
+    cases = spark.createDataFrame([(1, None, None), (2, "DHA", "LDA town"), (3, "none", "both lda and dha"), (4, None, None), (5, "", None)], "case_id long, regime string, scheme string")
+    docs = spark.createDataFrame([(1, "Mutation", "x.pdf"), (1, "old mutation", "y"), (2, "fard", None), (4, None, "Ruda.pdf")], "case_id long, doc_type string, filename string")
+    pages = spark.createDataFrame([(3, "a mouza"), (4, "society membership"), (5, "ends in cb"), (1, None)], "case_id long, text string")
+    got = lambda **k: {r.case_id: (r.regime, r.score) for r in R.classified_regime(cases, docs, pages, **k).collect()}
+    assert got() == {1: ("REVENUE", 0.9), 2: ("DHA", 0.9), 3: ("DHA", 0.85), 4: ("RUDA", 0.9), 5: ("CANTONMENT", 0.8)}
+    assert got(overwrite=True)[2] == ("REVENUE", 0.9)
+
+
+def test_packs(spark, tmp_path):
+    rules, errors = R.validated(packs.rule_list(packs.HOME / "rules.yaml"))
+    assert [r.id for r in rules] == ["ID-1", "TI-1", "TI-2", "TI-3", "AU-1", "AU-2", "AU-3"] and len(errors) == 5
+    assert rules[1].keywords == ("token", "license") and rules[2].keywords == ("the",) and rules[5].evaluator == "missing_evidence"
+    for name, text in (("list", "- a"), ("broken", "a: [b"), ("wrong", "rules: 5"), ("empty", "")):
+        (tmp_path / name).write_text(text)
+        assert packs.rule_list(tmp_path / name) == []
+    assert packs.rule_list(tmp_path / "missing") == [] and packs.evidence_library(spark, tmp_path / "empty").count() == 0
+    assert packs.playbooks(spark, packs.HOME / "playbooks.yaml").count() == 3
+
+
+def test_keyword_references(spark):
+    f = facts(spark, pages=[(1, 1, "Token and LICENSE"), (1, 2, "a license"), (1, 3, None), (2, 1, "token")])
+    got = R.keyword_references(R.Rule("K", "keyword_risk", keywords=("license", "token")), f).orderBy("page").collect()
+    assert [(r.page, r.note) for r in got] == [(1, "Contains keyword: license"), (2, "Contains keyword: license")]
 
 
 def test_gates(spark):
@@ -72,11 +98,29 @@ def test_text_repair(spark):
     assert X.repaired("x") == "x"
 
 
-def test_golden_matching():
-    e = pd.DataFrame([(1, 1, "R1", "alpha beta gamma", ""), (1, 2, None, "alpha beta delta", ""), (1, 3, None, "nothing like it", "")], columns=["case_id", "id", "rule_id", "title", "text"])
-    a = pd.DataFrame([(1, 1, "R9", "alpha beta delta", ""), (1, 2, "R1", "other words here", ""), (1, 3, "R7", "zzz yyy", "")], columns=["case_id", "id", "rule_id", "title", "text"])
-    got = E.match_case(e, a)
-    assert got.status.tolist() == ["matched", "matched", "missed", "extra"] and got.actual_id.tolist()[:2] == [2, 1]
+def test_golden_matching(spark):
+    schema = "case_id long, id long, rule_id string, title string, text string"
+    e = [(1, 1, "R1", "alpha beta gamma", ""), (1, 2, None, "alpha beta delta", ""), (1, 3, None, "nothing like it", ""), (2, 4, None, "only expected", None), (4, 6, None, "one two three four", None), (4, 7, "", "aaa bbb ccc", "long text of words")]
+    a = [(1, 1, "R9", "alpha beta delta", ""), (1, 2, "R1", "other words here", ""), (1, 3, "R7", "zzz yyy", ""), (3, 5, "R1", "only found", None), (4, 8, "", "one five six seven eight nine", None), (4, 9, "", "bbb", "long text of words"), (4, 10, None, "aaa bbb ccc", None)]
+    got = E.golden_matching(spark.createDataFrame(e, schema), spark.createDataFrame(a, schema)).collect()
+    rows = sorted((r.case_id, r.status, r.expected_id or 0, r.actual_id or 0, round(r.similarity, 3)) for r in got)
+    assert rows == [
+        (1, "extra", 0, 3, 0.0), (1, "matched", 1, 2, 1.0), (1, "matched", 2, 1, 1.0), (1, "missed", 3, 0, 0.0), (2, "missed", 4, 0, 0.0), (3, "extra", 0, 5, 0.0),
+        (4, "extra", 0, 8, 0.0), (4, "extra", 0, 9, 0.0), (4, "matched", 7, 10, 1.0), (4, "missed", 6, 0, 0.0),
+    ]
+    m = E.run_metrics(E.golden_matching(spark.createDataFrame(e, schema), spark.createDataFrame(a, schema)), spark.createDataFrame([(1, 3)], "case_id long, expected_id long"))
+    by = {r.case_id: r for r in m.collect()}
+    assert (by[1].critical_recall, by[1].overall_recall, by[1].precision) == (0.0, pytest.approx(2 / 3), pytest.approx(2 / 3))
+    assert (by[3].critical_recall, by[3].overall_recall, by[3].precision) == (None, None, 0.0) and by[2].precision is None
+
+
+def test_autofill_overwrites_only_if_told(spark):
+    rows = [(1, "title", "new", 0.9, 0, "good"), (1, "party.cnic", "35202 1234567 1", 0.7, 1, "fair"), (1, "party.cnic", "123", 0.6, 0, "good"), (2, "party.name", "Ali Khan of the property", 0.9, 0, "good"), (2, "title", "t", 0.5, 0, "poor")]
+    c = spark.createDataFrame(rows, "case_id long, field string, value string, confidence double, ord int, quality string")
+    d = spark.createDataFrame([(1, "title", "old"), (2, "title", " ")], "case_id long, field string, value string")
+    got = lambda **k: {(r.case_id, r.field): (r.value, r.confidence and round(r.confidence, 3), r.status) for r in G.autofill(c, d, **k).collect()}
+    assert got() == {(1, "title"): ("old", None, "kept"), (1, "party.cnic"): ("35202-1234567-1", 0.56, "needs_review"), (2, "title"): ("t", 0.2, "needs_review")}
+    assert got(overwrite=True)[1, "title"] == ("new", 0.9, "extracted")
 
 
 def test_error_rates(spark):
@@ -114,6 +158,14 @@ def test_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2 and "one" in files.to_report(df, str(tmp_path / "r"))
 
 
+def test_folder_labels(spark, tmp_path):
+    (tmp_path / "a b").mkdir()
+    for name, text in (("a b/x.pdf", "%"), ("a b/x.txt", "one\ntwo"), ("x.pdf", "%"), ("y.txt", "lone")):
+        (tmp_path / name).write_text(text)
+    got = sorted(map(tuple, files.folder_labels(spark, str(tmp_path)).collect()))
+    assert got == [("x.pdf", "", ""), ("x.pdf", "", "one\ntwo")]
+
+
 def drained(query_df, spark, name, mode):
     q = query_df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination(120)
