@@ -48,6 +48,8 @@ LETTERISH[48:58] = False
 
 #: Longer strings are hashed one by one.
 LONG = 64
+#: Positions whose window hashes are made at once.
+RUN = 1 << 15
 
 
 def eights(data: np.ndarray) -> np.ndarray:
@@ -82,18 +84,27 @@ def windows(data: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
     """For each length, the 64-bit hashes of all windows of so many bytes, in rising order of lengths.
 
     Hashes of 8 bytes are doubled: a window is two overlapping ones of the
-    greatest power of two that fits.
+    greatest power of two that fits.  The data is taken in runs that fit the cache.
     """
+    lengths = tuple(sorted(lengths))
+    out: list[list[np.ndarray]] = [[] for _ in lengths]
+    for at in range(0, max(len(data), 1), RUN):
+        own = data[at : at + RUN + lengths[-1] - 1]
+        for found, h in zip(out, _windows(own, lengths)):
+            found.append(h[:RUN])
+    return [np.concatenate(found) for found in out]
+
+
+def _windows(data: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
     out, width, now = [], 8, mix(eights(data)[: max(0, len(data) - 7)])
-    for length in sorted(lengths):
+    for length in lengths:
+        n = max(0, len(data) - length + 1)
         if length < 8:
-            n = max(0, len(data) - length + 1)
             out.append(mix(eights(data)[:n] & (~U64(0) >> U64(64 - 8 * length))))
             continue
         while 2 * width <= length:
             now = mix(now[:-width] * _BASE + now[width:]) if len(now) > width else now[:0]
             width *= 2
-        n = max(0, len(data) - length + 1)
         out.append(mix(now[:n] * _BASE + now[length - width : length - width + n] + U64(length)))
     return out
 

@@ -25,6 +25,7 @@ rows are searched row by row; clashing columns (`pii`) are replaced.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from collections.abc import Iterator
@@ -229,8 +230,28 @@ def trained(n: int = EXAMPLES, seed: int = 9) -> Model:
     return Model(n, seed)
 
 
-def overlaps(taken: list[tuple[int, int]], s: int, e: int) -> bool:
-    return any(s < b and a < e for a, b in taken)
+class Taken:
+    """Places that are taken, as disjoint intervals in order; asking takes the logarithm of their number."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.start: list[int] = []
+        self.end: list[int] = []
+        for s, e in sorted(spans):
+            if self.end and s < self.end[-1]:
+                self.end[-1] = max(self.end[-1], e)
+            else:
+                self.start.append(s)
+                self.end.append(e)
+
+    def overlaps(self, s: int, e: int) -> bool:
+        i = bisect.bisect_right(self.end, s)
+        return i < len(self.start) and self.start[i] < e
+
+    def add(self, s: int, e: int) -> None:
+        """s to e is free."""
+        i = bisect.bisect_right(self.end, s)
+        self.start.insert(i, s)
+        self.end.insert(i, e)
 
 
 def spans_of(texts: list[str], model: Model) -> list[list[tuple[str, int, int, float, bool]]]:
@@ -238,9 +259,9 @@ def spans_of(texts: list[str], model: Model) -> list[list[tuple[str, int, int, f
     bases = [base_spans(t) for t in texts]
     rows, owner = [], []
     for i, t in enumerate(texts):
-        taken = [(s, e) for _, s, e in bases[i]]
+        taken = Taken([(s, e) for _, s, e in bases[i]])
         for k, s, e in candidates(t):
-            if not overlaps(taken, s, e):
+            if not taken.overlaps(s, e):
                 rows.append((k, s, e))
                 owner.append(i)
     p = model.probability(np.array([features(texts[i], *r) for i, r in zip(owner, rows)])) if rows else np.zeros(0)
@@ -251,11 +272,11 @@ def spans_of(texts: list[str], model: Model) -> list[list[tuple[str, int, int, f
     out = []
     for base, more in zip(bases, added):
         own = [(k, s, e, 1.0, True) for k, s, e in base]
-        taken = [(s, e) for _, s, e in base]
+        taken = Taken([(s, e) for _, s, e in base])
         for k, s, e, q in sorted(more, key=lambda m: (-m[3], m[1], m[2])):
-            if not overlaps(taken, s, e):
+            if not taken.overlaps(s, e):
                 own.append((k, s, e, q, False))
-                taken.append((s, e))
+                taken.add(s, e)
         out.append(sorted(own, key=lambda m: (KINDS.index(m[0]), m[1], m[2])))
     return out
 

@@ -22,7 +22,9 @@ for each partition.
 Defined results: a null text counts as empty; an empty text has the empty
 fingerprint, two empty fingerprints are alike by 1.0, an empty and a non-empty
 one by 0.0; a null doc_id sorts below all others; documents that share a
-doc_id follow each other in order of text; a lone document is its own next.
+doc_id follow each other in order of text, and of equal ones either is next; a
+lone document is its own next; an empty table gives no rows; a very long text is
+hashed piece by piece of the batch, as one text; other columns are ignored.
 """
 
 from __future__ import annotations

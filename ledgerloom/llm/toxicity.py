@@ -21,7 +21,10 @@ softmax, so 2**BITS floats are all that is sent.
 Defined results: null, empty and wordless texts score as an empty passage (the
 intercept alone); without labels of both classes all scores are the share of
 label 1 (0 without labels); conflicting labels of one doc_id all count; rows
-are scored one by one, so repeated rows agree.
+are scored one by one, so repeated rows agree, also those without a doc_id; an
+empty table gives no rows; a very long text is scored whole, as one piece; of
+equally toxic passages the first is trained; columns of docs other than doc_id
+and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
