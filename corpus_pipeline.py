@@ -11,7 +11,9 @@ the stages before it.
 4. pii           replaces personal data by the name of its kind
 5. pack          cuts the documents' tokens into full windows, one row for each piece
 
-Stages 1 to 4 return the columns of documents, in their order.
+Stages 1 to 4 return the columns of documents, in their order, whatever others
+there are.  An empty table gives an empty table at each stage; rows that repeat
+are kept or dropped together.
 """
 
 from __future__ import annotations
@@ -25,22 +27,27 @@ SHINGLE = 5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a letter, each with the language found as lang; documents in no language (null, empty or without letters) go."""
     return langid.keep_known(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates (5-word shingles, 0.8): the one of the smallest doc_id, once for each of its rows; documents without words or doc_id stay."""
     return near_dedup.keep_one(docs, SHINGLE)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark window occurs; with an empty benchmark, all."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind in angle brackets; n_chars follows the text, a null text stays null."""
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of the documents' tokens in sequences of at most 4096; a null text is its end token alone."""
     return packing.pack(docs)
 
 
