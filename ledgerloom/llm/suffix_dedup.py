@@ -58,7 +58,7 @@ LENGTH = 400
 GRAM = 100
 GROUP = 500
 TASK_CONTEXTS = 20_000
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 CHUNK = 256
 BLOCK = 16
 _LOW = 22
@@ -86,6 +86,39 @@ def rank_levels(symbols: np.ndarray, limit: int) -> list[tuple[int, np.ndarray]]
     return levels
 
 
+def suffix_ranks(symbols: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(of each suffix, how many have a smaller limit-prefix; the suffixes that share theirs, in suffix order and then by position).
+
+    Prefix doubling from keys of as many symbols as fit a number; a suffix that
+    is alone with its prefix has its final rank and is not sorted again.
+    Symbols are above 0.
+    """
+    n = len(symbols)
+    bits = int(symbols.max()).bit_length()
+    h = max(1, min(limit, 62 // bits))
+    padded = np.concatenate([symbols, np.zeros(h, symbols.dtype)])
+    key = padded[:n].astype(np.int64)
+    for j in range(1, h):
+        key = key << bits | padded[j : j + n]
+    rank, live = np.zeros(n + 1, np.int64), np.arange(n)
+    rank[n] = -1  # of the empty suffix
+    while True:
+        order = np.argsort(key)
+        live, key, old = live[order], key[order], rank[live[order]]
+        fresh = np.concatenate([[True], key[1:] != key[:-1]])
+        start = np.flatnonzero(fresh)
+        group = np.cumsum(fresh) - 1
+        before = np.flatnonzero(np.concatenate([[True], old[1:] != old[:-1]]))  # first of each group of the shorter prefix
+        parent = before[np.searchsorted(before, start, side="right") - 1]
+        rank[live] = (old[start] + start - parent)[group]
+        live = live[np.diff(np.append(start, len(live)))[group] > 1]
+        if h >= limit or not len(live):
+            return rank[:n], live[np.lexsort((live, rank[live]))]
+        step = min(h, limit - h)
+        key = rank[live] * (n + 2) + rank[np.minimum(live + step, n)] + 1
+        h += step
+
+
 def smaller(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of the previous and of the next smaller value (-1: none), by pointer jumping."""
 
@@ -102,30 +135,35 @@ def smaller(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return previous(order), np.where(after >= len(order), -1, after)
 
 
-def longest_previous(symbols: np.ndarray, limit: int, mirrored: bool = False, exact: bool = True, levels: list | None = None) -> np.ndarray:
-    """For each position, the longest match (up to limit) with an earlier position; if mirrored, with a later one.
-
-    Without `exact`, matches shorter than limit are reported as 0.
-    """
-    levels = levels or rank_levels(symbols, limit)
+def longest_previous(symbols: np.ndarray, limit: int, mirrored: bool = False) -> np.ndarray:
+    """For each position, the longest match (up to limit) with an earlier position; if mirrored, with a later one."""
+    levels = rank_levels(symbols, limit)
     full = levels[-1][1]
     sa = np.argsort(full, kind="stable")
-    n = len(sa)
-    place = np.empty(n, np.int64)
-    place[sa] = np.arange(n)
-    out = np.zeros(n, np.int64)
-    for link in smaller(n - 1 - sa if mirrored else sa):
-        j = link[place]
-        i = np.flatnonzero(j >= 0)
-        other = sa[j[i]]
+    out = np.zeros(len(sa), np.int64)
+    for i, other in linked(sa, mirrored):
         common = np.where(full[i] == full[other], limit, 0)
-        if exact:
-            part = np.flatnonzero(common == 0)
-            common[part] = common_prefix(levels, i[part], other[part], limit)
+        part = np.flatnonzero(common == 0)
+        common[part] = common_prefix(levels, i[part], other[part], limit)
         out[i] = np.maximum(out[i], common)
     return out
 
 
+def linked(sa: np.ndarray, mirrored: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, the nearest earlier ones before them in suffix order), then after them; if mirrored, the nearest later ones."""
+    for link in smaller(-sa if mirrored else sa):
+        k = np.flatnonzero(link >= 0)
+        yield sa[k], sa[link[k]]
+
+
+def full_matches(rank: np.ndarray, shared: np.ndarray, mirrored: bool = False) -> np.ndarray:
+    """Where longest_previous reaches its limit, from suffix_ranks up to there: only suffixes that share their prefix can."""
+    out = np.zeros(len(rank), bool)
+    for i, other in linked(shared, mirrored):
+        out[i] |= rank[i] == rank[other]
+    return out
+
+
 def common_prefix(levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
     """Lengths (under limit) of the common prefixes of suffixes a and b, from their ranks."""
     n, length = len(levels[0][1]), np.zeros(len(a), np.int64)
@@ -148,9 +186,8 @@ def repeats(contexts: list[np.ndarray], length: int) -> tuple[list[np.ndarray],
         starts.append(at)
         parts += [c.astype(np.int64) + 1, np.array([257 + k])]  # each context ends in a symbol of its own
         at += len(c) + 1
-    symbols = np.concatenate(parts)
-    levels = rank_levels(symbols, length)
-    earlier, later = (longest_previous(symbols, length, mirrored, exact=False, levels=levels) >= length for mirrored in (False, True))
+    rank, shared = suffix_ranks(np.concatenate(parts), length)
+    earlier, later = (full_matches(rank, shared, mirrored) for mirrored in (False, True))
     return [earlier[s : s + len(c)] for s, c in zip(starts, contexts)], [later[s : s + len(c)] for s, c in zip(starts, contexts)]
 
 

@@ -50,6 +50,17 @@ def test_equals_brute_force(spark, monkeypatch, group):
     assert sorted(got, key=lambda r: (r[0] is None, r)) == brute(data, 60)
 
 
+def test_more_contexts_than_a_group_holds(spark):
+    """One passage in so many different surroundings that its anchors exceed GROUP as it is."""
+    rng = random.Random(9)
+    text = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
+    hot = text(75)
+    data = [(i, text(rng.randrange(20, 60)) + hot + text(rng.randrange(20, 60))) for i in range(S.GROUP + 40)]
+    data += [(5000 + i, data[i][1][3:]) for i in range(30)]
+    got = sorted(tuple(r)[:5] for r in S.dedupe(spark.createDataFrame(data, "doc_id long, text string").repartition(3), length=60, gram=20).collect())
+    assert got == brute(data, 60)
+
+
 def test_keep_first_leaves_one_of_each(spark):
     rng = random.Random(4)
     text = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
@@ -76,6 +87,20 @@ def test_longest_previous_factor():
             assert S.longest_previous(x, limit).tolist() == want
 
 
+def test_full_matches_are_longest_factors_of_the_limit():
+    rng = np.random.default_rng(1)
+    for limit in (1, 2, 5, 7, 40):
+        for n in (1, 2, 50, 300):
+            x = np.concatenate([rng.integers(1, 3, n), rng.integers(1, 400, n // 3), rng.integers(1, 3, n)])
+            rank, shared = S.suffix_ranks(x, limit)
+            pad = [tuple(x[i : i + limit]) for i in range(len(x))]
+            assert rank.tolist() == [sum(p < q for p in pad) for q in pad]
+            for mirrored in (False, True):
+                found = S.full_matches(rank, shared, mirrored)
+                whole = np.arange(len(x)) + limit <= len(x)
+                assert (found & whole).tolist() == ((S.longest_previous(x, limit, mirrored) >= limit) & whole).tolist()
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.dedupe(df).count() == 0
