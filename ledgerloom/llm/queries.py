@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, near_dedup, packing, pii, pitman_yor, sharding, spotsigs, suffix_dedup, toxicity
+from . import decontaminate, langid, near_dedup, packing, periodic, pii, pitman_yor, quality, sharding, spotsigs, suffix_dedup, toxicity, whitening
 from .cluster import table
 
 
@@ -63,6 +63,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All finite embeddings on the 32 leading axes of their covariance, to unit variance; a row for each vector and component."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labels that aren't held out; empty texts score as well."""
+    return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeating words in every document (some get a repeating tail first), of 24 words and 3 periods or more; a null text has none."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic.find(docs.withColumn("text", periodic.tiled(F.col("doc_id"), F.col("text"))), least=24, exponent=3)
+    return found.drop("runs")
+
+
 def llm_shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows of each size op2 has sharded."""
     return op2_shard(spark, sf_dir).groupBy("size").agg(F.count("*").alias("n"))
@@ -89,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_pii": op9_pii,
     "op10_toxicity": op10_toxicity,
+    "op11_whiten": op11_whiten,
+    "op12_quality": op12_quality,
+    "op13_periodic_runs": op13_periodic_runs,
     "llm_shard_sizes": llm_shard_sizes,
     "llm_lm_counts": llm_lm_counts,
     "llm_pii_base": llm_pii_base,

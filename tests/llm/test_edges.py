@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontaminate, kernel, langid, near_dedup, packing, pii, pitman_yor, spotsigs, suffix_dedup, toxicity
+from ledgerloom.llm import decontaminate, kernel, langid, near_dedup, packing, periodic, pii, pitman_yor, quality, spotsigs, suffix_dedup, toxicity
 
 ROWS = [(None, "some words without an id", "en"), (None, "some words without an id", "en"), (1, None, "en"), (2, "", None), (3, "a few other words here", "fr"), (3, "a few other words here", "fr")]
 
@@ -31,15 +31,17 @@ def runs(name, docs, spark):
         "langid": langid.identify,
         "near_dedup": near_dedup.near_duplicates,
         "packing": packing.pack,
+        "periodic": periodic.find,
         "pii": lambda d: pii.summary(pii.find(d)),
         "pitman_yor": pitman_yor.score,
+        "quality": lambda d: quality.quality(d, spark.createDataFrame([], "doc_id long, quality int")),
         "spotsigs": spotsigs.neighbours,
         "suffix_dedup": suffix_dedup.dedupe,
         "toxicity": lambda d: toxicity.toxicity(d, none),
     }[name](docs)
 
 
-NAMES = ["decontaminate", "langid", "near_dedup", "packing", "pii", "pitman_yor", "spotsigs", "suffix_dedup", "toxicity"]
+NAMES = ["decontaminate", "langid", "near_dedup", "packing", "periodic", "pii", "pitman_yor", "quality", "spotsigs", "suffix_dedup", "toxicity"]
 
 
 @pytest.mark.parametrize("name", NAMES)
