@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST_SIMILARITY = 0.30
@@ -81,3 +81,31 @@ def run_metrics(findings: DataFrame, critical: DataFrame) -> DataFrame:
     return f.groupBy("case_id").agg(
         F.try_divide(n(matched & crit), n(wanted & crit)).alias("critical_recall"), F.try_divide(n(matched), n(wanted)).alias("overall_recall"), F.try_divide(n(matched), n(F.col("status") != "missed")).alias("precision")
     )
+
+
+def entities(tags: DataFrame, keys: list[str], order: str, tag: str) -> DataFrame:
+    """(keys, label, first, last) of each entity of B-, I- and O tags in order.
+
+    An entity begins at a B-, and at an I- that continues none: after an O or
+    another label (orphans are repaired, not lost).  A null tag is an O.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    label, kind = F.nullif(F.substring(tag, 3, 1 << 20), F.lit("")), F.substring(tag, 1, 2)
+    x = tags.select(*keys, order, F.when(kind.isin("B-", "I-"), label).alias("label"), F.coalesce(kind == "B-", F.lit(False)).alias("_b"))
+    x = x.withColumn("_new", F.when(F.col("_b") | ~F.col("label").eqNullSafe(F.lag("label").over(w)), 1).otherwise(0)).withColumn("_run", F.sum("_new").over(w))
+    return x.where("label IS NOT NULL").groupBy(*keys, "_run", "label").agg(F.min(order).alias("first"), F.max(order).alias("last")).drop("_run")
+
+
+def entity_scores(tags: DataFrame, key: str, order: str, gold: str, pred: str) -> DataFrame:
+    """(label, gold, found, hit, precision, recall, f1) by label and, as label null, over all.
+
+    An entity is a hit if label, first and last token agree.  Both sides go
+    through one pass, side by side, and meet by their spans in an aggregate.
+    """
+    side = lambda name, c: F.struct(F.lit(name).alias("_side"), F.col(c).alias("_tag"))
+    long = tags.select(key, order, F.explode(F.array(side("gold", gold), side("found", pred))).alias("_s")).select(key, order, "_s.*")
+    has = lambda name: F.max((F.col("_side") == name).cast("int")).alias(name)
+    spans = entities(long, [key, "_side"], order, "_tag").groupBy(key, "label", "first", "last").agg(has("gold"), has("found"))
+    count = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    n = spans.rollup("label").agg(count(F.col("gold"), "gold"), count(F.col("found"), "found"), count(F.col("gold") * F.col("found"), "hit"))
+    return n.select("label", "gold", "found", "hit", F.try_divide("hit", "found").alias("precision"), F.try_divide("hit", "gold").alias("recall"), F.try_divide(2 * F.col("hit"), F.col("gold") + F.col("found")).alias("f1"))

@@ -1,8 +1,9 @@
-"""The rule engine: rules are rows, evaluators are plans over all cases at once.
+"""The rule engine: a pack of rules over all cases at once.
 
-A rule names an evaluator; each evaluator yields (case_id, rule_id, evidence)
-for the cases it fires on.  Rules are few and fixed for a run, so their terms
-are compiled into each plan as constants instead of being joined.
+A rule names an evaluator; evaluators are compiled into conditions on single
+rows, each a bit, so a whole pack is one scan of each fact table, one aggregate
+by case and one read-out.  Rules are few and fixed for a run, so their terms
+are constants of the plan instead of being joined.
 
 Case facts are DataFrames: facts(case_id, key, value), documents(case_id,
 doc_type), pages(case_id, page, text), checks(case_id, kind, status).
@@ -11,12 +12,13 @@ doc_type), pages(case_id, page, text), checks(case_id, kind, status).
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .keywords import masks
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -44,7 +46,6 @@ class Facts:
     checks: DataFrame
 
 
-OUT = ["case_id", "rule_id", "evidence"]
 _SEVERITIES = ("High", "Medium", "Low")
 
 
@@ -93,41 +94,6 @@ def alike(kind: Column, required: str) -> Column:
     return low.contains(want) | F.lit(want).contains(low)
 
 
-def _out(df: DataFrame, rule: Rule, evidence: Column | None = None) -> DataFrame:
-    return df.select("case_id", F.lit(rule.id).alias("rule_id"), (F.lit(None).cast("string") if evidence is None else evidence).alias("evidence"))
-
-
-def missing_evidence(rule: Rule, f: Facts, cases: DataFrame) -> DataFrame:
-    """No required type is among the case's; without required types it always fires."""
-    if not rule.required:
-        return _out(cases, rule)
-    fits = F.lit(False)
-    for q in rule.required:
-        fits = fits | alike(F.col("doc_type"), q)
-    return _out(cases.join(f.documents.where(fits).select("case_id").distinct(), "case_id", "left_anti"), rule)
-
-
-def mismatch(rule: Rule, f: Facts, cases: DataFrame) -> DataFrame:
-    """More than one distinct value under keys with the pattern; identity numbers count by their digits."""
-    value = F.regexp_replace("value", "[^0-9]", "") if "cnic" in rule.pattern.lower() else F.trim("value")
-    n = f.facts.where(F.col("key").contains(rule.pattern)).groupBy("case_id").agg(F.countDistinct(value).alias("n")).where("n > 1")
-    return _out(cases.join(n, "case_id"), rule, F.col("n").cast("string"))
-
-
-def _keyword_pages(pages: DataFrame, keywords: tuple[str, ...]) -> DataFrame:
-    """Pages with a keyword: the first in list order, and all of them sorted."""
-    low = F.lower("text")
-    hits = F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: low.contains(F.lower(k)))
-    return pages.select("case_id", "page", hits.alias("hits")).where(F.size("hits") > 0)
-
-
-def keyword_risk(rule: Rule, f: Facts, cases: DataFrame) -> DataFrame:
-    if not rule.keywords:
-        return _out(cases.limit(0), rule)
-    p = _keyword_pages(f.pages, rule.keywords).groupBy("case_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("hits")))).alias("found"))  # sets of a few keywords
-    return _out(cases.join(p, "case_id"), rule, F.array_join("found", ", "))
-
-
 def keyword_references(rule: Rule, f: Facts) -> DataFrame:
     """(case_id, rule_id, doc_id, page, note): one reference for each page with a keyword, naming the first in the rule's order."""
     p = f.pages if "doc_id" in f.pages.columns else f.pages.withColumn("doc_id", F.lit(None).cast("long"))
@@ -137,34 +103,121 @@ def keyword_references(rule: Rule, f: Facts) -> DataFrame:
     return found.join(f.cases.select("case_id"), "case_id", "left_semi").select("case_id", F.lit(rule.id).alias("rule_id"), "doc_id", "page", F.concat(F.lit("Contains keyword: "), "word").alias("note"))
 
 
-def constructed_gate(rule: Rule, f: Facts, cases: DataFrame) -> DataFrame:
-    yes = f.facts.where((F.col("key") == "property.constructed") & F.lower("value").isin("true", "yes", "1")).select("case_id")
-    if rule.indicators:
-        yes = yes.unionByName(_keyword_pages(f.pages, rule.indicators).select("case_id"))
-    return missing_evidence(rule, f, cases.join(yes.distinct(), "case_id", "left_semi"))
-
-
-def timeline_gap(rule: Rule, f: Facts, cases: DataFrame) -> DataFrame:
-    """Kept for its name: it never fires."""
-    return _out(cases.limit(0), rule)
-
-
-def verification_check(rule: Rule, f: Facts, cases: DataFrame) -> DataFrame:
-    """Not verified, and a key with a value or a keyword calls for it; evidence is the first such page."""
-    done = f.checks.where((F.col("kind") == rule.kind) & (F.col("status") == "Verified")).select("case_id").distinct()
-    failed = f.checks.where((F.col("kind") == rule.kind) & (F.col("status") == "Failed")).select("case_id").distinct().withColumn("failed", F.lit(True))
-    called = f.facts.where(F.lit(False))
-    for k in rule.keys:
-        called = called.unionByName(f.facts.where(F.col("key").contains(k) & (F.trim("value") != "")))
-    asked = called.select("case_id", F.lit(None).cast("int").alias("page"))
-    if rule.keywords:
-        asked = asked.unionByName(_keyword_pages(f.pages, rule.keywords).select("case_id", "page"))
-    asked = asked.groupBy("case_id").agg(F.min("page").alias("page"))
-    out = cases.join(asked, "case_id").join(done, "case_id", "left_anti").join(failed, "case_id", "left")
-    return _out(out, rule, F.concat_ws(" ", F.concat(F.lit("page "), F.col("page").cast("string")), F.when(F.col("failed"), "failed")))
+EVALUATORS = ("missing_evidence", "mismatch", "keyword_risk", "constructed_gate", "timeline_gap", "verification_check")
+WIDTH = 62  # conditions in a number
+#: From so many keywords on, pages are walked through one automaton instead of searched for each.
+MANY_WORDS = 24
+
+
+class _Conditions:
+    """What rules ask of single rows, each a bit of the numbers _b0, _b1, ...; alike ones share a bit."""
+
+    def __init__(self, rules: list[Rule]):
+        self.at: dict[tuple, int] = {}
+        self.firsts: list[tuple[str, ...]] = []  # keyword lists whose first page is asked for
+        self.patterns: list[str] = []  # key patterns whose distinct values are counted
+        for r in rules:
+            if r.evaluator in ("missing_evidence", "constructed_gate"):
+                self.ask("type", *(q.lower() for q in r.required))
+            if r.evaluator == "constructed_gate":
+                self.ask("built", "")
+                self.ask("word", *(k.lower() for k in r.indicators))
+            if r.evaluator in ("keyword_risk", "verification_check"):
+                self.ask("word", *(k.lower() for k in r.keywords))
+            if r.evaluator == "verification_check":
+                self.ask("key", *r.keys)
+                self.ask("check", (r.kind, "Verified"), (r.kind, "Failed"))
+                if r.keywords and r.keywords not in self.firsts:
+                    self.firsts.append(r.keywords)
+            if r.evaluator == "mismatch" and r.pattern not in self.patterns:
+                self.patterns.append(r.pattern)
+
+    def ask(self, kind: str, *terms) -> None:
+        for t in terms:
+            self.at.setdefault((kind, t), len(self.at))
+
+    @property
+    def names(self) -> list[str]:
+        return [f"_b{i}" for i in range(-(-len(self.at) // WIDTH))]
+
+    def of(self, *kinds: str) -> list[tuple]:
+        return [c for c in self.at if c[0] in kinds]
+
+    def numbers(self, holds: dict[tuple, Column]) -> list[Column]:
+        out = [F.lit(0).cast("long") for _ in self.names]
+        for c, test in holds.items():
+            at = self.at[c]
+            out[at // WIDTH] = out[at // WIDTH].bitwiseOR(F.when(test, F.lit(1 << at % WIDTH).cast("long")).otherwise(F.lit(0).cast("long")))
+        return [o.alias(n) for o, n in zip(out, self.names)]
+
+    def any(self, kind: str, *terms) -> Column:
+        """Whether a row or case has one of the terms."""
+        wanted: dict[int, int] = {}
+        for t in terms:
+            at = self.at[kind, t]
+            wanted[at // WIDTH] = wanted.get(at // WIDTH, 0) | 1 << at % WIDTH
+        out = F.lit(False)
+        for i, mask in wanted.items():
+            out = out | (F.col(f"_b{i}").bitwiseAND(F.lit(mask).cast("long")) != 0)
+        return out
+
+    def words(self, keywords: tuple[str, ...]) -> Column:
+        return self.any("word", *(k.lower() for k in keywords))
+
+
+def _signals(c: _Conditions, f: Facts) -> list[DataFrame]:
+    """What each table says of cases, as numbers of bits; every table is read once."""
+    out = []
+    if types := c.of("type"):
+        out.append(f.documents.select("case_id", *c.numbers({t: alike(F.col("doc_type"), t[1]) for t in types})))
+    if checks := c.of("check"):
+        out.append(f.checks.select("case_id", *c.numbers({t: (F.col("kind") == t[1][0]) & (F.col("status") == t[1][1]) for t in checks})))
+    if words := c.of("word"):
+        pages = f.pages.select("case_id", "page", "text")
+        if len(words) >= MANY_WORDS:
+            marked = masks(pages, {t[1]: c.at[t] for t in words}, len(c.names), width=WIDTH)
+        else:
+            low = F.lower("text")
+            marked = pages.select("case_id", "page", *c.numbers({t: low.contains(t[1]) for t in words}))
+        out.append(marked.select("case_id", *c.names, *[F.when(c.words(k), F.col("page")).alias(f"_first{i}") for i, k in enumerate(c.firsts)]))
+    if c.of("key", "built") or c.patterns:
+        key, value = F.col("key"), F.col("value")
+        holds = {t: key.contains(t[1]) & (F.trim(value) != "") for t in c.of("key")} | {t: (key == "property.constructed") & F.lower(value).isin("true", "yes", "1") for t in c.of("built")}
+        if not c.patterns:
+            out.append(f.facts.select("case_id", *c.numbers(holds)))
+        else:
+            # A row for the bits, and one for each pattern that the key has: grouped by value, they count distinct ones.
+            digits, plain = F.regexp_replace(value, "[^0-9]", ""), F.trim(value)
+            counted = [F.when(key.contains(p) & value.isNotNull(), F.struct(F.lit(i).alias("pattern"), (digits if "cnic" in p.lower() else plain).alias("value"))) for i, p in enumerate(c.patterns)]
+            none = F.struct(F.lit(-1).alias("pattern"), F.lit(None).cast("string").alias("value"))
+            rows = f.facts.select("case_id", *c.numbers(holds), F.explode(F.array_compact(F.array(*([none] if holds else []), *counted))).alias("_v"))
+            rows = rows.select("case_id", *c.names, F.col("_v.pattern").alias("_pattern"), F.col("_v.value").alias("_value"))
+            values = rows.groupBy("case_id", "_pattern", "_value").agg(*[F.bit_or(n).alias(n) for n in c.names]) if c.names else rows.distinct()
+            out.append(values.drop("_value"))
+    return out
 
 
-EVALUATORS: dict[str, Callable[[Rule, Facts, DataFrame], DataFrame]] = {f.__name__: f for f in (missing_evidence, mismatch, keyword_risk, constructed_gate, timeline_gap, verification_check)}
+def _fires(r: Rule, c: _Conditions) -> tuple[Column, Column]:
+    """Whether a rule fires on a case, and its evidence."""
+    nothing = F.lit(None).cast("string")
+    lacks = ~c.any("type", *(q.lower() for q in r.required)) if r.evaluator in ("missing_evidence", "constructed_gate") else None
+    match r.evaluator:
+        case "mismatch":  # more than one distinct value under keys with the pattern; identity numbers count by their digits
+            n = F.col(f"_values{c.patterns.index(r.pattern)}")
+            return n > 1, n.cast("string")
+        case "keyword_risk":
+            listed = [F.when(c.words((k,)), F.lit(k)) for k in sorted(set(r.keywords))]
+            return c.words(r.keywords), F.concat_ws(", ", *listed)
+        case "constructed_gate":  # built by the dossier or a page, and no required type is there
+            return (c.any("built", "") | c.words(r.indicators)) & lacks, nothing
+        case "timeline_gap":  # kept for its name: it never fires
+            return F.lit(False), nothing
+        case "verification_check":  # not verified, and a key with a value or a keyword calls for it; evidence is the first such page
+            called = c.any("key", *r.keys) | c.words(r.keywords)
+            first = F.col(f"_first{c.firsts.index(r.keywords)}").cast("string") if r.keywords else nothing
+            return called & ~c.any("check", (r.kind, "Verified")), F.concat_ws(" ", F.concat(F.lit("page "), first), F.when(c.any("check", (r.kind, "Failed")), "failed"))
+        case _:  # missing_evidence: no required type is among the case's; without required types it always fires
+            return lacks, nothing
 
 
 def required_regimes(rule: Rule) -> list[str]:
@@ -174,16 +227,34 @@ def required_regimes(rule: Rule) -> list[str]:
 
 
 def evaluate(rules: list[Rule], f: Facts) -> DataFrame:
-    """(case_id, rule_id, evidence, severity) of every rule that fires on a case of its regimes."""
-    parts = []
+    """(case_id, rule_id, evidence, severity) of every rule that fires on a case of its regimes.
+
+    Rules are compiled into conditions on single rows, each a bit.  Every fact
+    table is read once, its rows become numbers of bits, and one aggregate by
+    case joins them; rules are read off a case's bits after that.  More rules
+    mean wider numbers, not more scans or exchanges.
+    """
+    rules = [r if r.evaluator in EVALUATORS else replace(r, evaluator="missing_evidence") for r in rules]
+    c = _Conditions(rules)
+    both = f.cases.select("case_id", F.upper("regime").alias("_regime"), F.lit(True).alias("_case"))
+    for part in _signals(c, f):
+        both = both.unionByName(part, allowMissingColumns=True)
+    have = set(both.columns)
+    count = lambda i: F.count(F.when(F.col("_pattern") == i, 1)) if "_pattern" in have else F.lit(0)
+    cases = both.groupBy("case_id").agg(
+        F.max("_case").alias("_case"),
+        F.max("_regime").alias("_regime"),
+        *[F.coalesce(F.bit_or(n) if n in have else F.lit(0).cast("long"), F.lit(0).cast("long")).alias(n) for n in c.names],
+        *[F.min(f"_first{i}").alias(f"_first{i}") for i in range(len(c.firsts))],
+        *[count(i).alias(f"_values{i}") for i in range(len(c.patterns))],
+    ).where("_case")
+    listed = []
     for r in rules:
+        fires, evidence = _fires(r, c)
         gate = required_regimes(r)
-        cases = f.cases.where(F.upper("regime").isin(gate)) if gate else f.cases
-        parts.append(EVALUATORS.get(r.evaluator, missing_evidence)(r, f, cases.select("case_id")).withColumn("severity", F.lit(r.severity)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        allowed = F.col("_regime").isin(gate) if gate else F.lit(True)
+        listed.append(F.when(allowed & fires, F.struct(F.lit(r.id).alias("rule_id"), evidence.alias("evidence"), F.lit(r.severity).alias("severity"))))
+    return cases.select("case_id", F.explode(F.array_compact(F.array(*listed))).alias("_r")).select("case_id", "_r.rule_id", "_r.evidence", "_r.severity")
 
 
 def replace_open(old: DataFrame, fired: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Tables
+from ..functions.distance import page_distance as page_distances
 from ..operators import evaluation as E
 from ..operators import kpis as K
 from ..operators import windows as W
@@ -83,6 +84,19 @@ def levenshtein(t: Tables) -> DataFrame:
 _CER = "CASE WHEN length(gold) = 0 THEN CASE WHEN length(pred) > 0 THEN 1.0 ELSE 0.0 END ELSE levenshtein(pred, gold)::DOUBLE / length(gold) END"
 
 
+_PAGE = "regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g')"
+
+
+@query("E04b_page_distance", f"SELECT doc_id, length(gold) AS chars, CAST(levenshtein(pred, gold) AS INTEGER) AS distance, round(CASE WHEN length(gold) = 0 THEN CASE WHEN length(pred) > 0 THEN 1.0 ELSE 0.0 END ELSE levenshtein(pred, gold)::DOUBLE / length(gold) END, 6) AS cer FROM (SELECT doc_id, {_PAGE} AS gold, replace(replace({_PAGE}, 'the', 'teh'), '. ', '.') AS pred FROM documents)")
+def page_distance(t: Tables) -> DataFrame:
+    """Whole documents against themselves with misspellings, bit-parallel."""
+    page = F.regexp_replace("text", "[^\\x00-\\x7F]", "?")
+    x = t.documents.select("doc_id", page.alias("gold"), F.replace(F.replace(page, F.lit("the"), F.lit("teh")), F.lit(". "), F.lit(".")).alias("pred"))
+    x = x.select("doc_id", F.length("gold").cast("long").alias("chars"), page_distances(F.col("pred"), F.col("gold")).alias("distance"), "pred")
+    rate = F.when(F.col("chars") == 0, F.when(F.length("pred") > 0, 1.0).otherwise(0.0)).otherwise(F.col("distance") / F.col("chars"))
+    return x.select("doc_id", "chars", "distance", F.round(rate, 6).alias("cer"))
+
+
 @query("E05_cer", f"SELECT id, round({_CER}, 6) AS v FROM ({_PAIR})")
 def cer(t: Tables) -> DataFrame:
     return pairs(t).select("id", F.round(E.cer(F.col("pred"), F.col("gold")), 6).alias("v"))
@@ -139,6 +153,27 @@ def sequence_f1(t: Tables) -> DataFrame:
     return c.select("label", F.round(F.try_divide("tp", "p"), 6).alias("precision"), F.round(F.try_divide("tp", "g"), 6).alias("recall"), F.round(F.try_divide(2.0 * F.col("tp"), F.col("p") + F.col("g")), 6).alias("f1"))
 
 
+_BIO = "SELECT user_id, event_id, CASE WHEN action = 'error' THEN 'O' WHEN event_id % 3 = 0 THEN 'B-' || action ELSE 'I-' || action END AS gold, CASE WHEN value < 5 THEN 'O' WHEN value > 90 THEN 'B-click' WHEN action = 'error' THEN 'O' WHEN event_id % 3 = 0 OR event_id % 11 = 0 THEN 'B-' || action ELSE 'I-' || action END AS pred FROM audit"
+
+
+@query("E13b_entity_f1", f"""WITH t AS ({_BIO}), l AS (SELECT user_id, event_id, 'gold' AS side, gold AS tag FROM t UNION ALL SELECT user_id, event_id, 'found', pred FROM t),
+    x AS (SELECT *, CASE WHEN tag <> 'O' THEN substr(tag, 3) END AS label, starts_with(tag, 'B-') AS b FROM l),
+    n AS (SELECT *, CASE WHEN b OR label IS DISTINCT FROM lag(label) OVER (PARTITION BY user_id, side ORDER BY event_id) THEN 1 ELSE 0 END AS fresh FROM x),
+    r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id, side ORDER BY event_id) AS run FROM n),
+    e AS (SELECT user_id, side, label, min(event_id) AS a, max(event_id) AS z FROM r WHERE label IS NOT NULL GROUP BY user_id, side, run, label),
+    s AS (SELECT user_id, label, a, z, count(*) FILTER (side = 'gold') AS g, count(*) FILTER (side = 'found') AS f FROM e GROUP BY ALL),
+    c AS (SELECT label, sum(g) AS g, sum(f) AS f, sum(g * f) AS h FROM s GROUP BY ROLLUP (label))
+    SELECT label, CAST(g AS BIGINT) AS gold, CAST(f AS BIGINT) AS found, CAST(h AS BIGINT) AS hit, round(h / nullif(f, 0), 6) AS precision, round(h / nullif(g, 0), 6) AS recall, round(2 * h / nullif(g + f, 0), 6) AS f1 FROM c""")
+def entity_f1(t: Tables) -> DataFrame:
+    """Whole entities of two taggings of users' events, orphaned I- tags repaired."""
+    action, value, key = F.col("action"), F.col("value"), F.col("event_id")
+    inside = F.concat(F.lit("I-"), action)
+    gold = F.when(action == "error", "O").when(key % 3 == 0, F.concat(F.lit("B-"), action)).otherwise(inside)
+    pred = F.when(value < 5, "O").when(value > 90, "B-click").when(action == "error", "O").when((key % 3 == 0) | (key % 11 == 0), F.concat(F.lit("B-"), action)).otherwise(inside)
+    scores = E.entity_scores(t.audit.select("user_id", "event_id", gold.alias("gold"), pred.alias("pred")), "user_id", "event_id", "gold", "pred")
+    return scores.select("label", "gold", "found", "hit", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
 @query("E14_best_similarity", f"WITH x AS (SELECT p_partkey // 40 AS case_id, p_partkey AS id, p_partkey % 2 = 0 AS gold, {_TOK.format('p_name')} AS a, {_TOK.format('p_type')} AS b FROM part) SELECT e.id AS expected_id, round(max(greatest({_J.format('e.a', 'o.a')}, 0.8 * {_J.format('e.b', 'o.b')})), 6) AS best FROM x e JOIN x o ON e.case_id = o.case_id AND e.gold AND NOT o.gold GROUP BY 1")
 def best_similarity(t: Tables) -> DataFrame:
     expected, actual = findings(t)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..catalog import AS_OF_EVENTS, Tables
 from ..operators import kpis as K
 from ..registry import query
+from ..session import shared_folder
 from ..streaming import outbox as O
 
 _NOW = "DATE '2024-01-20'"
@@ -37,6 +38,41 @@ def retry(t: Tables) -> DataFrame:
     return O.after_attempt(O.claimable(t.outbox, now()), F.col("event_id") % 4 == 0)
 
 
+@query("K02b_claim_stream", f"SELECT event_id FROM outbox WHERE status = 'Pending' AND (next_attempt IS NULL OR next_attempt <= {_NOW})")
+def claim_stream(t: Tables) -> DataFrame:
+    """The outbox as a stream of files, claimed batch by batch: what all batches have claimed."""
+    home = shared_folder(t.spark, "claims")
+    t.outbox.repartition(3).write.parquet(f"{home}/in")
+    source = t.spark.readStream.schema(t.outbox.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
+    run = source.writeStream.foreachBatch(O.claim_into(f"{home}/claims", now())).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return t.spark.read.schema(t.outbox.schema).parquet(f"{home}/claims").select("event_id")
+
+
+_FAILS = "CAST(event_id % 7 AS INTEGER)"
+
+
+@query("K03b_timed_retries", f"SELECT event_id, CAST(k AS INTEGER) AS attempt, strftime(ts + to_seconds(([0, 60, 360, 1260, 4860])[k]), '%Y-%m-%d %H:%M:%S') AS at, CASE WHEN k > {_FAILS} THEN 'Done' WHEN k = 5 THEN 'Failed' ELSE 'Pending' END AS status FROM events, LATERAL (SELECT unnest(range(1, least({_FAILS} + 1, 5) + 1)) AS k)")
+def timed_retries(t: Tables) -> DataFrame:
+    """Every delivery attempt of the events as a stream in three runs from one checkpoint, timers and all; the first event_id % 7 attempts fail.
+
+    The last run has one event of the far future, which brings the watermark past every timer.
+    """
+    home = shared_folder(t.spark, "retries")
+    events = t.raw("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 7).cast("int").alias("fails"))
+    middle = events.agg(F.timestamp_micros(F.percentile_approx(F.unix_micros("ts"), 0.5)).alias("m"), (F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("late")).first()
+    parts = [events.where(F.col("ts") < F.lit(middle.m)), events.where(F.col("ts") >= F.lit(middle.m)), t.spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit(middle.late).alias("ts"), F.lit(0).alias("fails"))]
+    with O.rocksdb(t.spark):
+        for part in parts:
+            part.write.mode("append").parquet(f"{home}/in")
+            source = t.spark.readStream.schema(events.schema).parquet(f"{home}/in")
+            made = O.timed_retries(source, lambda event, fails, attempt: attempt > fails)
+            run = made.writeStream.format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/state").outputMode("append").trigger(availableNow=True).start()
+            run.awaitTermination()
+    out = t.spark.read.schema(O.ATTEMPT).parquet(f"{home}/out").where("event_id >= 0")
+    return out.select("event_id", "attempt", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "status")
+
+
 @query("K04_fan_out", "SELECT event_id, e AS endpoint_id FROM outbox JOIN (VALUES (1, 'click'), (1, 'error'), (2, 'signup')) x(e, s) ON event_type = s")
 def fan_out(t: Tables) -> DataFrame:
     ends = t.spark.createDataFrame([(1, True, ["click", "error"]), (2, True, ["signup"]), (3, False, ["view"])], "endpoint_id int, enabled boolean, subscribed array<string>")

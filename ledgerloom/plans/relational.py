@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import AS_OF, Tables
+from ..operators import keywords as K10
 from ..operators import kpis as K
 from ..operators import windows as W
 from ..registry import query
@@ -246,6 +247,16 @@ def keyword_in_text(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.explode(F.filter(F.array(*[F.lit(w) for w in _WORDS]), lambda w: low.contains(w))).alias("keyword"))
 
 
+_SAID = "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS keyword FROM conversations"
+
+
+@query("J10b_keyword_relation", f"WITH k AS ({_SAID}) SELECT doc_id, keyword FROM documents JOIN k ON contains(lower(text), keyword)")
+def keyword_relation(t: Tables) -> DataFrame:
+    """Every word of five letters or more that was said in a conversation, wherever documents contain it: thousands of keywords, one pass a text."""
+    said = t.raw("conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), 0)).alias("keyword"))
+    return K10.contained(t.documents.select("doc_id", "text"), said)
+
+
 @query("J11_checklist", "SELECT k AS item, CASE WHEN count(p_partkey) > 0 THEN 'Provided' ELSE 'Missing' END AS status FROM (VALUES ('economy brushed', 'ECONOMY BRUSHED STEEL'), ('economy brushed', 'economy brushed tin'), ('none', 'no such type')) c(k, a) LEFT JOIN part ON lower(p_type) = lower(a) GROUP BY k")
 def checklist(t: Tables) -> DataFrame:
     items = t.spark.createDataFrame([("economy brushed", ["ECONOMY BRUSHED STEEL", "economy brushed tin"]), ("none", ["no such type"])], "item string, accepted array<string>")

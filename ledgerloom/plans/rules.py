@@ -217,6 +217,50 @@ def rulepack_run(t: Tables) -> DataFrame:
     return R.evaluate(pack(), facts(t)).groupBy("rule_id", "severity").agg(F.count("*").alias("n"))
 
 
+_TYPES = ["economy", "large", "standard", "promo", "small", "medium"]
+_SYLLABLES = ["license", "token", "anon", "erth", "ouan", "stbl", "ingre", "nder", "haou", "enly", "ress", "atha", "onnd", "thth", "edre", "waso", "ition", "hewh", "strea", "andi", "orly", "esha", "blen", "ofen", "inth", "toou", "lyed", "ndst", "rewh", "hein", "thea", "ating", "ereh"]
+
+
+def wide_pack(n: int = 57) -> list[R.Rule]:
+    """A pack as large as a user's: all evaluators in turn, some for two regimes only."""
+    word = lambda k: _SYLLABLES[k % len(_SYLLABLES)]
+    out = []
+    for k in range(n):
+        common = {"id": f"W-{k:02d}", "severity": ("High", "Medium", "Low")[k % 3], "regimes": ("lda", "DHA") if k % 6 == 0 else ()}
+        out.append(
+            (
+                R.Rule(evaluator="keyword_risk", keywords=(word(k), word(k + 7)), **common),
+                R.Rule(evaluator="missing_evidence", required=(_TYPES[k % 6], _TYPES[(k + 2) % 6]), **common),
+                R.Rule(evaluator="mismatch", pattern=("cnic", "registry", "r.")[k % 3], **common),
+                R.Rule(evaluator="verification_check", kind=("registry", "e_stamp", "registry_rod")[k % 3], keys=("registry",) if k % 4 == 0 else ("no such",), keywords=(word(k + 3), word(k + 4)), **common),
+                R.Rule(evaluator="constructed_gate", required=(_TYPES[k % 6],), indicators=(word(k), word(k + 11)), **common),
+            )[k % 5]
+        )
+    return out
+
+
+def _rule_sql(r: R.Rule) -> str:
+    """One rule as the source states it, over f, d, k, h (pages' words) and n (cases)."""
+    having = lambda words: f"case_id IN (SELECT case_id FROM h WHERE w IN ({', '.join(repr(w) for w in words)}))"
+    lacks = "case_id NOT IN (SELECT case_id FROM d WHERE " + " OR ".join(f"contains(lower(doc_type), '{q}') OR contains('{q}', lower(doc_type))" for q in r.required) + ")"
+    value = "regexp_replace(value, '[^0-9]', '', 'g')" if "cnic" in r.pattern else "trim(value)"
+    test = {
+        "keyword_risk": having(r.keywords),
+        "missing_evidence": lacks,
+        "mismatch": f"case_id IN (SELECT case_id FROM f WHERE contains(key, '{r.pattern}') GROUP BY case_id HAVING count(DISTINCT {value}) > 1)",
+        "verification_check": f"(case_id IN (SELECT case_id FROM f WHERE {' OR '.join(f"contains(key, '{x}')" for x in r.keys) or 'FALSE'}) OR {having(r.keywords)}) AND case_id NOT IN (SELECT case_id FROM k WHERE kind = '{r.kind}' AND status = 'Verified')",
+        "constructed_gate": f"{having(r.indicators)} AND {lacks}",
+    }[r.evaluator]
+    gate = f"regime IN ({', '.join(repr(x.upper()) for x in r.regimes)}) AND " if r.regimes else ""
+    return f"SELECT '{r.id}' AS rule_id, '{r.severity}' AS severity, count(*) AS n, sum(case_id) AS cases FROM n WHERE {gate}{test} HAVING count(*) > 0"
+
+
+@query("R13b_wide_pack", f"WITH f AS ({_FACTS}), d AS ({_DOCS}), k AS ({_CHECKS}), h AS (SELECT DISTINCT case_id, w FROM ({_PG}), (VALUES {', '.join(f"('{w}')" for w in _SYLLABLES)}) x(w) WHERE contains(lower(text), w)), n AS (SELECT case_id, {_NORM} AS regime FROM cases) {' UNION ALL '.join(_rule_sql(r) for r in wide_pack())}".replace("AS cases", "AS case_sum"))
+def wide_pack_run(t: Tables) -> DataFrame:
+    """57 rules over all cases: one scan of each fact table, one aggregate by case."""
+    return R.evaluate(wide_pack(), facts(t)).groupBy("rule_id", "severity").agg(F.count("*").alias("n"), F.sum("case_id").alias("case_sum"))
+
+
 @query("S03_rulepack", "SELECT * FROM (VALUES ('ID-1', 'mismatch', 'High'), ('TI-1', 'keyword_risk', 'Medium'), ('TI-2', 'keyword_risk', 'Low'), ('TI-3', 'verification_check', 'High'), ('AU-1', 'missing_evidence', 'High'), ('AU-2', 'missing_evidence', 'High'), ('AU-3', 'timeline_gap', 'Low')) x(id, evaluator, severity)")
 def rulepack(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(r.id, r.evaluator, r.severity) for r in pack()], "id string, evaluator string, severity string")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Seconds to wait after the n-th failed attempt.
 WAITS = (60, 300, 900, 3600, 3600)
@@ -77,3 +81,113 @@ def next_state(attempts: int, status: str, failed: bool) -> tuple[int, str]:
     if not failed:
         return attempts, "Done"
     return attempts + 1, "Failed" if attempts + 1 >= MAX_ATTEMPTS else "Pending"
+
+
+ATTEMPT = "event_id long, attempt int, at timestamp, status string"
+
+
+def attempts(events: DataFrame, fails: Column) -> DataFrame:
+    """(event_id, attempt, at, status) of every delivery attempt of events (event_id, ts), of which the first `fails` fail: the batch form.
+
+    An attempt that fails waits as WAITS says; the last one allowed ends the event as Failed.
+    """
+    waits = F.array(*[F.lit(w) for w in WAITS])
+    tries = F.transform(F.sequence(F.lit(1), F.least(fails + 1, F.lit(MAX_ATTEMPTS))), lambda k: F.struct(k.alias("attempt"), F.aggregate(F.slice(waits, F.lit(1), k - 1), F.lit(0), lambda a, w: a + w).alias("wait")))
+    x = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), fails.alias("fails"), F.explode(tries).alias("t"))
+    status = F.when(F.col("t.attempt") > F.col("fails"), "Done").when(F.col("t.attempt") >= MAX_ATTEMPTS, "Failed").otherwise("Pending")
+    return x.select("event_id", "t.attempt", F.timestamp_micros(F.unix_micros("ts") + F.col("t.wait") * 1_000_000).alias("at"), status.alias("status"))
+
+
+@contextmanager
+def rocksdb(spark) -> Iterator[None]:
+    """State that outgrows memory: RocksDB on the executors, its changes in the query's checkpoint.  Timers need it."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def delivered(deliver: Callable[[int, int, int], bool]) -> type:
+    """A stateful processor that attempts an event when it comes and again whenever its timer expires.
+
+    deliver(event_id, fails, attempt) says whether the attempt succeeds.  The
+    state of an event is its attempts so far; it goes with the last attempt.
+    A retry that is overdue when its timer is set (the watermark has passed it)
+    is made at once, at the time it was due.  Of an event that is sent twice,
+    the second is ignored while the first is pending.
+    """
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class Delivery(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("attempts", "attempts int, fails int")
+
+        def attempt(self, key: int, fails: int, done: int, at: int, watermark: int) -> Iterator[tuple]:
+            while True:
+                done, ok = done + 1, deliver(key, fails, done + 1)
+                status = "Done" if ok else "Failed" if done >= MAX_ATTEMPTS else "Pending"
+                yield key, done, at, status
+                if status != "Pending":
+                    self.state.clear()
+                    return
+                at += 1000 * WAITS[done - 1]
+                if at > watermark:
+                    self.state.update((done, fails))
+                    self.handle.registerTimer(at)
+                    return
+
+        def rows(self, made: Iterator[tuple]):
+            import pandas as pd
+
+            pdf = pd.DataFrame(list(made), columns=["event_id", "attempt", "at", "status"])
+            pdf["at"] = pd.to_datetime(pdf["at"], unit="ms")
+            return pdf.astype({"attempt": "int32"})
+
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  the interface's names
+            for pdf in rows:
+                for fails, ts in zip(pdf["fails"], pdf["ts"]):
+                    if not self.state.exists():
+                        yield self.rows(self.attempt(int(key[0]), int(fails), 0, ts.value // 1_000_000, timerValues.getCurrentWatermarkInMs()))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+            if self.state.exists():
+                done, fails = self.state.get()
+                yield self.rows(self.attempt(int(key[0]), int(fails), int(done), expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()))
+
+        def close(self) -> None:
+            pass
+
+    return Delivery
+
+
+def timed_retries(events: DataFrame, deliver: Callable[[int, int, int], bool], late: str = "1 hour") -> DataFrame:
+    """(event_id, attempt, at, status) of every attempt of a stream of events (event_id, ts, fails), in event time.
+
+    Run it under rocksdb(); it continues from its checkpoint, timers included.
+    """
+    keyed = events.withWatermark("ts", late).groupBy("event_id")
+    return keyed.transformWithStateInPandas(delivered(deliver)(), ATTEMPT, "Append", "EventTime")
+
+
+def claim_into(path: str, now: Column) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: writes a batch's claimable events to its own part of path, and only those no earlier batch has claimed.
+
+    The batch id is the key: a batch that runs again, after a failure or a
+    restart, overwrites its own part and sees earlier parts only, so it claims
+    the same events again and none twice.
+    """
+
+    def claim(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        due = claimable(batch, now).dropDuplicates(["event_id"])
+        home = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if batch_id > 0 and home.getFileSystem(spark._jsc.hadoopConfiguration()).exists(home):
+            taken = spark.read.schema(StructType([due.schema["event_id"], StructField("batch", LongType())])).parquet(path)
+            due = due.join(taken.where(F.col("batch") < batch_id).select("event_id"), "event_id", "left_anti")
+        due.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return claim
