@@ -88,12 +88,6 @@ def validated(raw: list) -> tuple[list[Rule], list[str]]:
     return good, errors
 
 
-def alike(kind: Column, required: str) -> Column:
-    """Case-insensitive containment either way."""
-    low, want = F.lower(kind), required.lower()
-    return low.contains(want) | F.lit(want).contains(low)
-
-
 def keyword_references(rule: Rule, f: Facts) -> DataFrame:
     """(case_id, rule_id, doc_id, page, note): one reference for each page with a keyword, naming the first in the rule's order."""
     p = f.pages if "doc_id" in f.pages.columns else f.pages.withColumn("doc_id", F.lit(None).cast("long"))
@@ -143,79 +137,80 @@ class _Conditions:
     def of(self, *kinds: str) -> list[tuple]:
         return [c for c in self.at if c[0] in kinds]
 
-    def numbers(self, holds: dict[tuple, Column]) -> list[Column]:
-        out = [F.lit(0).cast("long") for _ in self.names]
+    def numbers(self, holds: dict[tuple, str]) -> list[Column]:
+        """_b0.. of a row, from a test in SQL for each condition that its table can meet."""
+        terms: list[list[str]] = [["0L"] for _ in self.names]
         for c, test in holds.items():
             at = self.at[c]
-            out[at // WIDTH] = out[at // WIDTH].bitwiseOR(F.when(test, F.lit(1 << at % WIDTH).cast("long")).otherwise(F.lit(0).cast("long")))
-        return [o.alias(n) for o, n in zip(out, self.names)]
+            terms[at // WIDTH].append(f"if({test}, {1 << at % WIDTH}L, 0L)")
+        return [F.expr(" | ".join(t)).alias(n) for t, n in zip(terms, self.names)]
 
-    def any(self, kind: str, *terms) -> Column:
-        """Whether a row or case has one of the terms."""
+    def any(self, kind: str, *terms) -> str:
+        """Whether a row or case has one of the terms, in SQL."""
         wanted: dict[int, int] = {}
         for t in terms:
             at = self.at[kind, t]
             wanted[at // WIDTH] = wanted.get(at // WIDTH, 0) | 1 << at % WIDTH
-        out = F.lit(False)
-        for i, mask in wanted.items():
-            out = out | (F.col(f"_b{i}").bitwiseAND(F.lit(mask).cast("long")) != 0)
-        return out
+        return "(" + " OR ".join(f"(_b{i} & {mask}L) <> 0" for i, mask in wanted.items()) + ")" if wanted else "FALSE"
 
-    def words(self, keywords: tuple[str, ...]) -> Column:
+    def words(self, keywords: tuple[str, ...]) -> str:
         return self.any("word", *(k.lower() for k in keywords))
 
 
+def quoted(text: str) -> str:
+    """A string literal of Spark SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _signals(c: _Conditions, f: Facts) -> list[DataFrame]:
     """What each table says of cases, as numbers of bits; every table is read once."""
     out = []
     if types := c.of("type"):
-        out.append(f.documents.select("case_id", *c.numbers({t: alike(F.col("doc_type"), t[1]) for t in types})))
+        low = f.documents.select("case_id", F.lower("doc_type").alias("_t"))
+        out.append(low.select("case_id", *c.numbers({t: f"contains(_t, {quoted(t[1])}) OR contains({quoted(t[1])}, _t)" for t in types})))
     if checks := c.of("check"):
-        out.append(f.checks.select("case_id", *c.numbers({t: (F.col("kind") == t[1][0]) & (F.col("status") == t[1][1]) for t in checks})))
+        out.append(f.checks.select("case_id", *c.numbers({t: f"kind = {quoted(t[1][0])} AND status = {quoted(t[1][1])}" for t in checks})))
     if words := c.of("word"):
         pages = f.pages.select("case_id", "page", "text")
         if len(words) >= MANY_WORDS:
             marked = masks(pages, {t[1]: c.at[t] for t in words}, len(c.names), width=WIDTH)
         else:
-            low = F.lower("text")
-            marked = pages.select("case_id", "page", *c.numbers({t: low.contains(t[1]) for t in words}))
-        out.append(marked.select("case_id", *c.names, *[F.when(c.words(k), F.col("page")).alias(f"_first{i}") for i, k in enumerate(c.firsts)]))
+            marked = pages.select("case_id", "page", F.lower("text").alias("_t")).select("case_id", "page", *c.numbers({t: f"contains(_t, {quoted(t[1])})" for t in words}))
+        out.append(marked.select("case_id", *c.names, *[F.expr(f"if({c.words(k)}, page, NULL)").alias(f"_first{i}") for i, k in enumerate(c.firsts)]))
     if c.of("key", "built") or c.patterns:
-        key, value = F.col("key"), F.col("value")
-        holds = {t: key.contains(t[1]) & (F.trim(value) != "") for t in c.of("key")} | {t: (key == "property.constructed") & F.lower(value).isin("true", "yes", "1") for t in c.of("built")}
+        holds = {t: f"contains(key, {quoted(t[1])}) AND trim(value) <> ''" for t in c.of("key")} | {t: "key = 'property.constructed' AND lower(value) IN ('true', 'yes', '1')" for t in c.of("built")}
         if not c.patterns:
             out.append(f.facts.select("case_id", *c.numbers(holds)))
         else:
             # A row for the bits, and one for each pattern that the key has: grouped by value, they count distinct ones.
-            digits, plain = F.regexp_replace(value, "[^0-9]", ""), F.trim(value)
-            counted = [F.when(key.contains(p) & value.isNotNull(), F.struct(F.lit(i).alias("pattern"), (digits if "cnic" in p.lower() else plain).alias("value"))) for i, p in enumerate(c.patterns)]
-            none = F.struct(F.lit(-1).alias("pattern"), F.lit(None).cast("string").alias("value"))
-            rows = f.facts.select("case_id", *c.numbers(holds), F.explode(F.array_compact(F.array(*([none] if holds else []), *counted))).alias("_v"))
+            value = lambda p: "regexp_replace(value, '[^0-9]', '')" if "cnic" in p.lower() else "trim(value)"
+            listed = [*(["named_struct('pattern', -1, 'value', CAST(NULL AS STRING))"] if holds else []), *(f"if(contains(key, {quoted(p)}) AND value IS NOT NULL, named_struct('pattern', {i}, 'value', {value(p)}), NULL)" for i, p in enumerate(c.patterns))]
+            rows = f.facts.select("case_id", *c.numbers(holds), F.expr(f"explode(array_compact(array({', '.join(listed)})))").alias("_v"))
             rows = rows.select("case_id", *c.names, F.col("_v.pattern").alias("_pattern"), F.col("_v.value").alias("_value"))
             values = rows.groupBy("case_id", "_pattern", "_value").agg(*[F.bit_or(n).alias(n) for n in c.names]) if c.names else rows.distinct()
             out.append(values.drop("_value"))
     return out
 
 
-def _fires(r: Rule, c: _Conditions) -> tuple[Column, Column]:
-    """Whether a rule fires on a case, and its evidence."""
-    nothing = F.lit(None).cast("string")
-    lacks = ~c.any("type", *(q.lower() for q in r.required)) if r.evaluator in ("missing_evidence", "constructed_gate") else None
+def _fires(r: Rule, c: _Conditions) -> tuple[str, str]:
+    """Whether a rule fires on a case, and its evidence, both in SQL."""
+    nothing = "CAST(NULL AS STRING)"
+    lacks = f"NOT {c.any('type', *(q.lower() for q in r.required))}" if r.evaluator in ("missing_evidence", "constructed_gate") else ""
     match r.evaluator:
         case "mismatch":  # more than one distinct value under keys with the pattern; identity numbers count by their digits
-            n = F.col(f"_values{c.patterns.index(r.pattern)}")
-            return n > 1, n.cast("string")
+            n = f"_values{c.patterns.index(r.pattern)}"
+            return f"{n} > 1", f"CAST({n} AS STRING)"
         case "keyword_risk":
-            listed = [F.when(c.words((k,)), F.lit(k)) for k in sorted(set(r.keywords))]
-            return c.words(r.keywords), F.concat_ws(", ", *listed)
+            listed = [f"if({c.words((k,))}, {quoted(k)}, NULL)" for k in sorted(set(r.keywords))]
+            return c.words(r.keywords), f"concat_ws(', ', {', '.join(listed)})" if listed else nothing
         case "constructed_gate":  # built by the dossier or a page, and no required type is there
-            return (c.any("built", "") | c.words(r.indicators)) & lacks, nothing
+            return f"({c.any('built', '')} OR {c.words(r.indicators)}) AND {lacks}", nothing
         case "timeline_gap":  # kept for its name: it never fires
-            return F.lit(False), nothing
+            return "FALSE", nothing
         case "verification_check":  # not verified, and a key with a value or a keyword calls for it; evidence is the first such page
-            called = c.any("key", *r.keys) | c.words(r.keywords)
-            first = F.col(f"_first{c.firsts.index(r.keywords)}").cast("string") if r.keywords else nothing
-            return called & ~c.any("check", (r.kind, "Verified")), F.concat_ws(" ", F.concat(F.lit("page "), first), F.when(c.any("check", (r.kind, "Failed")), "failed"))
+            called = f"({c.any('key', *r.keys)} OR {c.words(r.keywords)})"
+            first = f"concat('page ', _first{c.firsts.index(r.keywords)})" if r.keywords else nothing
+            return f"{called} AND NOT {c.any('check', (r.kind, 'Verified'))}", f"concat_ws(' ', {first}, if({c.any('check', (r.kind, 'Failed'))}, 'failed', NULL))"
         case _:  # missing_evidence: no required type is among the case's; without required types it always fires
             return lacks, nothing
 
@@ -252,9 +247,9 @@ def evaluate(rules: list[Rule], f: Facts) -> DataFrame:
     for r in rules:
         fires, evidence = _fires(r, c)
         gate = required_regimes(r)
-        allowed = F.col("_regime").isin(gate) if gate else F.lit(True)
-        listed.append(F.when(allowed & fires, F.struct(F.lit(r.id).alias("rule_id"), evidence.alias("evidence"), F.lit(r.severity).alias("severity"))))
-    return cases.select("case_id", F.explode(F.array_compact(F.array(*listed))).alias("_r")).select("case_id", "_r.rule_id", "_r.evidence", "_r.severity")
+        allowed = f"_regime IN ({', '.join(map(quoted, gate))}) AND " if gate else ""
+        listed.append(f"if({allowed}{fires}, named_struct('rule_id', {quoted(r.id)}, 'evidence', {evidence}, 'severity', {quoted(r.severity)}), NULL)")
+    return cases.select("case_id", F.expr(f"explode(array_compact(array({', '.join(listed)})))").alias("_r")).select("case_id", "_r.rule_id", "_r.evidence", "_r.severity")
 
 
 def replace_open(old: DataFrame, fired: DataFrame) -> DataFrame:

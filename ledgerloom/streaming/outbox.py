@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -95,7 +95,7 @@ def attempts(events: DataFrame, fails: Column) -> DataFrame:
     tries = F.transform(F.sequence(F.lit(1), F.least(fails + 1, F.lit(MAX_ATTEMPTS))), lambda k: F.struct(k.alias("attempt"), F.aggregate(F.slice(waits, F.lit(1), k - 1), F.lit(0), lambda a, w: a + w).alias("wait")))
     x = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), fails.alias("fails"), F.explode(tries).alias("t"))
     status = F.when(F.col("t.attempt") > F.col("fails"), "Done").when(F.col("t.attempt") >= MAX_ATTEMPTS, "Failed").otherwise("Pending")
-    return x.select("event_id", "t.attempt", F.timestamp_micros(F.unix_micros("ts") + F.col("t.wait") * 1_000_000).alias("at"), status.alias("status"))
+    return x.select("event_id", "t.attempt", F.timestamp_micros(F.unix_micros("ts") + F.col("t.wait").cast("long") * 1_000_000).alias("at"), status.alias("status"))
 
 
 @contextmanager
@@ -140,23 +140,19 @@ def delivered(deliver: Callable[[int, int, int], bool]) -> type:
                     self.handle.registerTimer(at)
                     return
 
-        def rows(self, made: Iterator[tuple]):
-            import pandas as pd
-
-            pdf = pd.DataFrame(list(made), columns=["event_id", "attempt", "at", "status"])
-            pdf["at"] = pd.to_datetime(pdf["at"], unit="ms")
-            return pdf.astype({"attempt": "int32"})
+        def rows(self, made: Iterator[tuple]) -> Iterator[Row]:
+            for key, done, at, status in made:
+                yield Row(event_id=key, attempt=done, ms=at, status=status)
 
         def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  the interface's names
-            for pdf in rows:
-                for fails, ts in zip(pdf["fails"], pdf["ts"]):
-                    if not self.state.exists():
-                        yield self.rows(self.attempt(int(key[0]), int(fails), 0, ts.value // 1_000_000, timerValues.getCurrentWatermarkInMs()))
+            for row in rows:
+                if not self.state.exists():
+                    yield from self.rows(self.attempt(key[0], row.fails, 0, row.ms, timerValues.getCurrentWatermarkInMs()))
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
             if self.state.exists():
                 done, fails = self.state.get()
-                yield self.rows(self.attempt(int(key[0]), int(fails), int(done), expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()))
+                yield from self.rows(self.attempt(key[0], fails, done, expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()))
 
         def close(self) -> None:
             pass
@@ -169,8 +165,9 @@ def timed_retries(events: DataFrame, deliver: Callable[[int, int, int], bool], l
 
     Run it under rocksdb(); it continues from its checkpoint, timers included.
     """
-    keyed = events.withWatermark("ts", late).groupBy("event_id")
-    return keyed.transformWithStateInPandas(delivered(deliver)(), ATTEMPT, "Append", "EventTime")
+    keyed = events.withWatermark("ts", late).withColumn("ms", F.unix_millis("ts")).groupBy("event_id")
+    made = keyed.transformWithState(delivered(deliver)(), "event_id long, attempt int, ms long, status string", "Append", "EventTime")
+    return made.select("event_id", "attempt", F.timestamp_millis("ms").alias("at"), "status")
 
 
 def claim_into(path: str, now: Column) -> Callable[[DataFrame, int], None]:

@@ -58,13 +58,13 @@ def random_pack(rng, words):
 def test_pack_equals_single_rules(spark, monkeypatch, seed, many):
     monkeypatch.setattr(R, "MANY_WORDS", many)  # keywords by automaton, or one by one
     rng = random.Random(seed)
-    words = ["ab", "BA", "aab", "b", "zz", "Abab"]
+    words = ["ab", "BA", "aab", "b", "zz", "Abab", "b'a\\"]
     pick = lambda *values: rng.choice(values)
     given = {
         "cases": [(c, pick("LDA", "dha", "RUDA", None)) for c in range(30)],
         "facts": [(rng.randint(0, 33), pick("party.cnic", "CNIC.x", "registry.number", "name", "property.constructed", None), pick("1-2", "12", " a", "a", "", "yes", None)) for _ in range(150)],
         "documents": [(rng.randint(0, 33), pick("Sale Deed", "MAP", "cnic", "photo", None)) for _ in range(40)],
-        "pages": [(rng.randint(0, 33), p, pick(None, "".join(rng.choice("abAB ") for _ in range(6)))) for p in range(80)],
+        "pages": [(rng.randint(0, 33), p, pick(None, "".join(rng.choice("abAB '\\") for _ in range(6)))) for p in range(80)],
         "checks": [(rng.randint(0, 33), pick("registry", "rod"), pick("Verified", "Failed", "Pending")) for _ in range(30)],
     }
     f = R.Facts(**{k: spark.createDataFrame(v, SCHEMAS[k]) for k, v in given.items()})
