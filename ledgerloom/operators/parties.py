@@ -34,8 +34,20 @@ URDU_STOPS = (
 ENGLISH_STOPS = (
     "s/o", "d/o", "w/o", "c/o", "son of", "daughter of", "wife of", "resident", "cnic", "nic", "address", "district", "tehsil", "executed by", "witness", "vendor", "vendee", "signature", "signed", "sealed",
 )
+#: A page's labels of a role, and what ends a name after one; the first label of a list that a line has counts.
+PAGE_LABELS = {
+    "seller": (("بائع", "فروشندہ", "نام بائع", "نامِ بائع", "نام مالک", "مالک", "فروخت کنندہ"), "CNIC|شناختی|کارڈ|خریدار|مشتری|گواہ"),
+    "buyer": (("مشتری", "خریدار", "نام مشتری", "نامِ مشتری", "نام خریدار"), "CNIC|شناختی|کارڈ|گواہ|فروخت"),
+    "witness": (("گواہ", "گواہان", "نام گواہ", "گواہ نمبر", "شاہد"), "CNIC|شناختی|کارڈ|Property"),
+}
+#: Words that mark a page as one of a role.
+PAGE_MARKS = {"seller": ("فروشندہ", "بائع", "فروخت کنندہ", "مالک"), "buyer": ("مشتری", "خریدار", "خرید کنندہ"), "witness": ("گواہان", "گواہ", "گواہ نمبر", "شاہد")}
+#: Words of organisations, and phrases that no organisation's name has.
+ORGANISATIONS = ("bank", "ltd", "limited", "pvt", "private", "company", "co", "corp", "corporation", "society", "association", "trust", "foundation", "group", "holdings", "بینک", "لمیٹڈ", "پرائیویٹ", "کمپنی", "کارپوریشن", "سوسائٹی", "ٹرسٹ")
+NARRATIVE = ("executed by", "in witness", "witness whereof", "witnesses named", "appears", "vide", "in this regard", "competent", "lawful")
 LEAST_SCORE = 0.65
-SECTION_LINES, ANCHOR_LINES, LOOK_AHEAD, WITNESSES = 30, 25, 3, 3
+SECTION_LINES, ANCHOR_LINES, LOOK_AHEAD, PAGE_AHEAD, MARK_AHEAD, WITNESSES = 30, 25, 3, 6, 10, 3
+METHODS = ("labelled", "page_label", "page_mark", "section", "page_order", "order", "anchor")
 CNIC = "[0-9]{5}[- ]?[0-9]{7}[- ]?[0-9]"
 _SCRIPT = "\\u0600-\\u06FF\\u0750-\\u077F\\u08A0-\\u08FF"
 
@@ -119,6 +131,35 @@ def is_name(line: Column) -> Column:
     return F.coalesce((F.trim(line) != "") & ~blocked & (two | (name_score(line) >= LEAST_SCORE)), F.lit(False))
 
 
+def is_organisation(text: Column) -> Column:
+    """Named as an organisation, and not a sentence about one."""
+    s = squeeze(text)
+    solid = F.regexp_replace(s, "\\s", "")
+    letters = F.length(F.regexp_replace(solid, "\\P{L}", "")) / F.greatest(F.length(solid), F.lit(1))
+    return F.coalesce(_has(F.lower(s), ORGANISATIONS) & ~_has(F.lower(s), NARRATIVE) & ~s.rlike("[!?]|(\\..*){6}") & (letters >= 0.5) & F.length(s).between(3, 120), F.lit(False))
+
+
+def is_person(text: Column) -> Column:
+    """A name, and not an organisation's."""
+    return is_name(text) & (F.length(squeeze(text)) >= 3) & ~F.coalesce(_has(F.lower(text), (*ORGANISATIONS, "branch", "act", "برانچ")), F.lit(False))
+
+
+def after_label(line: Column, form: Column, role: str) -> Column:
+    """The name that follows the role's label and a colon in a line, or null."""
+    labels, stops = PAGE_LABELS[role]
+    label = F.try_element_at(F.filter(F.array(*[F.lit(w) for w in labels]), _contained_in(form)), F.lit(1))
+    rest = F.substring(line, F.instr(form, label) + F.length(label), F.length(line))
+    name = F.regexp_extract(F.trim(rest), f"(?i)[:،]\\s*(.+?)(?:$|{stops})", 1)
+    name = F.trim(F.regexp_replace(F.regexp_replace(F.trim(name), "^نام(\\s*بمعہ\\s+ولدیت)?\\s*[:،]\\s*", ""), f"(?i)\\s*(?:{stops.partition('|')[2]}).*$", ""))
+    return F.when(label.isNotNull() & (F.length(name) > 2), name)
+
+
+def below_label(line: Column) -> Column:
+    """What a line under a label offers as a name: what follows its own word for name, or the line."""
+    own = F.trim(F.regexp_extract(line, "(?i)نام\\s*(?:بمعہ\\s+ولدیت)?\\s*[:،]\\s*(.+?)(?:$|CNIC|شناختی|کارڈ)", 1))
+    return F.when(own != "", own).otherwise(F.trim(line))
+
+
 def vendor_and_vendee(text: Column) -> Column:
     """(seller, buyer) of "between .. (hereinafter called .. vendor) and .. (hereinafter called .. vendee)", where they can be names."""
     called = lambda who: f"\\([^)]*hereinafter[^)]*called[^)]*{who}[^)]*\\)"
@@ -137,51 +178,109 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", made.alias("_m")).select(*df.columns, *[F.col(f"_m.{k}").alias(k) for k in columns])
 
 
+def _first(*found: Column) -> Column:
+    return F.coalesce(*found) if found else F.lit(None)
+
+
 def party_roles(lines: DataFrame) -> DataFrame:
     """(doc_id, role, names, method) of sale deeds.
 
-    Four ways of finding names, of which each role takes the first that has
-    any: labelled fields within a section, persons with an identity number
-    under the nearest heading before them (fewer than 25 lines), the order of
-    persons with a number (first seller, second buyer, then witnesses), and
-    lines at English anchors.  Names are unique without regard to case, in
-    order of their lines, at most three witnesses, joined by "; ".
+    Seven ways of finding names:
+
+    * page_label: a page's line with the role's Urdu label, by the name after
+      it or the first party in the six lines below; the first such page counts.
+    * page_mark: pages with an Urdu mark of the role.  Sellers and buyers are
+      the first party in the ten lines after the mark, witnesses the persons
+      with an identity number on those pages; only in documents with numbers.
+    * labelled: labelled fields within a section.
+    * section: persons with a number under the nearest Urdu heading before
+      them, fewer than 25 lines away.
+    * page_order: first and second person with a number on page 1, if it has two.
+    * order: first, second and further persons with a number in the document.
+    * anchor: names at English anchors.
+
+    A role takes the first way that has any, in the order of METHODS: labelled
+    fields overwrite both page ways, but where these have found all three roles
+    they aren't looked at.  Names are unique without regard to case, in order
+    of their lines, at most three witnesses, joined by "; ".
     """
     deeds = lines.groupBy("doc_id").agg(F.max(is_sale_deed(F.col("line"))).alias("deed")).where("deed").select("doc_id")
-    text = F.col("line")
+    text, form = F.col("line"), F.col("form")
+    roles = list(PAGE_LABELS)
     inline = F.nullif(F.trim(F.regexp_extract(text, "[:،]\\s*(.+?)(?:\\s*$|[,;])", 1)), F.lit(""))
     x = lines.join(deeds, "doc_id", "left_semi").where(F.trim("line") != "").select("doc_id", "page", "line_no", "line", section_of(text).alias("role"), matching_form(text).alias("form"), inline.alias("inline"))
-    # What a line and its inline part are as names is found once, in generators, so that the tests aren't copied into each use.
-    x = _once(x, own=clean_name(text), part=clean_name(F.col("inline")))
-    x = _once(x, own_ok=is_name(F.col("own")), part_ok=is_name(F.col("part")))
+    # What a line and its parts are as names is found once, in generators, so that the tests aren't copied into each use.
+    x = _once(x, own=clean_name(text), part=clean_name(F.col("inline")), below=below_label(text), shown=F.trim(F.split_part(text, F.lit(","), F.lit(1))), **{f"after_{r}": after_label(text, form, r) for r in roles})
+    x = _once(x, own_ok=is_name(F.col("own")), part_ok=is_name(F.col("part")), below_person=is_person(F.col("below")), below_party=is_person(F.col("below")) | is_organisation(F.col("below")), line_party=(is_person(text) | is_organisation(text)) & F.length("shown").between(4, 199))
     w = Window.partitionBy("doc_id").orderBy("line_no")
     page = Window.partitionBy("doc_id", "page").orderBy("line_no")
-    me = F.struct("line", "own", "own_ok")
-    x = x.withColumns({f"next{k}": F.lead(me, k).over(w) for k in range(1, LOOK_AHEAD + 1)} | {"before": F.lag(me).over(w), "section": F.last("role", True).over(page), "since": F.last(F.when(F.col("role").isNotNull(), F.col("line_no")), True).over(page)})
-    part = F.when(F.col("inline").isNotNull(), F.struct(F.col("inline").alias("line"), F.col("part").alias("own"), F.col("part_ok").alias("own_ok")))
-
-    # The four ways, all on the same window.
-    label = F.col("form").rlike("نام\\s*،|نام\\s+بمعہ?\\s+ولدیت") | ((F.length("form") < 50) & F.col("form").rlike("name\\s+with\\s+father"))
-    labelled = F.when(label & (F.col("line_no") - F.col("since") <= SECTION_LINES), F.coalesce(part, F.when(F.length(F.trim("next1.line")) >= 3, F.col("next1"))))
-    best = F.when(F.col("own_ok"), me).when(F.col("before.own_ok"), F.col("before")).otherwise(F.col("next1"))
+    me = F.struct("page", "line_no", "line", "own", "own_ok", "below", "below_person", "below_party", "shown", "line_party")
+    marked = {f"has_{r}": F.lit(False) for r in roles}
+    for r in roles:
+        for word in PAGE_MARKS[r]:
+            marked[f"has_{r}"] = marked[f"has_{r}"] | form.contains(word)
+    x = x.withColumns(marked)
+    x = x.withColumns(
+        {f"next{k}": F.lead(me, k).over(w) for k in range(1, MARK_AHEAD + 1)}
+        | {"before": F.lag(me).over(w), "section": F.last("role", True).over(page), "since": F.last(F.when(F.col("role").isNotNull(), F.col("line_no")), True).over(page)}
+        | {f"nth_{r}": F.count(F.when(F.col(f"has_{r}"), 1)).over(page) for r in roles}
+        | {"witness_page": F.max("has_witness").over(Window.partitionBy("doc_id", "page")), "numbers": F.max(text.rlike(CNIC)).over(Window.partitionBy("doc_id"))}
+    )
+    part = F.when(F.col("inline").isNotNull(), F.struct(F.col("part").alias("own"), F.col("part_ok").alias("own_ok")))
+    named = lambda c: F.struct(c["own"].alias("own"), c["own_ok"].alias("own_ok"))
+    sure = lambda name, ok: F.when(ok, F.struct(squeeze(name).alias("own"), F.lit(True).alias("own_ok")))
+
+    # Labels and marks of pages: a line's own name, or the first fitting line near it on the page.
+    near = [F.col(f"next{k}") for k in range(1, MARK_AHEAD + 1)]
+    label_ways, mark_ways = {}, {}
+    for r in roles:
+        kind = "below_person" if r == "witness" else "below_party"
+        after = F.col(f"after_{r}")
+        ok = is_person(after) if r == "witness" else is_person(after) | is_organisation(after)
+        has = F.lit(False)
+        for word in PAGE_LABELS[r][0]:
+            has = has | form.contains(word)
+        label_ways[r] = F.when(has, _first(sure(after, ok), *[sure(n["below"], (n["page"] == F.col("page")) & n[kind] & (F.length(n["below"]) > 2)) for n in near[:PAGE_AHEAD]]))
+        if r != "witness":
+            mark_ways[r] = F.when(F.col(f"has_{r}") & (F.col(f"nth_{r}") == 1) & F.col("numbers"), _first(*[sure(n["shown"], (n["page"] == F.col("page")) & (n["line_no"] - F.col("line_no") <= MARK_AHEAD) & n["line_party"]) for n in near]))
+
+    label = form.rlike("نام\\s*،|نام\\s+بمعہ?\\s+ولدیت") | ((F.length("form") < 50) & form.rlike("name\\s+with\\s+father"))
+    labelled = F.when(label & (F.col("line_no") - F.col("since") <= SECTION_LINES), F.coalesce(part, F.when(F.length(F.trim("next1.line")) >= 3, named(F.col("next1")))))
+    best = F.when(F.col("own_ok"), named(me)).when(F.col("before.own_ok"), named(F.col("before"))).otherwise(named(F.col("next1")))
     person = F.when(text.rlike(CNIC) & F.coalesce(best["own_ok"], F.lit(False)), best)
     anchor = F.when(F.lower(text).rlike("\\b(seller|vendor)\\b"), "seller").when(F.lower(text).rlike("\\b(buyer|purchaser|vendee)\\b"), "buyer").when(F.lower(text).rlike("\\bwitness(es)?\\b"), "witness")
     heading = "\\b(seller|buyer|witness|vendor|purchaser)\\b"
-    ahead, open_ = None, F.lit(True)
-    for k in range(1, LOOK_AHEAD + 1):
-        near = F.col(f"next{k}")
-        open_ = open_ & ~F.coalesce(F.lower(near["line"]).rlike(heading), F.lit(False))
-        one = F.when(open_ & near["own_ok"], near)
-        ahead = one if ahead is None else F.coalesce(ahead, one)
-    x = _once(x, labelled=labelled, person=person, anchor=anchor, anchored=F.coalesce(part, ahead))
+    ahead, open_ = [], F.lit(True)
+    for n in near[:LOOK_AHEAD]:
+        open_ = open_ & ~F.coalesce(F.lower(n["line"]).rlike(heading), F.lit(False))
+        ahead.append(F.when(open_ & n["own_ok"], named(n)))
+    x = _once(x, labelled=labelled, person=person, anchor=anchor, anchored=F.coalesce(part, *ahead), **{f"label_{r}": c for r, c in label_ways.items()}, **{f"mark_{r}": c for r, c in mark_ways.items()})
+    urdu = F.lit(False)
+    for _, words, _ in MARKERS:
+        urdu = urdu | _has(form, words)
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumns({"mark": F.last(F.when(F.col("role").isNotNull(), F.struct("line_no", "role")), True).over(earlier), "nth": F.count("person").over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    x = x.withColumns({
+        "mark": F.last(F.when(F.col("role").isNotNull() & urdu, F.struct("line_no", "role")), True).over(earlier),
+        "nth": F.count("person").over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        "nth_page": F.count("person").over(page.rowsBetween(Window.unboundedPreceding, 0)),
+        "on_page": F.count("person").over(Window.partitionBy("doc_id", "page")),
+    })
     under = F.when(F.col("line_no") - F.col("mark.line_no") < ANCHOR_LINES, F.col("mark.role"))
+    two = F.when((F.col("page") == 1) & (F.col("on_page") >= 2), F.when(F.col("nth_page") == 1, "seller").when(F.col("nth_page") == 2, "buyer"))
     order = F.when(F.col("nth") == 1, "seller").when(F.col("nth") == 2, "buyer").otherwise("witness")
-    ways = [("labelled", F.col("section"), F.col("labelled")), ("section", under, F.col("person")), ("order", order, F.col("person")), ("anchor", F.col("anchor"), F.col("anchored"))]
-    found = F.array(*[F.struct(F.lit(i).alias("tier"), F.lit(m).alias("method"), role.alias("role"), name["own"].alias("name"), name["own_ok"].alias("ok")) for i, (m, role, name) in enumerate(ways)])
+    person_here = F.when(F.col("witness_page") & is_person(F.col("person.own")), F.col("person"))
+    ways = [
+        *(("page_label", F.lit(r), F.col(f"label_{r}")) for r in roles),
+        *(("page_mark", F.lit(r), F.col(f"mark_{r}")) for r in mark_ways), ("page_mark", F.lit("witness"), person_here),
+        ("labelled", F.col("section"), F.col("labelled")), ("section", under, F.col("person")), ("page_order", two, F.col("person")), ("order", order, F.col("person")), ("anchor", F.col("anchor"), F.col("anchored")),
+    ]
+    found = F.array(*[F.struct(F.lit(METHODS.index(m)).alias("tier"), F.lit(m).alias("method"), role.alias("role"), name["own"].alias("name"), name["own_ok"].alias("ok")) for m, role, name in ways])
     every = x.select("doc_id", "line_no", F.explode(F.filter(found, lambda f: f["ok"] & f["role"].isNotNull())).alias("f")).select("doc_id", "line_no", "f.*")
     unique = every.groupBy("doc_id", "role", "tier", "method", F.lower("name").alias("_key")).agg(F.min(F.struct("line_no", "name")).alias("n"))
     tiers = unique.groupBy("doc_id", "role", "tier", "method").agg(F.transform(F.array_sort(F.collect_list("n")), lambda n: n["name"]).alias("names"))
-    out = tiers.groupBy("doc_id", "role").agg(F.min(F.struct("tier", "method", "names")).alias("best")).select("doc_id", "role", "best", "best.names")
-    return out.select("doc_id", "role", F.array_join(F.when(F.col("role") == "witness", F.slice("names", 1, WITNESSES)).otherwise(F.col("names")), "; ").alias("names"), F.col("best.method").alias("method"))
+    # One of a page way is enough; where these have all roles, labelled fields are left out.
+    paged = F.size(F.collect_set(F.when(F.col("method").isin("page_label", "page_mark"), F.col("role"))).over(Window.partitionBy("doc_id"))) == len(roles)
+    tiers = tiers.withColumn("paged", paged).where("NOT (paged AND method = 'labelled')")
+    out = tiers.groupBy("doc_id", "role").agg(F.min(F.struct("tier", "method", "names")).alias("best")).select("doc_id", "role", "best.method", "best.names")
+    one = (F.col("method") == "page_label") | ((F.col("method") == "page_mark") & (F.col("role") != "witness"))
+    return out.select("doc_id", "role", F.array_join(F.when(one, F.slice("names", 1, 1)).when(F.col("role") == "witness", F.slice("names", 1, WITNESSES)).otherwise(F.col("names")), "; ").alias("names"), "method")
