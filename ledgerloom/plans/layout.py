@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Tables
 from ..functions import dates as D
+from ..operators import hints as H
 from ..operators import layout as L
 from ..registry import query
 
@@ -104,10 +105,11 @@ def _named(months: dict[str, int], branch: int) -> str:
     return f"SELECT o_orderkey, {branch} AS b, n, CASE WHEN {day} BETWEEN 1 AND 31 THEN right(h.raw, 4) || '-' || lpad(CAST({_month_case(months)} AS VARCHAR), 2, '0') || '-' || lpad(CAST({day} AS VARCHAR), 2, '0') END AS value, h.raw AS raw, h.line AS line, 'high' AS confidence, {day} BETWEEN 1 AND 31 AS ok FROM f{branch}"
 
 
-_HINTS = f"""WITH t AS (SELECT * FROM {_NOTE} q), {', '.join(f"f{i} AS (SELECT o_orderkey, unnest(hits) AS h, unnest(range(len(hits))) AS n FROM (SELECT o_orderkey, {_found(p)} AS hits FROM t))" for i, p in enumerate((D.ISO, D.NUMERIC, D.named(D.URDU_MONTHS), D.named(D.ENGLISH_MONTHS))))},
+_DATES = f"""{', '.join(f"f{i} AS (SELECT o_orderkey, unnest(hits) AS h, unnest(range(len(hits))) AS n FROM (SELECT o_orderkey, {_found(p)} AS hits FROM t))" for i, p in enumerate((D.ISO, D.NUMERIC, D.named(D.URDU_MONTHS), D.named(D.ENGLISH_MONTHS))))},
     a AS (SELECT o_orderkey, 0 AS b, n, h.raw AS value, h.raw AS raw, h.line AS line, 'high' AS confidence, CAST(h.raw[6:7] AS INTEGER) BETWEEN 1 AND 12 AND CAST(h.raw[9:10] AS INTEGER) BETWEEN 1 AND 31 AS ok FROM f0
         UNION ALL SELECT o_orderkey, 1, n, CASE WHEN {_DAY} > 12 OR {_MONTH} > 12 THEN right(h.raw, 4) || '-' || {_MDY} END, h.raw, h.line, CASE WHEN {_DAY} > 12 OR {_MONTH} > 12 THEN 'high' ELSE 'low' END, CASE WHEN {_DAY} > 12 THEN {_MONTH} BETWEEN 1 AND 12 AND {_DAY} <= 31 WHEN {_MONTH} > 12 THEN {_DAY} >= 1 ELSE TRUE END FROM f1
-        UNION ALL {_named(D.URDU_MONTHS, 2)} UNION ALL {_named(D.ENGLISH_MONTHS, 3)})
+        UNION ALL {_named(D.URDU_MONTHS, 2)} UNION ALL {_named(D.ENGLISH_MONTHS, 3)})"""
+_HINTS = f"""WITH t AS (SELECT * FROM {_NOTE} q), {_DATES}
     SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY b, n) - 1 AS INTEGER) AS hint, value, raw, CAST(line AS INTEGER) AS line, confidence FROM (SELECT * FROM a WHERE ok QUALIFY row_number() OVER (PARTITION BY o_orderkey, coalesce(value, raw) ORDER BY b, n) = 1)"""
 
 
@@ -128,3 +130,34 @@ def date_hint_rows(t: Tables) -> DataFrame:
     )
     notes = t.raw("orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("t")).select("o_orderkey", note.alias("note"))
     return notes.select("o_orderkey", F.posexplode(D.date_hints(F.col("note"))).alias("hint", "h")).select("o_orderkey", "hint", "h.*")
+
+
+# --- hints in deeds ---
+#: A deed's sentences: {a} is the order's number, {b} its customer's; each stands in the deeds whose number its divisor divides.
+SENTENCES = [
+    (1, "Khewat No. {b}\n"), (2, "{a} khewat, Khatoni: {b}\n\n"), (3, "{b} to {a} Khatoni of khasra 12/{b}\n"), (4, "\u06a9\u06be\u0627\u062a\u06c1 {a} \u062e\u0633\u0631\u06c1 {b}/7 \u0627\u0646\u062a\u0642\u0627\u0644 {b}\n"), (5, "Mutation-{b} and 77 intiqal\n"), (6, "4 kanal {b} marla, 5 KANAL 6 Marla\n"),
+    (7, "{b} sq. ft. or 900 sqft\n"), (8, "35202-1234567-{d} again 352021234567{d}\n"), (9, "id 9876543210123 on 2020-05-17, 3.4.2021 4/5/2021\n"), (10, "31 dec 2019 11 \u06a9\u0646\u0627\u0644 3 \u0645\u0631\u0644\u06c1 "), (11, "no 123456789012345 and Khewat No. {b}"),
+]
+_DEED_SQL = "(SELECT o_orderkey, " + " || ".join(f"CASE WHEN o_orderkey % {n} = 0 THEN replace(replace(replace('{x}', '{{a}}', CAST(o_orderkey AS VARCHAR)), '{{b}}', CAST(o_custkey AS VARCHAR)), '{{d}}', CAST(o_custkey % 10 AS VARCHAR)) ELSE '' END" for n, x in SENTENCES) + " AS x FROM orders)"
+
+
+def _value(pattern: str, groups: str) -> str:
+    return " || '-' || ".join(f"regexp_extract(h.raw, '(?i){pattern}', {g})" for g in groups.split("-")) if groups else "CAST(NULL AS VARCHAR)"
+
+
+_FAMILIES = [*((i, *f) for i, f in enumerate(H.NUMBERS)), *((i + 10, *f) for i, f in enumerate(H.REFERENCES))]
+_DOMAIN = f"""WITH t AS (SELECT * FROM {_DEED_SQL} q), {_DATES}, {', '.join(f"g{i} AS (SELECT o_orderkey, unnest(hits) AS h, unnest(range(len(hits))) AS n FROM (SELECT o_orderkey, {_found(p)} AS hits FROM t))" for i, _, p, _, _ in _FAMILIES)},
+    e AS (SELECT o_orderkey, 5 AS f, b * 1000 + n AS n, 'date' AS type, value, raw, line, confidence FROM (SELECT * FROM a WHERE ok QUALIFY row_number() OVER (PARTITION BY o_orderkey, coalesce(value, raw) ORDER BY b, n) = 1)
+        {' '.join(f"UNION ALL SELECT o_orderkey, {i}, n, '{kind}', {_value(p, g)}, h.raw, h.line, '{c}' FROM g{i}" for i, kind, p, g, c in _FAMILIES)}),
+    u AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY o_orderkey, type, coalesce(value, '') ORDER BY f, n) = 1)
+    SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY f, n) - 1 AS INTEGER) AS hint, type, value, raw, CAST(line AS INTEGER) AS line, confidence FROM u QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY f, n) <= 100"""
+
+
+@query("X10b_domain_hint_rows", _DOMAIN)
+def domain_hint_rows(t: Tables) -> DataFrame:
+    """A row for each hint of all types, in deeds written from the orders' numbers."""
+    key, who = F.col("o_orderkey"), F.col("o_custkey")
+    fill = lambda x: F.replace(F.replace(F.replace(F.lit(x), F.lit("{a}"), key.cast("string")), F.lit("{b}"), who.cast("string")), F.lit("{d}"), (who % 10).cast("string"))
+    deed = F.concat(*[F.when(key % n == 0, fill(x)).otherwise("") for n, x in SENTENCES])
+    found = t.raw("orders").select("o_orderkey", F.posexplode(H.domain_hints(deed)).alias("hint", "h"))
+    return found.select("o_orderkey", "hint", "h.*")
