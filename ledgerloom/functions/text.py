@@ -1,12 +1,14 @@
-"""Text functions as Column expressions; what no built-in does exactly is an Arrow pandas UDF."""
+"""Text functions as Column expressions; what no built-in does exactly runs over Arrow arrays."""
 
 from __future__ import annotations
 
 import hashlib
 import re
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -91,9 +93,26 @@ def unit_confidence(c: Column) -> Column:
     return F.when(c < 0, None).when((c > 1.5) & (c <= 100), c / 100).when(c > 100, F.least(c / 10000 * 100, F.lit(1.0))).otherwise(F.least(c, F.lit(1.0)))
 
 
-@F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+def _some(texts: pa.Array, which: pa.Array, change: Callable[[str], str]) -> pa.Array:
+    """The batch with change() in the texts that `which` marks; the others pass as they are, and null ones."""
+    hit = pc.fill_null(which, False)
+    if not pc.any(hit).as_py():
+        return texts
+    return pc.replace_with_mask(texts, hit, pa.array([change(x) for x in texts.filter(hit).to_pylist()], texts.type))
+
+
+def _normalized(texts: pa.Array, form: str) -> pa.Array:
+    """ASCII texts are normal in every form.  (Arrow's own utf8_normalize leaves composed forms decomposed.)"""
+    return _some(texts, pc.invert(pc.string_is_ascii(texts)), lambda x: unicodedata.normalize(form, x))
+
+
+@F.arrow_udf(StringType())
+def nfkc(texts: pa.Array) -> pa.Array:
+    return _normalized(texts, "NFKC")
+
+
+#: What the first byte of every letter of Arabic script looks like when it is decoded wrongly.
+BROKEN = "[ØÙÚÛÝàï]"
 
 
 def repaired(x: str | None) -> str | None:
@@ -111,16 +130,21 @@ def repaired(x: str | None) -> str | None:
     return x
 
 
-@F.pandas_udf(StringType())
-def repair(s: pd.Series) -> pd.Series:
-    return s.map(repaired)
+def _repaired(texts: pa.Array) -> pa.Array:
+    """repaired() of the texts that have a broken letter."""
+    return _some(texts, pc.match_substring_regex(texts, BROKEN), repaired)
+
+
+@F.arrow_udf(StringType())
+def repair(texts: pa.Array) -> pa.Array:
+    return _repaired(texts)
 
 
-@F.pandas_udf(StringType())
-def persistable(s: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def persistable(texts: pa.Array) -> pa.Array:
     """Control characters but line ends and tabs out, NFC, repaired."""
-    keep = re.compile("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]")
-    return s.map(lambda x: None if x is None else repaired(unicodedata.normalize("NFC", keep.sub("", x))))
+    clean = pc.replace_substring_regex(texts, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", "")
+    return _repaired(_normalized(clean, "NFC"))
 
 
 def for_matching(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Tables
 from ..functions import dates as D
+from ..functions.text import repair
 from ..operators import hints as H
 from ..operators import layout as L
 from ..registry import query
@@ -132,6 +133,21 @@ def date_hint_rows(t: Tables) -> DataFrame:
     return notes.select("o_orderkey", F.posexplode(D.date_hints(F.col("note"))).alias("hint", "h")).select("o_orderkey", "hint", "h.*")
 
 
+_DEED_TEXT = "(SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'plain ' || o_custkey ELSE 'فرد ' || o_orderkey || chr(10) || 'کھاتہ نمبر ' || o_custkey END AS x FROM orders)"
+
+
+def _deed_text(t: Tables):
+    n, who = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    return F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("plain "), who)).otherwise(F.concat(F.lit("فرد "), n, F.lit("\nکھاتہ نمبر "), who))
+
+
+@query("T06b_repaired_notes", f"SELECT o_orderkey, x AS v FROM {_DEED_TEXT} q")
+def repaired_notes(t: Tables) -> DataFrame:
+    """Notes with Urdu words, read as Latin-1 by mistake, are as they were."""
+    broken = F.decode(F.encode(_deed_text(t), "UTF-8"), "ISO-8859-1")
+    return t.raw("orders").select("o_orderkey", repair(broken).alias("v"))
+
+
 # --- hints in deeds ---
 #: A deed's sentences: {a} is the order's number, {b} its customer's; each stands in the deeds whose number its divisor divides.
 SENTENCES = [

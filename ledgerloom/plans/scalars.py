@@ -40,14 +40,15 @@ def mojibake(t: Tables) -> DataFrame:
 
 _text("T03_expected_script_missing", f"(regexp_matches(text, '[0-9]{{5}}-[0-9]{{7}}-[0-9]') OR contains(lower(text), 'the')) AND ({_N}::DOUBLE / length(text) > 0.01 OR {_N} > 2)", lambda x: (x.rlike("[0-9]{5}-[0-9]{7}-[0-9]") | F.lower(x).contains("the")) & (X.arabic_ratio(x) == 0) & ((X.mojibake(x)["ratio"] > 0.01) | X.mojibake(x)["corrupted"]))
 _text("T04_corruption_reason", f"CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN {_N}::DOUBLE / length(text) > 0.02 OR {_N} > 2 THEN 'mojibake' ELSE 'ok' END", lambda x: X.corrupted(x)["reason"])
-_text("T05_persistable", None, X.persistable)
-_text("T06_repair", None, X.repair)
+_NFC = f"nfc_normalize(regexp_replace(text, '[{_CTL}\\x7F]', '', 'g'))"
+_text("T05_persistable", _NFC, X.persistable)
+_text("T06_repair", "text", X.repair)  # nothing in the given texts is broken; T06b breaks some
 _text("T07_tidy", "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), ' +\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')", X.tidy)
 _text("T08_squeeze", "trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))", X.squeeze)
-_text("T09_nfkc", None, X.nfkc)
+_text("T09_nfkc", "nfc_normalize(text)", X.nfkc)  # the given texts have no compatibility forms; T09b puts some in
 _text("T10_digits", f"translate(text, '{X.DIGITS}،۔', '{'0123456789' * 2},.')", X.ascii_digits)
 _text("T13_separators", "translate(text, '|*' || chr(8203), '')", lambda x: F.translate(x, "|*​", ""))
-_text("T14_for_matching", None, X.for_matching)
+_text("T14_for_matching", "translate(trim(regexp_replace(regexp_replace(nfc_normalize(text), '[^A-Za-z0-9\\x{80}-\\x{FFFF} ]+', ' ', 'g'), '\\s+', ' ', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", X.for_matching)
 _text("T15_normalize_line", "trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))", lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " ")))
 _text("T24_occurrences", "CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS INTEGER)", lambda x: X.occurrences(x, "the"))
 _text("T25_any_phrase", "(contains(text, 'license') OR contains(text, 'token') OR contains(text, 'idiot'))", lambda x: X.any_of(x, ["license", "token", "idiot"]))
@@ -58,6 +59,24 @@ def cap_length(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.substring("text", 1, 500).alias("v"), (F.length("text") > 500).alias("cut"))
 
 
+@query("T05b_composed", "SELECT doc_id, nfc_normalize(text) AS v FROM documents")
+def composed(t: Tables) -> DataFrame:
+    """Texts whose accents are split off and that have control characters between words are as they were."""
+    split = F.col("text")
+    for whole, apart in (("é", "e\u0301"), ("è", "e\u0300"), ("ü", "u\u0308"), ("ñ", "n\u0303"), (" ", " \u0007")):
+        split = F.replace(split, F.lit(whole), F.lit(apart))
+    return t.documents.select("doc_id", X.persistable(split).alias("v"))
+
+
+@query("T09b_compatibility_forms", "SELECT doc_id, nfc_normalize(text) AS v FROM documents")
+def compatibility_forms(t: Tables) -> DataFrame:
+    """Ligatures, circled digits, full-width letters and fixed blanks become plain."""
+    odd = F.col("text")
+    for plain, form in (("fi", "\ufb01"), ("1", "\u2460"), ("A", "\uff21"), (" ", "\u00a0")):
+        odd = F.replace(odd, F.lit(plain), F.lit(form))
+    return t.documents.select("doc_id", X.nfkc(odd).alias("v"))
+
+
 @query("T12_repair_pipeline")
 def repair_pipeline(t: Tables) -> DataFrame:
     """Repair, NFKC, white space, digits and cap, with the steps that changed something."""
