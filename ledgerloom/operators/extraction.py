@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ARABIC, squeeze
@@ -336,3 +336,93 @@ def name_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
     reasons = F.array_compact(F.array(*[F.when(c, n) for n, c in rules]))
     score = F.round(F.least(words / 3, F.lit(1.0)) * 0.5 + F.when(v.rlike("^[A-ZÀ-Þ]"), 0.5).otherwise(0.2), 4)
     return lines.select(*keys, v.alias("value"), ((F.size(reasons) == 0) & (score >= 0.75)).alias("accepted"), score.alias("score"), F.array_join(reasons, ",").alias("reasons"))
+
+
+#: Words that no line of a name has.
+NAME_STOPS = (
+    "appears", "lawful", "owner", "property", "competent", "sell", "vide", "reference", "letter", "regard", "hereby", "whereas", "submitted", "observed", "plot", "khasra", "mouza", "tehsil", "district", "lda", "dha", "rda", "in", "of", "the", "and", "to",
+    "for", "with", "through", "under", "above", "mentioned", "shall", "will", "may", "has", "have", "had", "is", "are", "was", "were", "been", "being", "be", "do", "does", "did", "done", "can", "could", "should", "would", "must", "might", "this", "that",
+    "these", "those", "a", "an", "as", "at", "by", "from", "into", "on", "onto", "per", "than", "up", "via", "within", "without",
+)
+NAME_VERBS = (
+    "appears", "undertakes", "declares", "states", "confirms", "certifies", "submits", "requests", "authorizes", "agrees", "shall", "will", "may", "has", "have", "had", "is", "are", "was", "were", "been", "being", "be", "do", "does", "did", "done",
+    "can", "could", "should", "would", "must", "might", "acknowledges", "warrants", "represents", "covenants",
+)
+KIN = "(?i)^[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*,\\s*(?:son|s/o|d/o|w/o)"
+LEAST_NAME_SCORE = 0.75
+
+
+def scored_name_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, line, accepted, score, flags) of every line that isn't blank.
+
+    Seven filters reject a line, each with its flag; a line that passes them all
+    is scored by its initials, short words and capitals, and is accepted from
+    0.75 on.  Rejected lines that reach the score have it too.
+    """
+    x = lines.select(*keys, F.trim(F.regexp_replace("line", "^\\s+|\\s+$", "")).alias("line")).where("line <> ''")
+    x = x.withColumn("_w", F.filter(F.split("line", "\\s+"), lambda w: w != ""))
+    words, low, n = F.col("_w"), F.transform("_w", F.lower), F.size("_w")
+    letters = F.length(F.regexp_replace("line", "[^\\p{L}\\s]", "")) / F.length("line")
+    filters = [
+        ("too_long", F.length("line") > 60), ("has_digits", F.col("line").rlike("(?U)\\d")), ("has_sentence_punct", F.col("line").rlike("[;:]")), ("has_comma", F.contains("line", F.lit(",")) & ~F.col("line").rlike(KIN)), ("bad_token_count", (n < 2) | (n > 5)),
+        ("has_stopword", F.arrays_overlap(low, F.array(*[F.lit(w) for w in NAME_STOPS]))), ("has_sentence_verb", F.arrays_overlap(low, F.array(*[F.lit(w) for w in NAME_VERBS]))), ("low_alpha_ratio", letters < 0.85),
+    ]
+    hard = F.array_compact(F.array(*[F.when(c, name) for name, c in filters]))
+    single = F.size(F.filter(words, lambda w: F.length(w) == 1))
+    short = F.size(F.filter(words, lambda w: F.length(w) == 2))
+    proper = F.forall(words, lambda w: F.substring(w, 1, 1).rlike("\\p{Lu}"))
+    score = F.lit(1.0) - F.when(single > 1, 0.1 * (single - 1)).otherwise(0.0) - F.when(short > 3, 0.15).otherwise(0.0) + F.when(proper, 0.05).otherwise(0.0)
+    soft = F.array_compact(F.array(F.when(single > 1, "many_initials").when(single == 1, "has_initial"), F.when(short > 3, "many_short_tokens").when(short > 0, "has_short_tokens"), F.when(proper, "proper_case")))
+    x = x.select(*keys, "line", hard.alias("_hard"), F.round(score, 4).alias("_score"), soft.alias("_soft"))
+    passed, enough = F.size("_hard") == 0, F.col("_score") >= LEAST_NAME_SCORE
+    flags = F.when(~passed, F.col("_hard")).when(enough, F.col("_soft")).otherwise(F.concat(F.array(F.lit("low_score")), "_soft"))
+    return x.select(*keys, "line", (passed & enough).alias("accepted"), F.when(passed, F.col("_score")).alias("score"), F.array_join(flags, ",").alias("flags"))
+
+
+LEAST_CONFIDENCE, LEAST_WORDS = 0.55, 10
+
+
+def chosen_engine(attempts: DataFrame, key: str, force: Column | None = None) -> DataFrame:
+    """(key, engine, confidence, words, used_fallback) of attempts (key, engine, confidence, words).
+
+    The primary attempt stands unless its confidence is under 0.55 or it has
+    under ten words (or force holds): then the fallback counts if it is surer,
+    or as sure with more words.  If what is chosen is still as poor and there is
+    a text-only attempt, that one counts.
+    """
+    one = lambda e: F.max(F.when(F.col("engine") == e, F.struct("engine", "confidence", "words"))).alias(e)
+    x = attempts.groupBy(key).agg(one("primary"), one("fallback"), one("text_only"), F.max(force if force is not None else F.lit(False)).alias("_force"))
+    poor = lambda a: (a["confidence"] < LEAST_CONFIDENCE) | (a["words"] < LEAST_WORDS)
+    p, f = F.col("primary"), F.col("fallback")
+    better = (f["confidence"] > p["confidence"]) | ((f["confidence"] == p["confidence"]) & (f["words"] > p["words"]))
+    x = x.withColumn("_best", F.when((F.col("_force") | poor(p)) & F.coalesce(better, F.lit(False)), f).otherwise(p))
+    x = x.withColumn("_best", F.when(poor(F.col("_best")) & F.col("text_only").isNotNull(), F.col("text_only")).otherwise(F.col("_best")))
+    return x.select(key, "_best.*", (F.col("_best.engine") != "primary").alias("used_fallback"))
+
+
+#: Labels of spans, and the mean confidence that a span needs.
+SPAN_LABELS = ("PERSON_NAME", "CNIC", "PLOT_NO", "SCHEME_NAME", "REGISTRY_NO", "DATE", "AMOUNT")
+LEAST_SPAN, LEAST_CNIC_SPAN = 0.60, 0.70
+
+
+def token_spans(tokens: DataFrame, page: str, keep_low: bool = False) -> DataFrame:
+    """(page, label, value, first, size, confidence, low) of tokens (page, word_no, token_no, word, label, confidence).
+
+    A word takes the label of its surest token (the first of equals), B- and I-
+    removed; other labels than SPAN_LABELS are O.  Neighbouring words of one
+    label are a span; its mean confidence must be 0.60, 0.70 for CNIC, else it
+    is low and left out.  Spans with a word of broken text are left out.
+    """
+    from ..functions.text import mojibake
+
+    bare = F.regexp_replace("label", "^[BI]-", "")
+    words = tokens.groupBy(page, "word_no").agg(F.min("word").alias("word"), F.max_by(F.struct(F.when(bare.isin(*SPAN_LABELS), bare).otherwise("O").alias("label"), "confidence"), F.struct("confidence", -F.col("token_no"))).alias("best")).select(page, "word_no", "word", "best.*")
+    w = Window.partitionBy(page).orderBy("word_no")
+    fresh = F.when((F.lag("label").over(w) == F.col("label")) & (F.lag("word_no").over(w) == F.col("word_no") - 1), 0).otherwise(1)
+    bad = mojibake(F.col("word"))
+    runs = words.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(w)).withColumn("_bad", bad["corrupted"] | (bad["ratio"] > 0.02))
+    spans = runs.where("label <> 'O'").groupBy(page, "_run", "label").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_no", "word"))), lambda x: x["word"]), " ").alias("value"), F.min("word_no").alias("first"), F.count("*").alias("size"), F.avg("confidence").alias("confidence"), F.max("_bad").alias("_bad")
+    )
+    low = F.col("confidence") < F.when(F.col("label") == "CNIC", LEAST_CNIC_SPAN).otherwise(LEAST_SPAN)
+    return spans.where("NOT _bad").withColumn("low", low).where(F.lit(keep_low) | ~F.col("low")).drop("_run", "_bad")

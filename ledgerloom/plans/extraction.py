@@ -271,9 +271,12 @@ def classify(t: Tables) -> DataFrame:
     return c.select("doc_id", F.col("c.type").alias("type"), F.col("c.hits").alias("hits"))
 
 
-@query("C02_prediction_review", f"WITH h AS (SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in _H.items())} FROM documents) SELECT doc_id, greatest(licensed, insult, secret) = 0 AS unsure FROM h")
+_TOP = "list_reverse_sort([licensed, insult, secret])"
+
+
+@query("C02_prediction_review", f"WITH h AS (SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in _H.items())} FROM documents), t AS (SELECT doc_id, {_TOP}[1] AS a, {_TOP}[2] AS b FROM h) SELECT doc_id, CASE WHEN a = 0 THEN 0.3 ELSE round(greatest(0.55, least(0.98, 0.55 + 0.4 * (a - b)::DOUBLE / greatest(a, 1) + 0.02 * (a - 1))), 4) END < 0.7 AS unsure FROM t")
 def prediction_review(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", (X.classify(F.col("text"), _KEYS)["confidence"] < 0.55).alias("unsure"))
+    return t.documents.select("doc_id", (X.classify(F.col("text"), _KEYS)["confidence"] < 0.7).alias("unsure"))
 
 
 @query("C03_engine_choice", "SELECT user_id, max(value) AS best, max(value) < 55 AS fallback FROM audit GROUP BY user_id")

@@ -40,7 +40,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def load() -> None:
-    from .plans import aggregates, evaluation, events, extraction, files, layout, relational, rules, scalars, transitions, workflow  # noqa: F401
+    from .plans import aggregates, evaluation, events, extraction, files, intake, layout, relational, rules, scalars, transitions, workflow  # noqa: F401
 
 
 load()
