@@ -19,14 +19,15 @@ Defined results: a null or wordless text has no hits; an item without words
 (or null) has no pattern; repeated items count once for each item_id, null ids
 are ignored; repeated rows are searched row by row; an empty benchmark hits
 nothing, and an empty table gives no rows; overlapping and tied hits are merged
-to intervals; clashing columns of the input are kept by `find` under their
+to intervals; a very long text is searched whole by one task, and a very long
+item's patterns go to several blocks; clashing columns of the input are kept by `find` under their
 names, its own come last.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -118,8 +119,8 @@ class Window(NamedTuple):
     words: bytes
 
 
-def item_windows(texts: list[str | None], size: int) -> Iterator[list[Window]]:
-    """The windows of each text."""
+def item_windows(texts: list[str | None], size: int) -> Iterator[Iterator[Window]]:
+    """The windows of each text, made one by one: take a text's before the next text's."""
     text = Text.of_strings(texts)
     h, s, e, d = text.words(ALNUM)
     raw = FOLD[text.data].tobytes()
@@ -127,7 +128,7 @@ def item_windows(texts: list[str | None], size: int) -> Iterator[list[Window]]:
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
         spelled = [raw[x:y] + b"\0" for x, y in zip(s[a:b].tolist(), e[a:b].tolist())]
         m = min(size, b - a)
-        yield [Window(h[a + k : a + k + m].tobytes(), b"".join(spelled[k : k + m])) for k in range(b - a - m + 1)] if m else []
+        yield (Window(h[a + k : a + k + m].tobytes(), b"".join(spelled[k : k + m])) for k in range(b - a - m + 1 if m else 0))  # noqa: B023
 
 
 class Block:
@@ -135,10 +136,12 @@ class Block:
 
     def __init__(self):
         self.seen: dict[Window, list[str]] = {}
+        self.entries = 0
 
-    def add(self, item: str, windows: list[Window]) -> None:
+    def add(self, item: str, windows: Iterable[Window]) -> None:
         for w in windows:
             self.seen.setdefault(w, []).append(item)
+            self.entries += 1
 
     def close(self) -> Block:
         by: dict[int, list[Window]] = {}
@@ -174,16 +177,16 @@ def same_words(text: Text, start: np.ndarray, end: np.ndarray, first: np.ndarray
 
 
 def blocks(benchmark: DataFrame, size: int = WINDOW, block_patterns: int = BLOCK_PATTERNS, item: str = "item_id", text: str = "text") -> Iterator[Block]:
-    """The benchmark's patterns, streamed to the driver row by row and handed on in bounded blocks."""
+    """The benchmark's patterns, streamed to the driver row by row and handed on in blocks of at most block_patterns (pattern, item) pairs, wherever in an item that falls."""
     rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").toLocalIterator()
     block = Block()
     for r in rows:
         for windows in item_windows([r.t], size):
-            for a in range(0, len(windows), block_patterns):
-                block.add(r.i, windows[a : a + block_patterns])
-        if len(block.seen) >= block_patterns:
-            yield block.close()
-            block = Block()
+            for w in windows:
+                block.add(r.i, (w,))
+                if block.entries >= block_patterns:
+                    yield block.close()
+                    block = Block()
     if block.seen:
         yield block.close()
 

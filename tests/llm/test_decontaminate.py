@@ -112,3 +112,13 @@ def test_words_that_collide_in_polynomial_hashes(spark):
         docs = spark.createDataFrame([(1, f"x {a} y"), (2, f"x {b} y")], "doc_id long, text string")
         got = D.summary(D.find(docs, spark.createDataFrame([(1, a)], "item_id long, text string"))).collect()
         assert {r.doc_id: r.n_hit for r in got} == {1: 1, 2: 0}
+
+
+def test_one_item_longer_than_a_block(spark):
+    words = [f"w{i}" for i in range(700)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14"), (3, "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14")], "item_id long, text string")
+    cut = list(D.blocks(bench, 10, block_patterns=50))
+    assert len(cut) == 14 and sum(b.entries for b in cut) == 691 + 2 and all(b.entries <= 50 for b in cut)
+    docs = spark.createDataFrame([(1, "x " + " ".join(words[300:420]) + " y"), (2, " ".join(words[5:15])), (3, "w1 w2")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in D.summary(D.find(docs, bench, block_patterns=50)).collect()}
+    assert got == {1: (122, 120, 1), 2: (10, 10, 3), 3: (2, 0, 0)}
