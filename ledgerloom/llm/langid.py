@@ -10,8 +10,10 @@ proportion is the prediction, that proportion the score.
 
 The n-gram counts are fitted on a bounded sample of labelled rows, at most
 `per_language` documents of each language, those of the smallest hash of
-doc_id; they are counted on the executors and only (language, bucket, count)
-sums reach the driver, at most languages x 2**BITS of them.  Prediction is one
+doc_id, of the MOST_LANGUAGES languages with most labelled documents (of equals,
+those that sort first): a noisy column can't grow the model.  They are counted
+on the executors and only (language, bucket, count) sums reach the driver, at
+most MOST_LANGUAGES x 2**BITS of them.  Prediction is one
 pass over the whole texts, without a shuffle.
 
 Defined results: a null text, or one without a letter, is `und` with score 0,
@@ -34,6 +36,7 @@ from .kernel import LETTERISH, Text, byte_ngrams, distinct_words, has_letter, pi
 ORDERS = (1, 2, 3, 4)
 BITS = 16
 PER_LANGUAGE = 1500
+MOST_LANGUAGES = 256
 ROUNDS, AGAIN = 8, 5
 
 
@@ -104,7 +107,7 @@ class Model:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """From rows with text and lang; doc_id only orders the rows for the sample."""
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", F.col("lang").cast("string").alias("lang"), F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 40)).alias("h"))
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, 1 << BITS)))
