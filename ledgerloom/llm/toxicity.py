@@ -173,7 +173,7 @@ def train(texts: list[str], labels: np.ndarray, share: float, seed: int = 7) ->
         to_word = np.bincount(which, weights=np.repeat(at, per_passage), minlength=len(words)) / per_word
         to_row = np.bincount(slot, weights=to_word[owner], minlength=len(used))
         pull = embedding.T @ to_row
-        grads = [np.outer(to_row, axis) + DECAY / len(used) * embedding, np.stack([-pull, pull], axis=1), np.array([-error.sum(), error.sum()])]
+        grads = [np.outer(to_row, axis) + DECAY / max(1, len(used)) * embedding, np.stack([-pull, pull], axis=1), np.array([-error.sum(), error.sum()])]
         for param, grad, (m, v) in zip((embedding, softmax, bias), grads, state):
             m += 0.1 * (grad - m)
             v += 0.02 * (grad * grad - v)
@@ -202,6 +202,19 @@ def spaced(text: Column, room: int) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SPACED - 1)), lambda i: F.substr(text, (F.floor(i * count / SPACED) + 1).cast("int"), F.lit(each))), " ")
 
 
+def candidates(docs: DataFrame, marked: DataFrame, shares: dict[int, float]) -> DataFrame:
+    """(doc_id, y, h, t, size): of each class the share of labelled documents of the smallest hashes h of doc_id, one row for an id and label.
+
+    Of an id with several texts, the one of the smallest hash t counts, so the
+    rows are bounded by the share, however often an id occurs.
+    """
+    h = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 40))
+    cut = F.when(F.col("y") == 1, int(shares[1] * (1 << 40))).otherwise(int(shares[0] * (1 << 40)))
+    few = marked.withColumn("h", h).where(F.col("h") < cut).distinct()
+    texts = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("t"), F.octet_length("text").alias("size"))
+    return few.join(texts, "doc_id").groupBy("doc_id", "y", "h").agg(F.min(F.struct("t", "size")).alias("m")).select("doc_id", "y", "h", "m.t", "m.size")
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """From rows of labels (doc_id, toxic) that aren't held out, and the texts of docs."""
     marked = labels.where(~held_out()).where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id"), (F.col("toxic") == 1).cast("int").alias("y"))
@@ -209,20 +222,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_b
     if not n.get(0) or not n.get(1):
         share = min(max(n.get(1, 0) / max(1, sum(n.values())), 1e-9), 1 - 1e-9)
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
-    h = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 40))
-    cut = F.when(F.col("y") == 1, int(min(1.0, per_class / n[1]) * (1 << 40))).otherwise(int(min(1.0, per_class / n[0]) * (1 << 40)))
-    chosen = marked.withColumn("h", h).where(F.col("h") < cut).join(docs.where("text IS NOT NULL").select("doc_id", F.octet_length("text").alias("size")), "doc_id").select("doc_id", "y", "h", "size").toPandas()
+    chosen = candidates(docs, marked, {y: min(1.0, per_class / n[y]) for y in (0, 1)}).toPandas()
     chosen = chosen.sort_values(["h", "doc_id", "y", "size"], kind="stable")
     kept = []
     for y in (0, 1):
         own = chosen[chosen.y == y]
         kept.append(own[fitting(own["size"].tolist(), sample_bytes // 2)].head(per_class))
-    ids = sorted({int(i) for k in kept for i in k.doc_id})
+    ids = sorted({(int(i), int(t)) for k in kept for i, t in zip(k.doc_id, k.t)})
     spark = docs.sparkSession
-    wanted = F.broadcast(spark.createDataFrame([(i,) for i in ids], "doc_id long"))  # at most 2 * per_class ids
+    wanted = F.broadcast(spark.createDataFrame(ids, "doc_id long, t long"))  # at most 2 * per_class ids
     long = F.octet_length("text") > sample_bytes // 2
     held = F.when(long, spaced(F.col("text"), sample_bytes // 2)).otherwise(F.col("text")).alias("text")
-    texts = {r.doc_id: r.text for r in docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), held).join(wanted, "doc_id").collect()}
+    own = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), held).join(wanted, ["doc_id", "t"])
+    texts = {r.doc_id: r.text for r in own.groupBy("doc_id").agg(F.first("text").alias("text")).collect()}
     rows = [(texts[i], y) for y in (0, 1) for i in kept[y].doc_id.astype(int) if i in texts]
     if len({y for _, y in rows}) < 2:
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(n[1] / n[0])))

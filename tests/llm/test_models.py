@@ -79,3 +79,25 @@ def test_toxicity_with_a_text_larger_than_the_sample(spark):
     s = train(extra).score(probe)  # toxic texts that are all larger than the sample
     assert s[0] > s[1]
     assert toxicity.fitting([5, 99, 5, 1], 10) == [True, False, True, False] and toxicity.fitting([99, 98], 10) == [True, False]
+
+
+def test_toxicity_candidates_are_one_an_id(spark):
+    rows = [(1, f"text {k}") for k in range(3000)] + [(2, "a"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = spark.createDataFrame([(1, 1)] * 500 + [(1, 0), (2, 0), (3, 1)], "doc_id long, y int")
+    got = sorted((r.doc_id, r.y, r.size) for r in toxicity.candidates(docs, marked, {0: 1.0, 1: 1.0}).collect())
+    assert [g[:2] for g in got] == [(1, 0), (1, 1), (2, 0)] and got[0][2] == got[1][2]
+    model = toxicity.fit(docs, marked.withColumnRenamed("y", "toxic"))
+    assert 0 < model.score(Text.of_strings(["a"]))[0] < 1
+
+
+def test_very_many_languages(spark):
+    from pyspark.sql import functions as F
+
+    many = spark.range(10_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.col("id").cast("string")).alias("text"), F.concat(F.lit("l"), F.col("id").cast("string")).alias("lang"))
+    some = spark.range(10_000, 10_400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "the cat and the dog").otherwise("der hund und die katze").alias("text"), F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"))
+    docs = many.unionByName(some)
+    model = langid.fit(docs)
+    assert len(model.languages) == langid.MOST_LANGUAGES and {"en", "de"} <= set(model.languages)
+    lang, _, _ = model.predict(Text.of_strings(["the dog and the cat", "die katze und der hund"]))
+    assert lang == ["en", "de"]
