@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import Tables
 from ..functions import dates as D
 from ..functions.text import repair
+from ..operators import fields as FD
 from ..operators import hints as H
 from ..operators import layout as L
 from ..registry import query
@@ -177,3 +178,43 @@ def domain_hint_rows(t: Tables) -> DataFrame:
     deed = F.concat(*[F.when(key % n == 0, fill(x)).otherwise("") for n, x in SENTENCES])
     found = t.raw("orders").select("o_orderkey", F.posexplode(H.domain_hints(deed)).alias("hint", "h"))
     return found.select("o_orderkey", "hint", "h.*")
+
+
+# --- fields of a dossier ---
+PAGE_SENTENCES = [
+    (1, "Deed of {a}\n"), (2, "Plot No. {b} Block {d}e, "), (3, "plot {a} block - F phase {d}\n"), (4, "Phase-{d} of DHA Lahore, No. {d}\n"), (5, "mouza Kot Lakhpat tehsil: Model\nDistrict Lahore City and {d}"), (6, " phase VIII in bahria town khasra no: {b}/4 Khasra {a}-2 khasra {b}/4 "),
+    (7, "Registry No: {a} registry date 1/2/199{d}\n"), (8, "Registration no. {b}, registration date: 3-4-2001 "), (9, "E-Stamp ID: PB-LHR-{a} estamp AB{b}\n"), (10, "stamp paper no XY-{b}{a} block q"), (11, "in Model Town near Gulberg"), (13, "plot no 123456 plot # 77"),
+]
+_PAGE_SQL = "(SELECT o_orderkey, " + " || ".join(f"CASE WHEN o_orderkey % {n} = 0 THEN replace(replace(replace('{x}', '{{a}}', CAST(o_orderkey AS VARCHAR)), '{{b}}', CAST(o_custkey AS VARCHAR)), '{{d}}', CAST(o_custkey % 10 AS VARCHAR)) ELSE '' END" for n, x in PAGE_SENTENCES) + " AS own FROM orders)"
+_VALID = {"property.plot_number": "TRY_CAST(v.value AS INTEGER) BETWEEN 1 AND 9999", "stamp.estamp_id_or_number": "length(v.value) >= 5"}
+
+
+def _field_sql(i: int, field: str) -> str:
+    """A field's matches in the order of its patterns, as SQL over t (o_orderkey, own, x)."""
+    value = lambda p: f"trim(regexp_extract(h.raw, '(?i){p}', 1))"
+    up = (lambda e: f"upper({e})") if field == "property.block" else (lambda e: e)
+    lists = [f"list_transform({_found(p)}, lambda h: {{'value': {up(value(p))}, 'raw': h.raw, 'line': h.line, 'confidence': {c}::DOUBLE}})" for p, c in FD.PATTERNS[field]]
+    joined = lists[0]
+    for x in lists[1:]:
+        joined = f"list_concat({joined}, {x})"
+    if field in _VALID:
+        joined = f"list_filter({joined}, lambda v: {_VALID[field]})"
+    most = "" if field == "property.khasra_numbers" else "[1:1]"
+    return f"SELECT o_orderkey, {i} AS f, '{field}' AS field, unnest(({joined}){most}) AS v, unnest(range(len(({joined}){most}))) AS n FROM t"
+
+
+_SCHEME_SQL = " ".join(f"WHEN regexp_matches(x, '\\b{name}\\b') THEN '{name}'" for name in FD.SCHEMES)
+_FIELDS = f"""WITH t AS (SELECT o_orderkey, own, lower(own) AS x FROM {_PAGE_SQL} q), e AS ({' UNION ALL '.join(_field_sql(i, f) for i, f in enumerate(FD.PATTERNS))}),
+    s AS (SELECT *, length(string_split_regex(x, '\\b' || k || '\\b')[1]) AS a FROM (SELECT *, CASE {_SCHEME_SQL} END AS k FROM t) WHERE k IS NOT NULL),
+    c AS (SELECT *, regexp_extract(substr(own, greatest(0, a - 20) + 1, a + length(k) + 20 - greatest(0, a - 20)), '{FD._NAME}', 1) AS cap FROM s)
+    SELECT o_orderkey, field, v.value AS value, v.raw AS raw, CAST(v.line AS INTEGER) AS line, v.confidence AS confidence FROM e QUALIFY row_number() OVER (PARTITION BY o_orderkey, field, v.value ORDER BY n) = 1
+    UNION ALL SELECT o_orderkey, 'property.scheme_name', CASE WHEN cap <> '' THEN cap ELSE array_to_string(list_transform(string_split(k, ' '), lambda w: upper(w[1]) || w[2:]), ' ') END, k, CAST(len(string_split(substr(x, 1, a), chr(10))) - 1 AS INTEGER), 0.85 FROM c"""
+
+
+@query("X06b_page_fields", _FIELDS)
+def page_fields(t: Tables) -> DataFrame:
+    """The dossier's fields in pages written from the orders' numbers."""
+    key, who = F.col("o_orderkey"), F.col("o_custkey")
+    fill = lambda x: F.replace(F.replace(F.replace(F.lit(x), F.lit("{a}"), key.cast("string")), F.lit("{b}"), who.cast("string")), F.lit("{d}"), (who % 10).cast("string"))
+    page = F.concat(*[F.when(key % n == 0, fill(x)).otherwise("") for n, x in PAGE_SENTENCES])
+    return t.raw("orders").select("o_orderkey", F.explode(FD.page_fields(page)).alias("h")).select("o_orderkey", "h.*")
