@@ -44,6 +44,12 @@ def mojibake(text: Column) -> Column:
     return F.struct(((ratio > 0.02) | (count > 2)).alias("corrupted"), ratio.alias("ratio"), count.alias("count"), total.alias("total"))
 
 
+def broken_token(token: Column) -> Column:
+    """Empty, with box-drawing signs, or mostly control characters."""
+    controls = F.length(token) - F.length(F.regexp_replace(token, "\\p{C}", ""))
+    return (token == "") | token.rlike("[─│┌┐└┘├┤┬┴┼═║╔╗╚╝]") | (controls * 2 > F.length(token))
+
+
 def corrupted(text: Column) -> Column:
     """(corrupted, reason): empty before mojibake."""
     empty = text.isNull() | (F.trim(text) == "")

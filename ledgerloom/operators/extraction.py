@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ARABIC, squeeze
+from ..functions.text import ARABIC, broken_token, squeeze
 from .windows import first_by
 
 
@@ -413,14 +413,11 @@ def token_spans(tokens: DataFrame, page: str, keep_low: bool = False) -> DataFra
     label are a span; its mean confidence must be 0.60, 0.70 for CNIC, else it
     is low and left out.  Spans with a word of broken text are left out.
     """
-    from ..functions.text import mojibake
-
     bare = F.regexp_replace("label", "^[BI]-", "")
     words = tokens.groupBy(page, "word_no").agg(F.min("word").alias("word"), F.max_by(F.struct(F.when(bare.isin(*SPAN_LABELS), bare).otherwise("O").alias("label"), "confidence"), F.struct("confidence", -F.col("token_no"))).alias("best")).select(page, "word_no", "word", "best.*")
     w = Window.partitionBy(page).orderBy("word_no")
     fresh = F.when((F.lag("label").over(w) == F.col("label")) & (F.lag("word_no").over(w) == F.col("word_no") - 1), 0).otherwise(1)
-    bad = mojibake(F.col("word"))
-    runs = words.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(w)).withColumn("_bad", bad["corrupted"] | (bad["ratio"] > 0.02))
+    runs = words.withColumn("_new", fresh).withColumn("_run", F.sum("_new").over(w)).withColumn("_bad", broken_token(F.col("word")))
     spans = runs.where("label <> 'O'").groupBy(page, "_run", "label").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_no", "word"))), lambda x: x["word"]), " ").alias("value"), F.min("word_no").alias("first"), F.count("*").alias("size"), F.avg("confidence").alias("confidence"), F.max("_bad").alias("_bad")
     )

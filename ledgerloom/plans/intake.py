@@ -40,7 +40,7 @@ def engine_routing(t: Tables) -> DataFrame:
 
 
 _LABEL = "CASE action WHEN 'click' THEN 'B-CNIC' WHEN 'view' THEN 'I-DATE' WHEN 'purchase' THEN 'B-AMOUNT' WHEN 'signup' THEN 'STAMP' ELSE 'O' END"
-_TOKENS = f"SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 2 AS word_no, event_id AS token_no, 'w' || ((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 2) || CASE WHEN user_id % 9 = 0 THEN chr(187) ELSE '' END AS word, {_LABEL} AS label, value / 100 AS confidence FROM audit"
+_TOKENS = f"SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 2 AS word_no, event_id AS token_no, 'w' || ((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 2) || CASE WHEN user_id % 9 = 0 THEN chr(9472) ELSE '' END AS word, {_LABEL} AS label, value / 100 AS confidence FROM audit"
 
 
 @query("C04b_entity_spans", f"""WITH k AS ({_TOKENS}), w AS (SELECT user_id, word_no, min(word) AS word, arg_max(CASE WHEN label IN ('STAMP', 'O') THEN 'O' ELSE substr(label, 3) END, confidence * 1000000000 - token_no / 1000000.0) AS label, max(confidence) AS confidence FROM k GROUP BY 1, 2),
@@ -50,7 +50,7 @@ def entity_spans(t: Tables) -> DataFrame:
     """Spans of words from token predictions, two tokens a word; every ninth user's words are broken."""
     n = F.floor((F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1) / 2)
     tokens = t.audit.select("user_id", n.alias("word_no"), F.col("event_id").alias("token_no"), F.expr(_LABEL).alias("label"), (F.col("value") / 100).alias("confidence"))
-    tokens = tokens.withColumn("word", F.concat(F.lit("w"), F.col("word_no").cast("string"), F.when(F.col("user_id") % 9 == 0, "»").otherwise("")))
+    tokens = tokens.withColumn("word", F.concat(F.lit("w"), F.col("word_no").cast("string"), F.when(F.col("user_id") % 9 == 0, "─").otherwise("")))
     return E.token_spans(tokens, "user_id").select("user_id", "label", "value", "first", "size", F.round("confidence", 6).alias("confidence"))
 
 

@@ -11,6 +11,7 @@ from ..functions.text import repair
 from ..operators import fields as FD
 from ..operators import hints as H
 from ..operators import layout as L
+from ..operators.anchors import token_entities as token_found
 from ..registry import query
 
 # --- words and annotations of a page, from order lines ---
@@ -180,6 +181,18 @@ def domain_hint_rows(t: Tables) -> DataFrame:
     return found.select("o_orderkey", "hint", "h.*")
 
 
+#: Words of pages: documents' first words meet these, which announce entities.
+ANNOUNCED = ["Plot No 14 A of", "commercial plot Com-14 Street", "registry 5/199 and", "deed no Book 77/2", "Rs. 15,600,000 only", "consideration of about PKR 5,000.50,", "dated 12/01/2022 or 2022-1-5", "35202-1234567-1", "Green Valley Housing Scheme", "Al-Noor Cooperative Society Lahore", "پلاٹ نمبر 9", "rupees ten", "Model Town. City"]
+
+
+@query("X07b_token_entities")
+def token_entities(t: Tables) -> DataFrame:
+    """Entities of the documents' pages, whose lines are followed by announcing words; tests/test_anchors.py holds the plan against a plain scanner."""
+    said = F.element_at(F.array(*[F.lit(x) for x in ANNOUNCED]), (F.length("line") % len(ANNOUNCED) + 1).cast("int"))
+    page = t.lines.select("doc_id", "line_no", F.concat_ws(" ", F.col("line"), said).alias("text"))
+    return page.select("doc_id", "line_no", F.explode(token_found(F.col("text"))).alias("e")).select("doc_id", "line_no", "e.*")
+
+
 # --- fields of a dossier ---
 PAGE_SENTENCES = [
     (1, "Deed of {a}\n"), (2, "Plot No. {b} Block {d}e, "), (3, "plot {a} block - F phase {d}\n"), (4, "Phase-{d} of DHA Lahore, No. {d}\n"), (5, "mouza Kot Lakhpat tehsil: Model\nDistrict Lahore City and {d}"), (6, " phase VIII in bahria town khasra no: {b}/4 Khasra {a}-2 khasra {b}/4 "),
