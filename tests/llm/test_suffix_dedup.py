@@ -61,6 +61,21 @@ def test_more_contexts_than_a_group_holds(spark):
     assert got == brute(data, 60)
 
 
+def test_planted_passages_of_over_fifty_words(spark):
+    """They go from LENGTH bytes on; one byte less stays where its surroundings differ, and goes at a shorter length."""
+    rng = random.Random(6)
+    text = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(k))
+    data = []
+    for n in (399, 400):
+        p = text(60)[:n]
+        assert len(p.split()) > 50
+        data += [(10 * n + i, text(30) + "xyz"[i] + p + "uvw"[i] + text(30)) for i in range(3)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    for length, gram, least in ((400, 100, 400), (200, 50, 399)):
+        got = {r.doc_id: (r.n_removed, r.n_spans) for r in S.dedupe(df, length=length, gram=gram).collect()}
+        assert got == {d: (d // 10, 1) if d // 10 >= least else (0, 0) for d, _ in data}
+
+
 def test_keep_first_leaves_one_of_each(spark):
     rng = random.Random(4)
     text = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
