@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -110,49 +110,86 @@ def rocksdb(spark) -> Iterator[None]:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
+#: Groups of events that share one state and one timer: calls between JVM and Python are for groups, not for events. A checkpoint keeps its number.
+BUCKETS = 4096
+
+
 def delivered(deliver: Callable[[int, int, int], bool]) -> type:
-    """A stateful processor that attempts an event when it comes and again whenever its timer expires.
+    """A stateful processor of buckets of events, that attempts an event when it comes and again whenever it is due.
 
     deliver(event_id, fails, attempt) says whether the attempt succeeds.  The
-    state of an event is its attempts so far; it goes with the last attempt.
-    A retry that is overdue when its timer is set (the watermark has passed it)
-    is made at once, at the time it was due.  Of an event that is sent twice,
-    the second is ignored while the first is pending.
+    state of a bucket is its pending events with their attempts so far; an event
+    goes with its last attempt.  The bucket's timer is its earliest retry.  A
+    retry that is overdue when it is set (the watermark has passed it) is made
+    at once, at the time it was due.  Of an event that is sent twice, the second
+    is ignored while the first is pending.
     """
+    import numpy as np
+    import pandas as pd
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
     class Delivery(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
-            self.state = handle.getValueState("attempts", "attempts int, fails int")
-
-        def attempt(self, key: int, fails: int, done: int, at: int, watermark: int) -> Iterator[tuple]:
+            self.state = handle.getValueState("pending", "timer long, events binary")
+
+        def load(self) -> tuple[int | None, dict[int, tuple[int, int, int]]]:
+            """The timer, and (fails, attempts so far, due) of the pending events."""
+            held = self.state.get()
+            if held is None:
+                return None, {}
+            return held[0], {e: (fails, done, due) for e, fails, done, due in np.frombuffer(held[1], np.int64).reshape(-1, 4).tolist()}
+
+        def save(self, pending: dict[int, tuple[int, int, int]], timer: int | None) -> None:
+            """timer: the one that is still set."""
+            first = min(due for _, _, due in pending.values()) if pending else None
+            if first != timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                if first is not None:
+                    self.handle.registerTimer(first)
+            if pending:
+                self.state.update((first, np.array([(e, *p) for e, p in pending.items()], np.int64).tobytes()))
+            else:
+                self.state.clear()
+
+        def attempt(self, made: list[tuple], pending: dict, key: int, fails: int, done: int, at: int, watermark: int) -> None:
             while True:
                 done, ok = done + 1, deliver(key, fails, done + 1)
                 status = "Done" if ok else "Failed" if done >= MAX_ATTEMPTS else "Pending"
-                yield key, done, at, status
+                made.append((key, done, at, status))
                 if status != "Pending":
-                    self.state.clear()
+                    pending.pop(key, None)
                     return
                 at += 1000 * WAITS[done - 1]
                 if at > watermark:
-                    self.state.update((done, fails))
-                    self.handle.registerTimer(at)
+                    pending[key] = (fails, done, at)
                     return
 
-        def rows(self, made: Iterator[tuple]) -> Iterator[Row]:
-            for key, done, at, status in made:
-                yield Row(event_id=key, attempt=done, ms=at, status=status)
+        def rows(self, made: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(made, columns=["event_id", "attempt", "ms", "status"])
 
         def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  the interface's names
-            for row in rows:
-                if not self.state.exists():
-                    yield from self.rows(self.attempt(key[0], row.fails, 0, row.ms, timerValues.getCurrentWatermarkInMs()))
+            timer, pending = self.load()
+            watermark, fresh = timerValues.getCurrentWatermarkInMs(), False
+            for frame in rows:
+                made: list[tuple] = []
+                for event, fails, ms in zip(frame["event_id"].tolist(), frame["fails"].tolist(), frame["ms"].tolist()):
+                    if event not in pending:
+                        self.attempt(made, pending, event, fails, 0, ms, watermark)
+                fresh = fresh or bool(made)
+                yield self.rows(made)
+            if fresh and (pending or timer is not None):
+                self.save(pending, timer)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-            if self.state.exists():
-                done, fails = self.state.get()
-                yield from self.rows(self.attempt(key[0], fails, done, expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()))
+            _, pending = self.load()
+            watermark, made = timerValues.getCurrentWatermarkInMs(), []
+            for event, (fails, done, due) in list(pending.items()):
+                if due <= watermark:
+                    self.attempt(made, pending, event, fails, done, due, watermark)
+            self.save(pending, None)  # the expired timer goes by itself
+            yield self.rows(made)
 
         def close(self) -> None:
             pass
@@ -160,13 +197,13 @@ def delivered(deliver: Callable[[int, int, int], bool]) -> type:
     return Delivery
 
 
-def timed_retries(events: DataFrame, deliver: Callable[[int, int, int], bool], late: str = "1 hour") -> DataFrame:
+def timed_retries(events: DataFrame, deliver: Callable[[int, int, int], bool], late: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """(event_id, attempt, at, status) of every attempt of a stream of events (event_id, ts, fails), in event time.
 
     Run it under rocksdb(); it continues from its checkpoint, timers included.
     """
-    keyed = events.withWatermark("ts", late).withColumn("ms", F.unix_millis("ts")).groupBy("event_id")
-    made = keyed.transformWithState(delivered(deliver)(), "event_id long, attempt int, ms long, status string", "Append", "EventTime")
+    keyed = events.withWatermark("ts", late).select("event_id", "fails", F.unix_millis("ts").alias("ms"), "ts", F.pmod(F.xxhash64("event_id"), F.lit(buckets)).alias("bucket")).groupBy("bucket")
+    made = keyed.transformWithStateInPandas(delivered(deliver)(), "event_id long, attempt int, ms long, status string", "Append", "EventTime")
     return made.select("event_id", "attempt", F.timestamp_millis("ms").alias("at"), "status")
 
 

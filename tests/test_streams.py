@@ -40,6 +40,23 @@ def test_timed_retries_equal_batch_after_restarts(spark, tmp_path):
     assert all(by[e] == ["Pending"] * min(f, 4) + (["Failed"] if f >= 5 else ["Done"]) for e, _, f in EVENTS)
 
 
+def test_timed_retries_keep_one_state_and_timer_for_a_bucket(spark, tmp_path):
+    rows = [(i, T0 + dt.timedelta(seconds=11 * i), i % 7) for i in range(600)]
+    feed(spark, tmp_path, rows)
+    with O.rocksdb(spark):
+        made = O.timed_retries(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), lambda event, fails, attempt: attempt > fails, buckets=3)
+        q = made.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert max(s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]) <= 12  # a state, and its timer by key and by time
+    feed(spark, tmp_path, LATER)
+    with O.rocksdb(spark):
+        made = O.timed_retries(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), lambda event, fails, attempt: attempt > fails, buckets=3)
+        made.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.event_id, r.attempt, str(r.at), r.status) for r in spark.read.schema(O.ATTEMPT).parquet(f"{tmp_path}/out").where("event_id >= 0").collect())
+    want = O.attempts(spark.createDataFrame(rows, SCHEMA), F.col("fails"))
+    assert got == sorted((r.event_id, r.attempt, str(r.at), r.status) for r in want.collect())
+
+
 OUTBOX = "event_id long, status string, next_attempt date"
 now = lambda: F.lit(dt.date(2024, 1, 20))
 
