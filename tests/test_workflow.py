@@ -34,3 +34,17 @@ def test_the_first_request_of_an_item_counts(spark):
     none = spark.createDataFrame([], "request_type string, item long")
     got = {r.n: r.outcome for r in W.created(df, spark.createDataFrame([(1,)], "case_id long"), items, none, ["n"]).collect()}
     assert got == {0: "role not allowed", 1: "created", 2: "duplicate", 3: "case not found", 4: "created", 5: "item not found"}
+
+
+def test_recipients_are_single_before_they_are_multiplied(spark):
+    users = [(o, "Admin", f"a{i % 40}-{o}@x") for o in range(2) for i in range(80)] + [(0, "Approver", "a1-0@x"), (0, "Reviewer", "r@x"), (0, "Admin", ""), (0, "Admin", None)]
+    events = [(i, i % 2, ("approval.pending", "case.decided", "approval.decided", "other")[i % 4], f"a{i}@x") for i in range(400)]
+    events += [*events[:8], (0, 1, "case.decided", None), (0, 0, "approval.decided", "a1-0@x"), (5, 1, "export.generated", None), (None, 0, "case.decided", None), (9, None, "case.decided", None), (10, 0, "approval.decided", "")]
+    x = spark.createDataFrame(events, "event_id long, org_id long, event_type string, requested_by_email string")
+    got = W.recipients(x, spark.createDataFrame(users, "org_id long, role string, email string"))
+    roles = {k: set(v) for k, v in W.RECIPIENT_ROLES.items()}
+    want = {(e, m) for e, o, k, _ in events for uo, r, m in users if m and o == uo and r in roles.get(k, ())} | {(e, m) for e, _, k, m in events if k == "approval.decided" and m}
+    rows = [(r.event_id, r.email) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    # Only pairs of the four event_ids that have several events are compared again.
+    assert got._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
