@@ -27,6 +27,21 @@ def count_of(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, f"[{chars}]", ""))
 
 
+def share(part: Column, whole: Column) -> Column:
+    """part / whole; NaN, which is above any limit, of nothing."""
+    return F.when(whole == 0, F.lit(float("nan"))).otherwise(part / whole)
+
+
+def rounded(x: Column, places: int) -> Column:
+    """x (not negative) to some places as DuckDB rounds it: the product with the power of ten decides, half goes up.
+
+    The built-in round decides by the shortest decimal form, which lies on the other side for some doubles, as 41 / 640.
+    """
+    product = x * F.lit(10.0**places)
+    whole = F.floor(product)
+    return F.when(F.isnan(x), x).otherwise((whole + (product - whole >= 0.5).cast("int")) / F.lit(10.0**places))
+
+
 def squeeze(text: Column) -> Column:
     """Runs of white space to one blank, ends trimmed."""
     return F.trim(F.regexp_replace(text, "[ \\t\\n\\r\\f\\x0B]+", " "))

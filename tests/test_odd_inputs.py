@@ -23,3 +23,12 @@ def test_name_lines_of_very_many_words(spark):
     lines = ["Ab " * 200_000 + "Cd", "Ab" + " Cd" * 100_000 + ", son of X", "Ab" + " Cd" * 100_000 + ", aunt of X", "Ali Raza, s/o Bilal", "Ali K, s/o Bilal", "Ali Raza , s/o Bilal", "ali  raza,son"]
     got = {r.n: r.flags.split(",") for r in E.scored_name_lines(spark.createDataFrame(list(enumerate(lines)), "n int, line string"), ["n"]).collect()}
     assert ["has_comma" in got[i] for i in range(7)] == [False, False, True, False, True, True, False]
+
+
+def texts(*texts):
+    return [(i, x, "en", "web", None if x is None else len(x)) for i, x in enumerate(texts)]
+
+
+def test_ratios_of_empty_texts_and_between_rounded_values(spark, tmp_path):
+    got, want = both(spark, tmp_path, "T22_ratios", texts("", None, "7" * 41 + "x" * 599, "a" * 333 + "-" * 307, "x. " * 30), DOCUMENT)
+    assert got == want and any("0.064062" in r for r in got) and any("nan" in r for r in got)
