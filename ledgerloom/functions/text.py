@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -42,6 +43,19 @@ def rounded(x: Column, places: int) -> Column:
     return F.when(F.isnan(x), x).otherwise((whole + (product - whole >= 0.5).cast("int")) / F.lit(10.0**places))
 
 
+def printed(x: Column, places: int) -> Column:
+    """x to some places as C's printf has it: the double's exact value decides, half to even.
+
+    format_string decides by the shortest decimal form, half up, so 1 / 32 and most ties differ.
+    """
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if pd.isna(v) else f"{v:.{places}f}")
+
+    return run(x)
+
+
 def squeeze(text: Column) -> Column:
     """Runs of white space to one blank, ends trimmed."""
     return F.trim(F.regexp_replace(text, "[ \\t\\n\\r\\f\\x0B]+", " "))

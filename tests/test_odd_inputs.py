@@ -37,3 +37,10 @@ def test_ratios_of_empty_texts_and_between_rounded_values(spark, tmp_path):
 def test_mojibake_of_empty_texts_and_between_rounded_values(spark, tmp_path):
     got, want = both(spark, tmp_path, "T02_mojibake", texts("", None, "\u2500" * 41 + "x" * 599, "\u00ba" + "y" * 99, "plain", "\x01"), DOCUMENT)
     assert got == want and any("0.064062" in r for r in got) and "(0, 0, nan, True)" in got
+
+
+def test_report_of_means_between_printed_values_and_unknown_languages(spark, tmp_path):
+    rows = [(i, "x", "en", "web", 1000 if i < 1 else 7) for i in range(32)] + [(i, "x", "de", "web", 1001 if i < 3 else 8) for i in range(160)]
+    rows += [(1, "x", None, "web", 5), (2, "x", "en", None, 5), (3, "x", "fr", "", 5), (4, "x", "", "source", 2000)]
+    got, want = both(spark, tmp_path, "S19b_written_report", rows, DOCUMENT)
+    assert got == want and any("38.0312" in r for r in got)
