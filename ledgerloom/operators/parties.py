@@ -5,9 +5,12 @@ Lines are rows (doc_id, page, line_no, line), numbered through a document.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dates import bound
 from ..functions.text import ARABIC, squeeze
 
 #: Words that make a document a sale deed.
@@ -86,9 +89,15 @@ def clean_name(raw: Column) -> Column:
     s = F.regexp_replace(squeeze(raw), f"{CNIC}|[0-9]{{6,}}", "")
     labels = "|".join(sorted(LABELS, key=len, reverse=True))
     s = F.regexp_replace(s, f"(?i)^(?:(?:{labels})\\s*[:،,\\-]?\\s*)+", "")
-    for stops, form in ((URDU_STOPS, lambda x: x), (ENGLISH_STOPS, F.lower)):
-        stop = F.try_element_at(F.filter(F.array(*[F.lit(w) for w in stops]), _contained_in(form(s))), F.lit(1))
-        s = F.when(stop.isNull(), s).otherwise(F.trim(F.substring(s, F.lit(1), F.instr(form(s), stop) - 1)))
+
+    def cut(stops: tuple[str, ...], form: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        def before(x: Column) -> Column:
+            stop = F.try_element_at(F.filter(F.array(*[F.lit(w) for w in stops]), _contained_in(form(x))), F.lit(1))
+            return bound(stop, lambda w: F.when(w.isNull(), x).otherwise(F.trim(F.substring(x, F.lit(1), F.instr(form(x), w) - 1))))
+
+        return before
+
+    s = bound(bound(s, cut(URDU_STOPS, lambda x: x)), cut(ENGLISH_STOPS, F.lower))
     return squeeze(F.regexp_replace(s, "[.,;:!?]{2,}", " "))
 
 
@@ -165,10 +174,10 @@ def vendor_and_vendee(text: Column) -> Column:
     called = lambda who: f"\\([^)]*hereinafter[^)]*called[^)]*{who}[^)]*\\)"
     pattern = f"(?is)between\\s+(.+?)\\s+{called('vendor')}\\s+and\\s+(.+?)\\s+{called('vendee')}"
 
-    def part(i: int) -> Column:
-        name = clean_name(F.regexp_extract(text, pattern, i))
+    def checked(name: Column) -> Column:
         return F.when((F.length(name) >= 3) & (F.length(name) <= 80) & ~name.rlike("[.,;:!?]") & ~_has(F.lower(name), NO_NAME), name)
 
+    part = lambda i: bound(clean_name(F.regexp_extract(text, pattern, i)), checked)
     return F.struct(part(1).alias("seller"), part(2).alias("buyer"))
 
 

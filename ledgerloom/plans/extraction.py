@@ -12,6 +12,7 @@ from ..operators import parties as P
 from ..operators import windows as W
 from ..operators.extraction import parsed_date  # noqa: F401
 from ..registry import query
+from ..session import spread
 
 _MAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z0-9.-]+[A-Za-z]"
 _IP = "[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}"
@@ -139,7 +140,7 @@ def section_markers(t: Tables) -> DataFrame:
 @query("X13_structured", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Ali Raza' WHEN 1 THEN 'Mr X' END AS seller, CASE event_id % 4 WHEN 0 THEN 'Bilal Khan' WHEN 1 THEN 'Sara Bibi' END AS buyer FROM events")
 def structured(t: Tables) -> DataFrame:
     texts = F.array(F.lit("between Ali Raza (hereinafter called the Vendor) and Bilal Khan (hereinafter called the Vendee)"), F.lit("BETWEEN Mr X\n (HEREINAFTER so called VENDOR)\n AND Sara Bibi s/o Y (hereinafter be called vendee)"), F.lit("between the property of Z (hereinafter called Vendor) and A, B (hereinafter called Vendee)"), F.lit("nothing"))
-    return t.audit.select("event_id", P.vendor_and_vendee(F.element_at(texts, (F.col("event_id") % 4 + 1).cast("int"))).alias("v")).select("event_id", "v.seller", "v.buyer")
+    return spread(t.audit.select("event_id")).select("event_id", P.vendor_and_vendee(F.element_at(texts, (F.col("event_id") % 4 + 1).cast("int"))).alias("v")).select("event_id", "v.seller", "v.buyer")
 
 
 _D = "regexp_replace(v, '[^0-9]', '', 'g')"

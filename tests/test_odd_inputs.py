@@ -1,9 +1,11 @@
 """Documents that the given tables don't have: very long lines, empty texts, shares and means that lie between two rounded values."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from ledgerloom import registry
 from ledgerloom.operators import extraction as E
+from ledgerloom.operators import parties as P
 
 
 def both(spark, tmp_path, name, rows, schema):
@@ -44,3 +46,9 @@ def test_report_of_means_between_printed_values_and_unknown_languages(spark, tmp
     rows += [(1, "x", None, "web", 5), (2, "x", "en", None, 5), (3, "x", "fr", "", 5), (4, "x", "", "source", 2000)]
     got, want = both(spark, tmp_path, "S19b_written_report", rows, DOCUMENT)
     assert got == want and any("38.0312" in r for r in got)
+
+
+def test_a_name_is_cleaned_once_however_often_it_is_used(spark):
+    x = spark.createDataFrame([("between Ali Raza s/o Y (hereinafter called vendor) and Sara Bibi ولد X (hereinafter called vendee)",)], "text string").select(P.vendor_and_vendee(F.col("text")).alias("v"))
+    assert x._jdf.queryExecution().analyzed().expressions().toString().count("regexp_extract") <= 2
+    assert tuple(x.first().v) == ("Ali Raza", "Sara Bibi")
