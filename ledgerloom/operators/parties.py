@@ -107,16 +107,25 @@ def _count(text: Column, chars: str) -> Column:
 
 def name_score(line: Column) -> Column:
     """How likely a line is a person's name, from 0 to 1."""
-    s = clean_line(line)
-    low, size = F.lower(s), F.greatest(F.length(s), F.lit(1))
-    letters, arabic = _count(s, f"a-zA-Z{ARABIC}") / size, _count(s, _SCRIPT) / size
-    signs = F.length(F.regexp_replace(s, f"[\\p{{L}}\\p{{N}}_\\s{ARABIC}]", "")) / size
+    return bound(clean_line(line), lambda s: _score(line, s))
+
+
+def _score(line: Column, s: Column) -> Column:
+    """name_score of a line whose clean form is s; what is used often is bound, as Catalyst would copy it into each use."""
+    size = F.greatest(F.length(s), F.lit(1))
     words = F.filter(F.split(s, " "), lambda w: w != "")
+    parts = F.struct(
+        F.lower(s).alias("low"), (_count(s, f"a-zA-Z{ARABIC}") / size).alias("letters"), (_count(s, _SCRIPT) / size).alias("arabic"), (F.length(F.regexp_replace(s, f"[\\p{{L}}\\p{{N}}_\\s{ARABIC}]", "")) / size).alias("signs"),
+        words.alias("words"), F.filter(words, lambda w: w.rlike(f"[{ARABIC}]")).alias("script"), F.filter(words, lambda w: w.rlike("^[a-zA-Z]{2,}$")).alias("latin"), s.rlike("ولد|بن|بنت").alias("kin"),
+    )
+    score = bound(parts, lambda p: _score_of_parts(s, size, p))
+    return F.when(line.isNull() | (F.length(F.trim(line)) < 2), 0.0).otherwise(score)
+
+
+def _score_of_parts(s: Column, size: Column, p: Column) -> Column:
+    low, letters, arabic, signs, words, script, latin, kin = (p[k] for k in ("low", "letters", "arabic", "signs", "words", "script", "latin", "kin"))
     n, short = F.size(words), F.size(F.filter(words, lambda w: F.length(w) <= 2))
-    script = F.filter(words, lambda w: w.rlike(f"[{ARABIC}]"))
-    latin = F.filter(words, lambda w: w.rlike("^[a-zA-Z]{2,}$"))
     long_latin = F.exists(latin, lambda w: F.length(w) >= 4)
-    kin = s.rlike("ولد|بن|بنت")
     bad = (
         _has(low, NO_NAME) | (_count(s, f"\\p{{L}}\\p{{N}}_{ARABIC}") < 3) | (letters < 0.3) | ((letters < 0.55) & (arabic < 0.20)) | (signs > 0.3)
         | low.rlike("\\b([a-z]{1,2})\\s+\\1\\s+[a-z]{1,2}\\b") | ((n >= 3) & F.forall(words, lambda w: F.length(w) <= 3)) | ((n > 2) & (short > n * 0.5)) | low.rlike("\\b[a-z]{1,3}(\\s+[a-z]{1,3}){3}\\b")
@@ -128,16 +137,19 @@ def name_score(line: Column) -> Column:
     length = F.when(F.length(s) < 4, -0.2).when(F.length(s) <= 60, 0.1).otherwise(0.0)
     digits = F.when(_count(s, "0-9") / size > 0.1, -0.3).otherwise(0.0)
     score = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 + urdu + english + length + digits)), 6)
-    return F.when(line.isNull() | (F.length(F.trim(line)) < 2) | F.coalesce(bad, F.lit(True)), 0.0).otherwise(score)
+    return F.when(F.coalesce(bad, F.lit(True)), 0.0).otherwise(score)
 
 
 def is_name(line: Column) -> Column:
     """Two words of Arabic script, or a score of at least 0.65."""
-    s = clean_line(line)
-    script = F.filter(F.split(s, " "), lambda w: w.rlike(f"[{ARABIC}]"))
-    two = (F.size(script) == 2) & F.forall(script, lambda w: F.length(w) >= 2) & (_count(s, f"a-zA-Z{ARABIC}") / F.greatest(F.length(s), F.lit(1)) >= 0.5)
     blocked = _has(F.lower(line), ("executed by", "in witness", "witness whereof", "vendor", "vendee", "signature", "witness", "signed", "sealed", "delivered"))
-    return F.coalesce((F.trim(line) != "") & ~blocked & (two | (name_score(line) >= LEAST_SCORE)), F.lit(False))
+
+    def named(s: Column) -> Column:
+        script = F.filter(F.split(s, " "), lambda w: w.rlike(f"[{ARABIC}]"))
+        two = bound(script, lambda x: (F.size(x) == 2) & F.forall(x, lambda w: F.length(w) >= 2)) & (_count(s, f"a-zA-Z{ARABIC}") / F.greatest(F.length(s), F.lit(1)) >= 0.5)
+        return two | (_score(line, s) >= LEAST_SCORE)
+
+    return F.coalesce((F.trim(line) != "") & ~blocked & bound(clean_line(line), named), F.lit(False))
 
 
 def is_organisation(text: Column) -> Column:
@@ -220,7 +232,8 @@ def party_roles(lines: DataFrame) -> DataFrame:
     x = lines.join(deeds, "doc_id", "left_semi").where(F.trim("line") != "").select("doc_id", "page", "line_no", "line", section_of(text).alias("role"), matching_form(text).alias("form"), inline.alias("inline"))
     # What a line and its parts are as names is found once, in generators, so that the tests aren't copied into each use.
     x = _once(x, own=clean_name(text), part=clean_name(F.col("inline")), below=below_label(text), shown=F.trim(F.split_part(text, F.lit(","), F.lit(1))), **{f"after_{r}": after_label(text, form, r) for r in roles})
-    x = _once(x, own_ok=is_name(F.col("own")), part_ok=is_name(F.col("part")), below_person=is_person(F.col("below")), below_party=is_person(F.col("below")) | is_organisation(F.col("below")), line_party=(is_person(text) | is_organisation(text)) & F.length("shown").between(4, 199))
+    x = _once(x, own_ok=is_name(F.col("own")), part_ok=is_name(F.col("part")), below_person=is_person(F.col("below")), line_party=F.length("shown").between(4, 199) & (is_person(text) | is_organisation(text)))
+    x = x.withColumn("below_party", F.col("below_person") | is_organisation(F.col("below")))
     w = Window.partitionBy("doc_id").orderBy("line_no")
     page = Window.partitionBy("doc_id", "page").orderBy("line_no")
     me = F.struct("page", "line_no", "line", "own", "own_ok", "below", "below_person", "below_party", "shown", "line_party")

@@ -52,3 +52,9 @@ def test_a_name_is_cleaned_once_however_often_it_is_used(spark):
     x = spark.createDataFrame([("between Ali Raza s/o Y (hereinafter called vendor) and Sara Bibi ولد X (hereinafter called vendee)",)], "text string").select(P.vendor_and_vendee(F.col("text")).alias("v"))
     assert x._jdf.queryExecution().analyzed().expressions().toString().count("regexp_extract") <= 2
     assert tuple(x.first().v) == ("Ali Raza", "Sara Bibi")
+
+
+def test_a_line_is_cleaned_once_for_its_score_and_its_words(spark):
+    x = spark.createDataFrame([("Ali Raza Khan",), ("it is hereby agreed",), (None,), ("کاشف زابد",)], "line string").select(P.is_name(F.col("line")).alias("v"))
+    assert x._jdf.queryExecution().analyzed().expressions().toString().count("{2,}") <= 3  # the line's, and two tests of words
+    assert [r.v for r in x.collect()] == [True, False, False, True]
