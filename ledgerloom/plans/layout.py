@@ -13,6 +13,7 @@ from ..operators import hints as H
 from ..operators import layout as L
 from ..operators.anchors import token_entities as token_found
 from ..registry import query
+from ..session import spread
 
 # --- words and annotations of a page, from order lines ---
 _WORDS = "SELECT l_orderkey AS page, l_partkey AS word, l_linenumber AS line, CAST(l_quantity * 10 AS INTEGER) AS x1, CAST(l_partkey % 900 AS INTEGER) AS y1, CAST(l_quantity * 10 + 40 AS INTEGER) AS x2, CAST(l_partkey % 900 + 20 AS INTEGER) AS y2 FROM lineitem"
@@ -177,7 +178,8 @@ def domain_hint_rows(t: Tables) -> DataFrame:
     key, who = F.col("o_orderkey"), F.col("o_custkey")
     fill = lambda x: F.replace(F.replace(F.replace(F.lit(x), F.lit("{a}"), key.cast("string")), F.lit("{b}"), who.cast("string")), F.lit("{d}"), (who % 10).cast("string"))
     deed = F.concat(*[F.when(key % n == 0, fill(x)).otherwise("") for n, x in SENTENCES])
-    found = t.raw("orders").select("o_orderkey", F.posexplode(H.domain_hints(deed)).alias("hint", "h"))
+    deeds = spread(t.raw("orders").select("o_orderkey", "o_custkey")).select("o_orderkey", deed.alias("deed"))
+    found = deeds.select("o_orderkey", F.posexplode(H.domain_hints(F.col("deed"))).alias("hint", "h"))
     return found.select("o_orderkey", "hint", "h.*")
 
 

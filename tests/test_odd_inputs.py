@@ -58,3 +58,8 @@ def test_a_line_is_cleaned_once_for_its_score_and_its_words(spark):
     x = spark.createDataFrame([("Ali Raza Khan",), ("it is hereby agreed",), (None,), ("کاشف زابد",)], "line string").select(P.is_name(F.col("line")).alias("v"))
     assert x._jdf.queryExecution().analyzed().expressions().toString().count("{2,}") <= 3  # the line's, and two tests of words
     assert [r.v for r in x.collect()] == [True, False, False, True]
+
+
+def test_deeds_of_one_small_file_are_dealt_to_all_cores(spark):
+    df = registry.QUERIES["X10b_domain_hint_rows"](spark, "/root/testdata/sf0.001")
+    assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
