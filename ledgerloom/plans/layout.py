@@ -72,9 +72,12 @@ _BOXES = "SELECT l_orderkey AS page, l_partkey AS word, l_linenumber AS line, CA
     z AS (SELECT page, i, list_last(done).r AS r FROM f WHERE i > 0)
     SELECT b.page, b.word, b.line, z.r AS row, CAST(row_number() OVER (PARTITION BY b.page ORDER BY z.r, y, CASE WHEN b.page % 2 = 0 THEN -x ELSE x END, y, x, word, line) - 1 AS INTEGER) AS pos FROM b JOIN z USING (page, i)""")
 def row_clusters(t: Tables) -> DataFrame:
-    """Rows of boxes by nearness of centres; pages of even number are read from the right."""
+    """Rows of boxes by nearness of centres; pages of even number are read from the right.
+
+    Numbers become whole as SQL casts them, half to even.
+    """
     box = t.raw("lineitem").select(
-        F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("word"), F.col("l_linenumber").alias("line"), F.floor(F.col("l_extendedprice") % 1000 + 0.5).cast("int").alias("x"), (F.col("l_partkey") % 97).cast("int").alias("y"), (F.col("l_quantity") * 3).cast("int").alias("h"), F.lit(40).alias("w")
+        F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("word"), F.col("l_linenumber").alias("line"), F.rint(F.col("l_extendedprice") % 1000).cast("int").alias("x"), (F.col("l_partkey") % 97).cast("int").alias("y"), F.rint(F.col("l_quantity") * 3).cast("int").alias("h"), F.lit(40).alias("w")
     )
     return L.in_reading_order(box, ["y", "x", "word", "line"], F.col("page") % 2 == 0).select("page", "word", "line", "row", "pos")
 

@@ -8,11 +8,11 @@ from ledgerloom.operators import extraction as E
 from ledgerloom.operators import parties as P
 
 
-def both(spark, tmp_path, name, rows, schema):
-    """Rows of Spark and of DuckDB over one documents table, as text."""
-    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+def both(spark, tmp_path, name, rows, schema, table="documents"):
+    """Rows of Spark and of DuckDB over one table, as text."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/{table}.parquet")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
     got = registry.QUERIES[name](spark, str(tmp_path))
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.ORACLES[name]})").fetchall()
     return sorted(map(str, map(tuple, got.collect()))), sorted(map(str, want))
@@ -63,3 +63,9 @@ def test_a_line_is_cleaned_once_for_its_score_and_its_words(spark):
 def test_deeds_of_one_small_file_are_dealt_to_all_cores(spark):
     df = registry.QUERIES["X10b_domain_hint_rows"](spark, "/root/testdata/sf0.001")
     assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_boxes_that_begin_half_way_between_two_numbers(spark, tmp_path):
+    boxes = [(page, 5, line, 1000.0 * page + x, q) for page in (1, 2) for line, x, q in ((9, 234.5, 10.0), (3, 234.9, 20.0), (4, 235.5, 7.5), (2, 236.1, 7.0), (5, 0.5, 1.0))]
+    got, want = both(spark, tmp_path, "W12b_row_clusters", boxes, "l_orderkey long, l_partkey long, l_linenumber int, l_extendedprice double, l_quantity double", "lineitem")
+    assert got == want
