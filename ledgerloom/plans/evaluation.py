@@ -11,6 +11,7 @@ from ..operators import evaluation as E
 from ..operators import kpis as K
 from ..operators import windows as W
 from ..registry import query
+from ..session import spread
 
 
 def findings(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -91,7 +92,10 @@ _PAGE = "regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g')"
 def page_distance(t: Tables) -> DataFrame:
     """Whole documents against themselves with misspellings, bit-parallel."""
     page = F.regexp_replace("text", "[^\\x00-\\x7F]", "?")
-    x = t.documents.select("doc_id", page.alias("gold"), F.replace(F.replace(page, F.lit("the"), F.lit("teh")), F.lit(". "), F.lit(".")).alias("pred"))
+    docs = t.documents.select("doc_id", "text")
+    if len(docs.inputFiles()) < t.spark.sparkContext.defaultParallelism:
+        docs = spread(docs)
+    x = docs.select("doc_id", page.alias("gold"), F.replace(F.replace(page, F.lit("the"), F.lit("teh")), F.lit(". "), F.lit(".")).alias("pred"))
     x = x.select("doc_id", F.length("gold").cast("long").alias("chars"), page_distances(F.col("pred"), F.col("gold")).alias("distance"), "pred")
     rate = F.when(F.col("chars") == 0, F.when(F.length("pred") > 0, 1.0).otherwise(0.0)).otherwise(F.col("distance") / F.col("chars"))
     return x.select("doc_id", "chars", "distance", F.round(rate, 6).alias("cer"))

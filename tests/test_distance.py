@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.distance import BLOCK, edit_distance, page_distance
+from ledgerloom.functions import distance
+from ledgerloom.functions.distance import BLOCK, edit_distance, few_edits, page_distance
 
 
 def table(a, b):
@@ -36,6 +37,26 @@ def test_blocks_and_edits():
     assert edit_distance(page, page[:100] + "x" + page[101:300] + page[302:]) == 3
 
 
+def test_few_edits_against_the_table():
+    rng = random.Random(6)
+    for n in range(300):
+        a = [rng.choice("abc\U0001f600 ") for _ in range(rng.randint(1, 120))]
+        b = list(a)
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 2)] = rng.choice(["", "a", "xy"])
+        a, b = "1" + "".join(a), "2" + "".join(b)
+        want = table(a, b)
+        assert few_edits(a, b, 130) == few_edits(a, b, want) == want and few_edits(a, b, want - 1) is None and edit_distance(a, b) == want
+
+
+def test_a_long_page_with_few_edits_needs_no_table(monkeypatch):
+    rng = random.Random(7)
+    page = " ".join(rng.choice(["the", "deed", "of", "sale. And", "plot"]) for _ in range(30_000))
+    monkeypatch.setattr(distance, "_bits", None)
+    assert edit_distance(page, page[:5] + "x" + page[6:70_000] + page[70_002:]) == 3
+
+
 @pytest.mark.parametrize("most", [None, 20])
 def test_against_the_built_in(spark, most):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("n_chars < 1500").select("doc_id", "text")
