@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 PRIORITY = {"CNIC": 7, "AMOUNT": 6, "DATE": 5, "REGISTRY_NO": 4, "PLOT_NO": 3, "SCHEME_NAME": 2, "PERSON_NAME": 1}
 LEAST_IOU = 0.3
 CELL = 100
+#: Words of a page from which the grid is worth its copies: a large note lies in some thirty cells.
+CROWDED = 256
 
 
 def _cells(df: DataFrame, cell: int, x1: str, y1: str, x2: str, y2: str) -> DataFrame:
@@ -21,19 +23,33 @@ def _cells(df: DataFrame, cell: int, x1: str, y1: str, x2: str, y2: str) -> Data
     return df.where((F.col(x1) <= F.col(x2)) & (F.col(y1) <= F.col(y2))).select("*", F.explode(cells).alias("_c")).select(*df.columns, "_c.*")
 
 
-def touching(words: DataFrame, notes: DataFrame, cell: int = CELL) -> DataFrame:
-    """Pairs of a word (x1..y2) and a note (ax1..ay2) of one page whose boxes touch, each once.
+def _whole(df: DataFrame, x1: str, y1: str, x2: str, y2: str) -> DataFrame:
+    return df.where((F.col(x1) <= F.col(x2)) & (F.col(y1) <= F.col(y2)))
 
-    Both are dealt to the cells of a grid that they touch and meet by (page,
-    cell), so no page is compared with itself whole and a crowded page is split
-    by cell.  A pair that shares several cells is kept in the one that holds
-    the upper left corner of what the boxes share.
-    """
-    left = _cells(words, cell, "x1", "y1", "x2", "y2")
-    right = _cells(notes, cell, "ax1", "ay1", "ax2", "ay2")
+
+def _parts(words: DataFrame, notes: DataFrame, cell: int, crowded: int) -> tuple[DataFrame, DataFrame]:
+    """touching()'s pairs of pages with few words, and of crowded ones; a page is in one part."""
+    many = words.groupBy("page").agg(F.count("*").alias("_n")).where(F.col("_n") > crowded).select("page")
     x, y = F.greatest("x1", "ax1"), F.greatest("y1", "ay1")
+    meet = (x <= F.least("x2", "ax2")) & (y <= F.least("y2", "ay2"))
+    few = _whole(words, "x1", "y1", "x2", "y2").join(many, "page", "left_anti").join(_whole(notes, "ax1", "ay1", "ax2", "ay2"), "page").where(meet)
+    left = _cells(words.join(many, "page", "left_semi"), cell, "x1", "y1", "x2", "y2")
+    right = _cells(notes.join(many, "page", "left_semi"), cell, "ax1", "ay1", "ax2", "ay2")
     both = left.join(right, ["page", "_cx", "_cy"])
-    return both.where((x <= F.least("x2", "ax2")) & (y <= F.least("y2", "ay2")) & (F.floor(x / cell) == F.col("_cx")) & (F.floor(y / cell) == F.col("_cy"))).drop("_cx", "_cy")
+    return few, both.where(meet & (F.floor(x / cell) == F.col("_cx")) & (F.floor(y / cell) == F.col("_cy"))).drop("_cx", "_cy")
+
+
+def touching(words: DataFrame, notes: DataFrame, cell: int = CELL, crowded: int = CROWDED) -> DataFrame:
+    """Pairs of a word (x1..y2) and a note (ax1..ay2) of one page whose boxes touch, each once.
+
+    On pages of up to `crowded` words, notes meet all of them: nothing is
+    copied.  On others, both are dealt to the cells of a grid that they touch
+    and meet by (page, cell), so no crowded page is compared with itself whole
+    and it is split by cell.  A pair that shares several cells is kept in the
+    one that holds the upper left corner of what the boxes share.
+    """
+    few, many = _parts(words, notes, cell, crowded)
+    return few.unionByName(many)
 
 
 def _tier() -> Column:
@@ -48,13 +64,15 @@ def _tier() -> Column:
     return F.when((union > 0) & (shared / F.nullif(union, F.lit(0)) >= LEAST_IOU), 1).when(inside, 2).when(around, 3)
 
 
-def matched(words: DataFrame, notes: DataFrame, cell: int = CELL) -> DataFrame:
+def matched(words: DataFrame, notes: DataFrame, cell: int = CELL, crowded: int = CROWDED) -> DataFrame:
     """(columns of words and notes, tier): the words that each note (page, note, label, ax1..ay2) stands for.
 
     Of the tiers that a note reaches on its page, only the first counts.
     """
-    pairs = touching(words, notes, cell).withColumn("tier", _tier()).where("tier IS NOT NULL")
-    return pairs.withColumn("_best", F.min("tier").over(Window.partitionBy("page", "note"))).where("tier = _best").drop("_best")
+    best = F.min("tier").over(Window.partitionBy("page", "note"))
+    # Each part by itself, as pairs of the first are dealt by page already.
+    few, many = (pairs.withColumn("tier", _tier()).where("tier IS NOT NULL").withColumn("_best", best).where("tier = _best").drop("_best") for pairs in _parts(words, notes, cell, crowded))
+    return few.unionByName(many)
 
 
 def labelled(words: DataFrame, notes: DataFrame, key: list[str], cell: int = CELL) -> DataFrame:

@@ -47,6 +47,18 @@ def test_matched_against_all_pairs(spark, cell):
     assert sorted(got) == sorted(want) and {t for *_, t in want} == {1, 2, 3}
 
 
+@pytest.mark.parametrize("crowded", [0, 60, 10_000])
+def test_few_words_meet_all_notes_and_crowded_pages_meet_by_cell(spark, crowded):
+    words, notes = sample(5)  # pages of 60 and 61 words
+    w, n = spark.createDataFrame(words, W), spark.createDataFrame(notes, N)
+    few, many = L._parts(w, n, 10, crowded)
+    assert "Generate" not in few._jdf.queryExecution().optimizedPlan().toString()
+    assert ({r.page for r in few.collect()}, {r.page for r in many.collect()}) == {0: (set(), {0, 1, 2}), 60: ({0, 2}, {1}), 10_000: ({0, 1, 2}, set())}[crowded]
+    want = [(w[0], w[1], n[1]) for w in words for n in notes if w[0] == n[0] and max(w[2], n[3]) <= min(w[4], n[5]) and max(w[3], n[4]) <= min(w[5], n[6])]
+    assert sorted((r.page, r.word, r.note) for r in few.unionByName(many).collect()) == sorted(want)
+    assert sorted(map(str, L.matched(w, n, 10, crowded).collect())) == sorted(map(str, L.matched(w, n).collect()))
+
+
 def test_touching_pairs_come_once_and_from_one_page(spark):
     words, notes = sample(5)
     got = [(r.page, r.word, r.note) for r in L.touching(spark.createDataFrame(words, W), spark.createDataFrame(notes, N), 10).collect()]
